@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import line_dedup
+from codeloom.llm import line_dedup, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_line_dedup": op10_line_dedup}
-SQL = {"op10_line_dedup": line_dedup.SQL}
+QUERIES = {"op8_mixing": op8_mixing, "op10_line_dedup": op10_line_dedup}
+SQL = {"op8_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
