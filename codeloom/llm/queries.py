@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import chat, html_text, line_dedup, mixing, quality
+from codeloom.llm import chat, html_text, line_dedup, mixing, ngram_join, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,5 +31,9 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op9_html_text": op9_html_text, "op7_chat_format": op7_chat_format, "op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing, "op10_line_dedup": op10_line_dedup}
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_ngram_jaccard": op3_ngram_jaccard, "op9_html_text": op9_html_text, "op7_chat_format": op7_chat_format, "op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing, "op10_line_dedup": op10_line_dedup}
 SQL = {"op7_chat_format": chat.SQL, "op8_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
