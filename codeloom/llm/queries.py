@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import chat, html_text, line_dedup, mixing, ngram_join, quality, toxicity
+from codeloom.llm import chat, ctw, html_text, line_dedup, mixing, ngram_join, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,5 +39,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op3_ngram_jaccard": op3_ngram_jaccard, "op9_html_text": op9_html_text, "op7_chat_format": op7_chat_format, "op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing, "op10_line_dedup": op10_line_dedup}
+def op2_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_texts(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_ctw_score": op2_ctw_score, "op6_toxicity": op6_toxicity, "op3_ngram_jaccard": op3_ngram_jaccard, "op9_html_text": op9_html_text, "op7_chat_format": op7_chat_format, "op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing, "op10_line_dedup": op10_line_dedup}
 SQL = {"op7_chat_format": chat.SQL, "op8_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
