@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.textbuf import FOLDED, U64, Block, block_of, map_texts, mix, powers
+from codeloom.llm.textbuf import FOLDED, U64, Block, blocks, map_texts, mix, powers
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
@@ -24,7 +24,7 @@ BUCKETS = 1 << 12  # learned embeddings, words and n-grams each
 WIDE = 1 << 18  # label statistics, words and n-grams each
 DIM = 6
 #: At most so many labelled rows (the first by a hash of doc_id) are fitted on, at the driver.
-FIT_ROWS = 5000
+FIT_ROWS = 4000
 GRAMS = (3, 5, 7)
 
 
@@ -69,6 +69,34 @@ class Words:
         grams, gf = _grams(b, starts[at], ends[at]) if len(at) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
         return cls(h, grams, gf, index, first)
 
+    @classmethod
+    def of_texts(cls, texts: list[str]) -> Words:
+        """The same over any number of texts, a block at a time."""
+        hashes, grams, counts, order, sizes = [], [], [], [], []
+        seen = np.zeros(0, np.uint64)
+        for b in blocks(iter([pa.record_batch({"text": pa.array(texts, pa.string())})])):
+            starts, ends, first = b.words()
+            h = b.word_hashes()
+            order.append(h)
+            sizes.append(np.diff(first))
+            u, at = np.unique(h, return_index=True)
+            new = ~np.isin(u, seen, assume_unique=True)
+            if new.any():
+                g, gf = _grams(b, starts[at[new]], ends[at[new]])
+                hashes.append(u[new])
+                grams.append(g)
+                counts.append(np.diff(gf))
+                seen = np.union1d(seen, u[new])
+        first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+        if not hashes:
+            return cls(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), first)
+        h, g, c = np.concatenate(hashes), np.concatenate(grams), np.concatenate(counts)
+        by = np.argsort(h)
+        begin = np.cumsum(c) - c
+        reps = c[by]
+        g = g[np.repeat(begin[by], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
+        return cls(h[by], g, np.concatenate([[0], np.cumsum(reps)]), np.concatenate([np.searchsorted(h[by], x) for x in order]), first)
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Word indices of every window (-1: none) and the text each belongs to; a text has at least one."""
         count = np.diff(self.first)
@@ -77,7 +105,7 @@ class Words:
         k = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
         at = (self.first[:-1][doc] + k * STRIDE)[:, None] + np.arange(WINDOW)
         inside = at < self.first[1:][doc][:, None]
-        idx = np.full(at.shape, -1, np.int64)
+        idx = np.full(at.shape, -1, np.int32)
         idx[inside] = self.index[at[inside]]
         return idx, doc
 
@@ -116,13 +144,16 @@ class Net:
         if n:
             wo = self.word_odds if word_odds is None else word_odds
             go = self.gram_odds if gram_odds is None else gram_odds
-            g = go[(w.grams & U64(WIDE - 1)).astype(np.int64)]
-            cut, num = w.gram_first[:-1], np.diff(w.gram_first)
             x[:n, 0] = wo[(w.hashes & U64(WIDE - 1)).astype(np.int64)]
-            x[:n, 1] = np.add.reduceat(g, cut) / num
-            x[:n, 2] = np.maximum.reduceat(g, cut)
             x[:n, 3 : 3 + DIM] = p["Ew"][(w.hashes >> U64(40)).astype(np.int64) % BUCKETS]
-            x[:n, 3 + DIM :] = np.add.reduceat(p["Ec"][(w.grams >> U64(40)).astype(np.int64) % BUCKETS], cut) / num[:, None]
+            for i in range(0, n, 16384):
+                j = min(n, i + 16384)
+                grams = w.grams[w.gram_first[i] : w.gram_first[j]]
+                g = go[(grams & U64(WIDE - 1)).astype(np.int64)]
+                cut, num = w.gram_first[i:j] - w.gram_first[i], np.diff(w.gram_first[i : j + 1])
+                x[i:j, 1] = np.add.reduceat(g, cut) / num
+                x[i:j, 2] = np.maximum.reduceat(g, cut)
+                x[i:j, 3 + DIM :] = np.add.reduceat(p["Ec"][(grams >> U64(40)).astype(np.int64) % BUCKETS], cut) / num[:, None]
         return x
 
     def _gru(self, side: str, proj: np.ndarray, idx: np.ndarray, keep: dict | None = None) -> np.ndarray:
@@ -143,10 +174,13 @@ class Net:
             out[s] = h
         return out
 
-    def logits(self, x: np.ndarray, idx: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def project(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return x @ self.p["Wf"] + self.p["cf"], x @ self.p["Wb"] + self.p["cb"]
+
+    def logits(self, proj: tuple[np.ndarray, np.ndarray], idx: np.ndarray, keep: dict | None = None) -> np.ndarray:
         p = self.p
         kf, kb = ({}, {}) if keep is not None else (None, None)
-        h = np.concatenate([self._gru("f", x @ p["Wf"] + p["cf"], idx, kf), self._gru("b", x @ p["Wb"] + p["cb"], idx, kb)], axis=2)
+        h = np.concatenate([self._gru("f", proj[0], idx, kf), self._gru("b", proj[1], idx, kb)], axis=2)
         a = h @ p["v"]
         a[(idx < 0).T] = -1e9
         a = np.exp(a - a.max(axis=0))
@@ -159,7 +193,7 @@ class Net:
     def gradients(self, x: np.ndarray, idx: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Mean weighted logistic loss of windows, its gradients, and the gradient by ``x``."""
         p, keep = self.p, {}
-        logit = self.logits(x, idx, keep)
+        logit = self.logits(self.project(x), idx, keep)
         prob = 1 / (1 + np.exp(-logit))
         total = weight.sum()
         loss = float((weight * (np.logaddexp(0, logit) - y * logit)).sum() / total)
@@ -206,34 +240,28 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 8, batch: int = 128, s
         net.p["o"][:] = 0
         net.p["b"][0] = -6.0 if not len(y) or y[0] == 0 else 6.0
         return net.float32()
-    w = Words.of(block_of(list(texts)))
+    w = Words.of_texts(list(texts))
     n = len(y)
     rng = np.random.default_rng(seed)
     fold = rng.permutation(n) % 2
-    doc = np.repeat(np.arange(n), np.diff(w.first))
-    pair = np.unique(doc * (len(w.hashes) + 1) + w.index)
-    pdoc, pword = pair // (len(w.hashes) + 1), pair % (len(w.hashes) + 1)
     share = y.mean()
     wb = (w.hashes & U64(WIDE - 1)).astype(np.int64)
     gb = (w.grams & U64(WIDE - 1)).astype(np.int64)
     num = np.diff(w.gram_first)
+    seen = np.zeros((2, 2, WIDE)), np.zeros((2, 2, WIDE))  # words and n-grams by half and label; a document counts once
+    for i in range(n):
+        q = np.unique(w.index[w.first[i] : w.first[i + 1]])
+        reps = num[q]
+        at = np.repeat(w.gram_first[q], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        seen[0][fold[i], int(y[i]), np.unique(wb[q])] += 1
+        seen[1][fold[i], int(y[i]), np.unique(gb[at])] += 1
 
-    def table(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        by_word, by_gram = [], []
-        for label in (1, 0):
-            sel = use[pdoc] & (y[pdoc] == label)
-            by_word.append(np.bincount(wb[pword[sel]], minlength=WIDE))
-            # a document counts once for an n-gram
-            d, q = pdoc[sel], pword[sel]
-            reps = num[q]
-            at = np.repeat(w.gram_first[q], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            dg = np.unique(np.repeat(d, reps) * WIDE + gb[at])
-            by_gram.append(np.bincount(dg % WIDE, minlength=WIDE))
-        return _odds(by_word[0], by_word[1], share), _odds(by_gram[0], by_gram[1], share)
+    def table(folds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(_odds(c[folds, 1].sum(axis=0), c[folds, 0].sum(axis=0), share) for c in seen)
 
     # statistics for a document come from the other half, as they will for texts that were never seen
-    halves = [table(fold != f) for f in (0, 1)]
-    net.word_odds, net.gram_odds = table(np.ones(n, bool))
+    halves = [table([1 - f]) for f in (0, 1)]
+    net.word_odds, net.gram_odds = table([0, 1])
     idx, wdoc = w.windows()
     first = np.searchsorted(wdoc, np.arange(n))
     adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
@@ -242,16 +270,17 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 8, batch: int = 128, s
     def score(rows: np.ndarray) -> np.ndarray:
         s = np.empty(len(rows))
         for f in (0, 1):
-            x = net.inputs(w, *halves[f])
+            x = net.project(net.inputs(w, *halves[f]))
             mine = np.flatnonzero(fold[wdoc[rows]] == f)
-            for a in range(0, len(mine), 8192):
-                s[mine[a : a + 8192]] = net.logits(x, idx[rows[mine[a : a + 8192]]])
+            for a in range(0, len(mine), 4096):
+                s[mine[a : a + 4096]] = net.logits(x, idx[rows[mine[a : a + 4096]]])
         return s
 
     def hint() -> np.ndarray:
         s = np.empty(len(idx))
         for f in (0, 1):
-            x = net.inputs(w, *halves[f])[:, 0] + net.inputs(w, *halves[f])[:, 2]
+            x = net.inputs(w, *halves[f])
+            x = x[:, 0] + x[:, 2]
             s[fold[wdoc] == f] = np.sort(x[idx[fold[wdoc] == f]], axis=1)[:, -3:].sum(axis=1)
         return s
 
@@ -302,7 +331,7 @@ def score_block(net: Net, b: Block) -> np.ndarray:
     """Per text the probability of its most toxic window; without a word, that of an empty window."""
     w = Words.of(b)
     idx, doc = w.windows()
-    x = net.inputs(w)
+    x = net.project(net.inputs(w))
     s = np.empty(len(idx), np.float32)
     for a in range(0, len(idx), 4096):
         s[a : a + 4096] = net.logits(x, idx[a : a + 4096])
@@ -349,8 +378,6 @@ def without_toxic(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFram
     at = docs.columns.index("text")
 
     def run(batches):
-        from codeloom.llm.textbuf import blocks
-
         for b in blocks(batches):
             assert b.batch.schema.names[at] == "text"
             yield b.batch.filter(pa.array(score_block(shared.value, b) < threshold))
