@@ -8,10 +8,10 @@ its k by the estimated cost of scanning and verifying what its prefix would
 meet.  Pairs that share enough prefix shingles are verified on whole texts,
 block against block, so that a text travels once a block and not once a pair.
 
-Runs of shared shingles count once: a posting carries a fingerprint of the
-``K_MAX`` prefix shingles before it, and postings that agree on it are no news,
-for these classes have met K_MAX times already.  A group of near copies meets a
-few times a pair, not at every shingle.
+Two classes that have met ``K_MAX`` times need not meet again: a posting carries
+fingerprints of the last ``K_MAX`` prefix shingles before it, and of the last
+``K_MAX`` of every second one, and postings that agree on either are no news.
+A group of near copies meets a few times a pair, not at every shingle.
 """
 
 from __future__ import annotations
@@ -27,14 +27,15 @@ from codeloom.llm import stage
 from codeloom.llm.components import components
 from codeloom.llm.textbuf import U64, Block, block_of, blocks, mix
 
-K_MAX = 4
+K_MAX = 3
 #: Counters of the frequency sketch; its size is the same for any corpus.
 SKETCH = 1 << 20
 #: Classes of one verification block.
 BLOCK_CLASSES = 256
 #: Bits of the filter that keeps texts without candidates out of the exchange (false positives end in the join).
 FILTER_BITS = 1 << 23
-_N_CAP = (1 << 28) - 1
+#: A posting's 64 bits: two fingerprints of 25 bits (0: fewer shingles before it), 12 bits of size on a log scale, 2 bits of k.
+_CHAIN_BITS, _STEPS = 25, 128.0
 _W = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -138,6 +139,17 @@ def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tup
     return s[order[: base + k]], k
 
 
+def _chains(p: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """For each position a fingerprint of the ``K_MAX`` elements of ``p`` that end at ``before``, never 0; 0 if there are fewer."""
+    out = np.zeros(len(p) + 1, np.uint64)
+    if len(p) >= K_MAX:
+        x = np.zeros(len(p) - K_MAX + 1, np.uint64)
+        for j in range(K_MAX):
+            x = mix(x + p[j : j + len(x)])
+        out[K_MAX:] = np.maximum(x >> U64(64 - _CHAIN_BITS), U64(1))
+    return out[before]
+
+
 def _postings(counts, noise: float, width: int, percent: int):
     def run(batches):
         table = counts.value
@@ -153,15 +165,13 @@ def _postings(counts, noise: float, width: int, percent: int):
                 seen.add(sig)
                 p, k = prefix(s, table, noise, percent)
                 m = len(p)
-                chain = np.zeros(m, np.uint64)
-                if m > K_MAX:
-                    x = np.zeros(m - K_MAX, np.uint64)
-                    for j in range(K_MAX):
-                        x = mix(x + p[j : j + m - K_MAX])
-                    chain[K_MAX:] = (x >> U64(34)) | U64(1)  # 30 bits, 0: fewer shingles before
+                half = np.flatnonzero((p >> U64(7)) & U64(1))
+                recent = _chains(p, np.arange(m))
+                other = _chains(p[half], np.searchsorted(half, np.arange(m)))
+                size = U64(min(4095, int(np.log2(len(s)) * _STEPS)))
                 toks.append(p)
                 sigs.append(np.full(m, sig, np.int64))
-                infos.append((chain << U64(30)) | U64((min(len(s), _N_CAP) << 2) | (k - 1)))
+                infos.append((recent << U64(39)) | (other << U64(14)) | (size << U64(2)) | U64(k - 1))
             if toks:
                 yield pa.record_batch({"token": pa.array(np.concatenate(toks).view(np.int64)), "sig": pa.array(np.concatenate(sigs)), "info": pa.array(np.concatenate(infos).view(np.int64))})
 
@@ -170,12 +180,14 @@ def _postings(counts, noise: float, width: int, percent: int):
 
 def _meet(percent: int, most: int = 1 << 20):
     """Over postings sorted by token, chain and class: pairs of classes that meet at a token."""
+    apart = np.ceil(np.log2(100 / percent) * _STEPS) + 1  # sizes further apart are never similar
 
     def pairs(tok, sig, info):
         keep = np.ones(len(tok), bool)
         keep[1:] = (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1])
         tok, sig, info = tok[keep], sig[keep], info[keep].view(np.uint64)
-        chain, n, k = (info >> U64(30)).astype(np.int64), ((info >> U64(2)) & U64(_N_CAP)).astype(np.int64), (info & U64(3)).astype(np.int64) + 1
+        chain, other = info >> U64(39), (info >> U64(14)) & U64((1 << _CHAIN_BITS) - 1)
+        size, k = ((info >> U64(2)) & U64(4095)).astype(np.int64), (info & U64(3)).astype(np.int64) + 1
         at = np.arange(len(tok))
         new = np.ones(len(tok), bool)
         new[1:] = tok[1:] != tok[:-1]
@@ -193,8 +205,7 @@ def _meet(percent: int, most: int = 1 << 20):
             c = count[r]
             a = np.repeat(r, c)
             o = np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(start[r], c)
-            lo, hi = np.minimum(n[a], n[o]), np.maximum(n[a], n[o])
-            ok = (sig[a] != sig[o]) & ((100 * lo >= percent * hi) | (hi == _N_CAP))
+            ok = (np.abs(size[a] - size[o]) <= apart) & (sig[a] != sig[o]) & ((other[a] != other[o]) | (other[a] == 0))
             a, o = a[ok], o[ok]
             if len(a):
                 yield pa.record_batch({"x": pa.array(np.minimum(sig[a], sig[o])), "y": pa.array(np.maximum(sig[a], sig[o])), "need": pa.array(np.minimum(k[a], k[o]), pa.int64())})
@@ -222,28 +233,43 @@ def _meet(percent: int, most: int = 1 << 20):
 
 
 def _verify(width: int, percent: int):
-    """Over rows sorted by task, texts before pairs: the pairs that hold, with their overlap."""
+    """Over rows sorted by task, texts before pairs. A task's links leave it added up: for each class the copies it
+    links to, and a spanning forest of its links, so that what follows grows with the documents and not with the pairs."""
 
     def run(batches):
-        task, sets = None, {}
+        task, sets, copies, reps, near, root = None, {}, {}, {}, {}, {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                root[x] = root.get(root[x], root[x])
+                x = root[x]
+            return x
+
+        def end():
+            rows = [(0, s, c) for s, c in near.items()] + [(1, reps[s], reps[find(s)]) for s in root if find(s) != s]
+            if rows:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["kind", "a", "b"])
+
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            tasks, xs, ys = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            cols = [batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)]
             texts = batch.column(3)
-            for i, t in enumerate(tasks):
+            for i, (t, x, y, c, r) in enumerate(zip(*cols)):
                 if t != task:
-                    task, sets = t, {}
-                if ys[i] is None:
+                    yield from end()
+                    task, sets, copies, reps, near, root = t, {}, {}, {}, {}, {}
+                if y is None:
                     (s,) = shingle_sets(block_of([texts[i].as_py()]), width)
-                    sets[signature(s)] = s
+                    if (g := signature(s)) == x:
+                        sets[g], copies[g], reps[g] = s, c, r
                 else:
-                    a, b = sets[xs[i]], sets[ys[i]]
+                    a, b = sets[x], sets[y]
                     both = np.sort(np.concatenate([a, b]))
-                    inter = int((both[1:] == both[:-1]).sum())
-                    if similar(inter, len(a), len(b), percent):
-                        out.append((xs[i], ys[i], inter))
-            if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["x", "y", "inter"])
+                    if similar(int((both[1:] == both[:-1]).sum()), len(a), len(b), percent):
+                        near[x] = near.get(x, 0) + copies[y]
+                        near[y] = near.get(y, 0) + copies[x]
+                        u, v = find(x), find(y)
+                        root[max(u, v)] = root[min(u, v)] = min(u, v)
+        yield from end()
 
     return run
 
@@ -253,7 +279,7 @@ def _candidates(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -
     counts = spark.sparkContext.broadcast(sketch)
     noise = float(sketch.mean())
     posts = docs.select("text").mapInArrow(_postings(counts, noise, width, percent), "token long, sig long, info long")
-    met = posts.repartition(stage.partitions(spark), "token").sortWithinPartitions("token", F.shiftrightunsigned("info", 30), "sig").mapInArrow(_meet(percent), "x long, y long, need long")
+    met = posts.repartition(stage.partitions(spark), "token").sortWithinPartitions("token", F.shiftrightunsigned("info", 39), "sig").mapInArrow(_meet(percent), "x long, y long, need long")
     return met.groupBy("x", "y").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need").select("x", "y")
 
 
@@ -263,11 +289,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
     star = ends.groupBy("sig").agg(F.least(F.min("o"), F.first("sig")).alias("star"))
     sizes = star.groupBy("star").agg(F.count("*").alias("size"))
     place = star.join(sizes, "star").select("sig", F.xxhash64("star", F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / BLOCK_CLASSES))).alias("block"))
-    place = stage.written(place, "blocks")
+    place = stage.if_small(stage.written(place, "blocks"))
     px, py = place.select(F.col("sig").alias("x"), F.col("block").alias("bx")), place.select(F.col("sig").alias("y"), F.col("block").alias("by"))
     tasks = stage.written(pairs.join(px, "x").join(py, "y").select(F.xxhash64(F.least("bx", "by"), F.greatest("bx", "by")).alias("task"), "x", "y"), "tasks")
-    wanted = tasks.select("task", F.col("x").alias("sig")).unionByName(tasks.select("task", F.col("y").alias("sig"))).distinct().join(classes.select("sig", "rep"), "sig")
-    wanted = stage.written(wanted.select("task", "rep"), "wanted")
+    wanted = tasks.select("task", F.col("x").alias("sig")).unionByName(tasks.select("task", F.col("y").alias("sig"))).distinct().join(classes.select("sig", "rep", "copies"), "sig")
+    wanted = stage.written(wanted.select("task", "sig", "rep", "copies"), "wanted")
     # a bitmap of the wanted documents (at most FILTER_BITS / 8 bytes) thins out the texts before the exact join
     bit = lambda column: F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
     maps = wanted.select(bit("rep").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()
@@ -282,20 +308,22 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
             yield batch.filter(pa.array(((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)))
 
     texts = docs.select("doc_id", "text", bit("doc_id").alias("p")).mapInArrow(thin, "doc_id long, text string, p long").select("doc_id", "text")
-    rows = wanted.join(texts, wanted["rep"] == texts["doc_id"]).select("task", F.lit(0).cast("long").alias("x"), F.lit(None).cast("long").alias("y"), "text")
-    rows = rows.unionByName(tasks.select("task", "x", "y", F.lit(None).cast("string").alias("text")))
-    return rows.repartition(stage.partitions(spark), "task").sortWithinPartitions("task", "y").mapInArrow(_verify(width, percent), "x long, y long, inter long")
+    narrow = stage.if_small(wanted)
+    rows = narrow.join(texts, narrow["rep"] == texts["doc_id"]).select("task", F.col("sig").alias("x"), F.lit(None).cast("long").alias("y"), "text", "copies", "rep")
+    rows = rows.unionByName(tasks.select("task", "x", "y", F.lit(None).cast("string").alias("text"), F.lit(None).cast("long").alias("copies"), F.lit(None).cast("long").alias("rep")))
+    return rows.repartition(stage.partitions(spark), "task").sortWithinPartitions("task", "y").mapInArrow(_verify(width, percent), "kind long, a long, b long")
 
 
 def similarity_classes(docs: DataFrame, percent: int = 70, width: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``members`` (``doc_id, n, sig``), ``classes`` (``sig, rep, copies``) and verified ``links`` (``x, y, inter``) between classes."""
+    """``members`` (``doc_id, n, sig``), ``classes`` (``sig, rep, copies``) and what verification found:
+    kind 0: class ``a`` links to ``b`` documents of other classes, kind 1: a link between representatives ``a`` and ``b`` (a spanning forest of each task)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = stage.written(d.mapInArrow(_first_pass(width), _DOC), "classes")
     members = first.where("part is null").select("doc_id", "n", "sig")
     classes = stage.written(members.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
     named = d.where("doc_id is not null")
     pairs = stage.written(_candidates(named, _sum_sketch(first), width, percent), "pairs")
-    return members, classes, stage.written(_verified(named, pairs, classes, width, percent), "links")
+    return members, classes, stage.written(_verified(named, pairs, classes, width, percent), "found")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 70, width: int = 3) -> DataFrame:
@@ -310,12 +338,10 @@ def jaccard_join(docs: DataFrame, percent: int = 70, width: int = 3) -> DataFram
     ``doc_id`` are documents of their own.  Other columns are not read; an empty
     table gives an empty result.
     """
-    members, classes, links = similarity_classes(docs, percent, width)
+    members, classes, found = similarity_classes(docs, percent, width)
     reps = classes.select("sig", "rep", "copies")
-    ends = links.select(F.col("x").alias("sig"), F.col("y").alias("o")).unionByName(links.select(F.col("y").alias("sig"), F.col("x").alias("o")))
-    near = ends.join(reps.select(F.col("sig").alias("o"), F.col("copies").alias("c")), "o").groupBy("sig").agg(F.sum("c").alias("near"))
-    rx, ry = reps.select(F.col("sig").alias("x"), F.col("rep").alias("u")), reps.select(F.col("sig").alias("y"), F.col("rep").alias("v"))
-    comp = components(links.join(rx, "x").join(ry, "y").select("u", "v"))
+    near = found.where("kind = 0").groupBy(F.col("a").alias("sig")).agg(F.sum("b").alias("near"))
+    comp = components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
     per_class = reps.join(near, "sig", "left").join(comp, F.col("rep") == F.col("node"), "left").select(F.col("sig").alias("c_sig"), "rep", "copies", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("component", "rep").alias("component"))
     per_class = stage.written(per_class, "per_class")
     out = members.join(per_class, (F.col("sig") == F.col("c_sig")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")

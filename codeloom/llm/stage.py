@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,12 @@ def written(df: DataFrame, name: str, *partition: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows (of a few numbers each) up to which a side is broadcast; beyond it, joins shuffle.
+BROADCAST_ROWS = 1 << 19
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if its count allows that."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
