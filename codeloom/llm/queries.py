@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import chat, ctw, decontaminate, html_text, line_dedup, mixing, ngram_join, quality, toxicity
+from codeloom.llm import chat, ctw, decontaminate, html_text, line_dedup, mixing, ngram_join, quality, toxicity, weak_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,5 +47,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_ctw_score": op2_ctw_score, "op6_toxicity": op6_toxicity, "op3_ngram_jaccard": op3_ngram_jaccard, "op9_html_text": op9_html_text, "op7_chat_format": op7_chat_format, "op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing, "op10_line_dedup": op10_line_dedup}
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_quality.weak_quality(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_weak_quality": op5_weak_quality, "op1_decontamination": op1_decontamination, "op2_ctw_score": op2_ctw_score, "op6_toxicity": op6_toxicity, "op3_ngram_jaccard": op3_ngram_jaccard, "op9_html_text": op9_html_text, "op7_chat_format": op7_chat_format, "op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing, "op10_line_dedup": op10_line_dedup}
 SQL = {"op7_chat_format": chat.SQL, "op8_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
