@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import stage
-from codeloom.llm.textbuf import U64, Block, blocks
+from codeloom.llm.textbuf import U64, Block, blocks, sums
 from codeloom.llm.toxicity import held_out
 
 DEPTH = 5
@@ -318,14 +318,11 @@ def _score(model, words):
             h, (_, _, wf) = b.word_hashes(), b.words()
             at = look.find(h)
             hit = at >= 0
-            val = np.zeros(len(h) + 1)
-            np.cumsum(np.where(hit, np.log10(freq[at] + 1.0), 0.0), out=val[1:])
-            known = np.zeros(len(h) + 1, np.int64)
-            np.cumsum(hit, out=known[1:])
+            base = sums(np.where(hit, np.log10(freq[at] + 1.0), 0.0) if len(freq) else np.zeros(len(h)), wf)
             rare_at = np.flatnonzero(~hit)
             rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare_at, wf), pa.int32()), pa.array(h[rare_at].view(np.int64)))
             cols = {c: b.batch.column(i) for i, c in enumerate(("rid", "doc_id", "held_out"))}
-            yield pa.record_batch(cols | {"n_tokens": pa.array(np.diff(wf) + 1), "n_bytes": pa.array(np.diff(b.offs)), "known": pa.array(known[wf[1:]] - known[wf[:-1]]), "base": pa.array(val[wf[1:]] - val[wf[:-1]]), "score": pa.array(score), "rare": rare})
+            yield pa.record_batch(cols | {"n_tokens": pa.array(np.diff(wf) + 1), "n_bytes": pa.array(np.diff(b.offs)), "known": pa.array(sums(hit, wf)), "base": pa.array(base), "score": pa.array(score), "rare": rare})
 
     return run
 

@@ -167,7 +167,13 @@ def block_of(texts: list[str | None]) -> Block:
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of ``values`` in each run [first[i], first[i + 1])."""
-    acc = np.zeros(len(values) + 1, dtype=np.int64 if values.dtype.kind in "bui" else np.float64)
+    if values.dtype.kind == "f":  # each run on its own, so that a sum does not depend on its neighbours
+        out = np.zeros(len(first) - 1)
+        some = np.flatnonzero(first[1:] > first[:-1])
+        if len(some):
+            out[some] = np.add.reduceat(values[: first[-1]], first[:-1][some])
+        return out
+    acc = np.zeros(len(values) + 1, dtype=np.int64)
     np.cumsum(values, out=acc[1:])
     return acc[first[1:]] - acc[first[:-1]]
 
