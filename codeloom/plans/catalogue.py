@@ -74,8 +74,8 @@ def lang_by_ext(spark, sf_dir):
 
 @_query(
     _with("""SELECT file_id, CASE file_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'h' WHEN 2 THEN 'ads' WHEN 3 THEN 'tsx' WHEN 4 THEN 'txt' ELSE ext END AS ext,
-  CASE file_id % 6 WHEN 0 THEN NULL WHEN 1 THEN FALSE WHEN 2 THEN FALSE WHEN 3 THEN TRUE WHEN 4 THEN FALSE ELSE TRUE END AS is_source,
-  CASE file_id % 6 WHEN 0 THEN NULL WHEN 4 THEN FALSE ELSE TRUE END AS is_parseable,
+  file_id % 6 IN (3, 5) AS is_source,
+  file_id % 6 NOT IN (0, 4) AS is_parseable,
   CASE file_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'c' WHEN 2 THEN 'ada' WHEN 3 THEN 'tsx' WHEN 4 THEN NULL ELSE language END AS grammar,
   CASE file_id % 6 WHEN 1 THEN 'cpp' WHEN 0 THEN NULL WHEN 2 THEN 'ada' WHEN 3 THEN 'tsx' WHEN 4 THEN NULL ELSE language END AS header_grammar FROM c""")
 )
@@ -86,7 +86,7 @@ def extension_lookups(spark, sf_dir):
     path = F.concat(F.lit("a.b/"), F.when(k == 0, ".c").when(k == 1, "x.h").when(k == 2, "y.z.ads").when(k == 3, "q.tsx").when(k == 4, "n.txt").otherwise(F.concat(F.lit("f."), own)))
     d = d.select("file_id", path.alias("path"))
     ext = registry.extension_of(F.col("path"))
-    return d.select("file_id", ext.alias("ext"), registry.is_source_ext(ext).alias("is_source"), registry.is_parseable_ext(ext).alias("is_parseable"), registry.grammar_of(F.col("path")).alias("grammar"), registry.grammar_of_header(F.col("path"), F.lit(True)).alias("header_grammar"))
+    return d.select("file_id", ext.alias("ext"), F.coalesce(registry.is_source_ext(ext), F.lit(False)).alias("is_source"), F.coalesce(registry.is_parseable_ext(ext), F.lit(False)).alias("is_parseable"), registry.grammar_of(F.col("path")).alias("grammar"), registry.grammar_of_header(F.col("path"), F.lit(True)).alias("header_grammar"))
 
 
 @_query(_with("SELECT file_id, file_id % 7 = 0 OR ext IN ('py', 'js') OR file_id % 7 = 3 AND file_id % 10 = 1 AS ignored FROM c"))
