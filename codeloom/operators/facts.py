@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.sources.staging import written
 from codeloom.syntax import GRAMMARS, parse
 from codeloom.syntax.analysis import FUNCTION_KINDS, Cfg, Tree, function_cfg
 from codeloom.syntax.tree import FIELDS, flatten
@@ -151,12 +152,20 @@ def function_fingerprints(f: DataFrame, min_nodes: int, key: str = "file_id", st
 def duplicate_groups(fingerprints: DataFrame, hash_col: str = "hash", order_by: tuple[str, ...] = ("file_id", "start_byte")) -> DataFrame:
     """Rows whose hash occurs twice or more, with ``group_size`` and ``member_pos``.
 
-    Sizes come from a pre-aggregated count, so a hash that a third of all rows
-    share costs one row a task; only members are ranked.
+    Sizes come from a pre-aggregated count, and positions from ranges of
+    (hash, order): a hash that a third of all rows share is cut into many
+    ranges, each counts its own rows, and only the ranges' counts are summed up
+    by hash.
     """
     sizes = fingerprints.groupBy(hash_col).agg(F.count("*").alias("group_size")).where("group_size > 1")
     members = fingerprints.join(sizes, hash_col)
-    return members.withColumn("member_pos", F.row_number().over(Window.partitionBy(hash_col).orderBy(*order_by)))
+    ranges = members.repartitionByRange(hash_col, *order_by).sortWithinPartitions(hash_col, *order_by)
+    ranges = written(ranges.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    counts = ranges.groupBy(F.col(hash_col).alias("_hash"), F.col("_range").alias("_r")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_hash").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("_before", before)
+    placed = ranges.join(counts, (F.col(hash_col) == F.col("_hash")) & (F.col("_range") == F.col("_r")))
+    return placed.withColumn("member_pos", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_hash", "_r", "_range", "_at", "_first", "_n", "_before")
 
 
 def min_c_standard(f: DataFrame, key: str = "file_id") -> DataFrame:

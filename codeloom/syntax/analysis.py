@@ -8,15 +8,20 @@ from collections.abc import Callable, Iterator
 from codeloom.syntax.tree import Node
 
 FUNCTION_KINDS = frozenset(
-    """function_definition function_item function_declaration function_expression arrow_function method_definition generator_function_declaration
-    generator_function subprogram_body expression_function_declaration task_body method_declaration func_literal constructor_declaration
-    local_function_statement init_declaration function subroutine module_procedure program""".split()
+    """
+    arrow_function constructor_declaration expression_function_declaration func_literal function function_declaration function_definition
+    function_expression function_item generator_function generator_function_declaration init_declaration local_function_statement method_declaration
+    method_definition module_procedure program subprogram_body subroutine task_body
+    """.split()
 )
-C_KEYWORDS = frozenset("if else for while do switch case default return break continue goto sizeof typedef struct union enum".split())
+C_KEYWORDS = frozenset("break case continue default do else enum for goto if return sizeof struct switch typedef union while".split())
 CPP_ONLY = frozenset(
-    """class_specifier namespace_definition namespace_alias_definition template_declaration template_instantiation using_declaration access_specifier
-    qualified_identifier reference_declarator new_expression delete_expression try_statement catch_clause throw_statement friend_declaration
-    operator_cast operator_name lambda_expression destructor_name field_initializer_list base_class_clause noexcept concept_definition requires_clause""".split()
+    """
+    access_specifier base_class_clause catch_clause class_specifier concept_definition delete_expression destructor_name field_initializer_list
+    friend_declaration lambda_expression namespace_alias_definition namespace_definition new_expression noexcept operator_cast operator_name
+    qualified_identifier reference_declarator requires_clause template_declaration template_instantiation throw_statement try_statement
+    using_declaration
+    """.split()
 )
 STANDARDS = ("C99", "C11", "C23")
 

@@ -17,7 +17,7 @@ _NEWLINE = frozenset(("go", "kotlin", "swift", "scala") + _JS)  # a line's end m
 _C_TYPES = frozenset("void char short int long float double signed unsigned bool _Bool _Complex size_t ssize_t ptrdiff_t int8_t int16_t int32_t int64_t uint8_t uint16_t uint32_t uint64_t wchar_t auto char8_t char16_t char32_t FILE".split())
 _C_QUALIFIERS = frozenset("const volatile restrict __restrict __restrict__ _Atomic _Noreturn noreturn constexpr mutable consteval constinit".split())
 _C_STORAGE = frozenset("static extern register inline typedef thread_local _Thread_local __inline __inline__ virtual explicit friend".split())
-_C_STATEMENTS = frozenset("if else for while do switch case default return break continue goto sizeof".split())
+_C_STATEMENTS = frozenset("break case continue default do else for goto if return sizeof switch while".split())
 _MODIFIERS = frozenset(
     """public private protected internal static final abstract synchronized native transient volatile strictfp default sealed partial override virtual async extern unsafe readonly
     open data inner companion lateinit inline tailrec operator infix suspend const expect actual annotation enum external fileprivate mutating nonmutating lazy weak unowned required convenience

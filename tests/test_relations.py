@@ -41,6 +41,17 @@ def test_duplicate_groups(spark):
     assert [(r["file_id"], r["name"], r["group_size"], r["member_pos"]) for r in g] == [(0, "f", 2, 1), (1, "g", 2, 2)]
 
 
+def test_positions_in_a_hot_group(spark):
+    d = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("h"), (F.col("id") % 700).cast("string"))).alias("hash"), ((F.col("id") * 7919) % 3001).alias("file_id"))
+    got = facts.duplicate_groups(d.repartition(6), order_by=("file_id",)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["hash"], []).append((r["file_id"], r["member_pos"], r["group_size"]))
+    assert len(by["hot"]) == 1000
+    for rows in by.values():
+        assert [p for _, p, _ in sorted(rows)] == list(range(1, len(rows) + 1)) and {n for *_, n in rows} == {len(rows)}
+
+
 def test_tree_search(spark):
     files = corpus_of(spark, ("c", "int f(int a) { while (a) { for (;;) { g(h(é)); } } return a; }"))
     n = facts.nodes(files).persist()
