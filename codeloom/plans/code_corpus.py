@@ -11,8 +11,8 @@ KEYS = [lang.key for lang in LANGUAGES]
 EXTENSIONS = [lang.extensions[0] for lang in LANGUAGES]
 PREFIX = {"python": "#", "ada": "--", "lua": "--", "fortran": "!"}
 
-_C_BODIES = ("x = x + 1;", "if (x) { x = 1; } else { x = 2; }", "if (x) { return 1; } x = 2;", "while (x) { if (x > 3) { break; } x = x + 1; }", "for (x = 0; x < 3; x++) { continue; }")
-_RUST_BODIES = ("x = x + 1;", "if x > 1 { x = 1; } else { x = 2; }", "if x > 1 { return; } x = 2;", "while x > 1 { if x > 3 { break; } x = x + 1; }", "loop { return; }")
+_C_BODIES = ("x = x + 1;", "if (x) { x = 7; } else { x = 8; }", "if (x) { return 1; } x = 2;", "while (x) { if (x > 3) { break; } x = x + 1; }", "for (x = 0; x < 3; x++) { continue; }")
+_RUST_BODIES = ("x = x + 1;", "if x > 1 { x = 7; } else { x = 8; }", "if x > 1 { return; } x = 2;", "while x > 1 { if x > 3 { break; } x = x + 1; }", "loop { return; }")
 #: @F: function number, @G: the one it calls elsewhere, @M: module number, @B: body, @S: marker of a C standard or of C++.
 TEMPLATES = {
     "c": '#include "mod@M.h"\n@S\nint helper@F(int a) { return a; }\nint main@F(int x) {\n  helper@F(x);\n  main@G(x);\n  @B\n}\n',

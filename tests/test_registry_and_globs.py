@@ -49,7 +49,7 @@ def test_report(spark):
 
 @pytest.mark.parametrize(
     "patterns, path, ignored",
-    [(["vendor/**", "third_party/**"], "vendor/a/b.c", True), (["vendor/**"], "vendor", False), (["vendor/**"], "src/main.rs", False), ([], "anything", False), (["**/x.c"], "x.c", True), (["a/**/b"], "a/b", True), (["a/**/b"], "a/x/y/b", True), (["*.c"], "a/b.c", True), (["[!a]x"], "ax", False), (["{a,b}.c"], "b.c", True), (["a?c"], "a/c", True), (["\\*.c"], "*.c", True), (["\\*.c"], "a.c", False), (["[]]"], "]", True)],
+    [(["vendor/**", "deps/**"], "vendor/a/b.c", True), (["vendor/**"], "vendor", False), (["vendor/**"], "src/main.rs", False), ([], "anything", False), (["**/x.c"], "x.c", True), (["a/**/b"], "a/b", True), (["a/**/b"], "a/x/y/b", True), (["*.c"], "a/b.c", True), (["[!a]x"], "ax", False), (["{a,b}.c"], "b.c", True), (["a?c"], "a/c", True), (["\\*.c"], "*.c", True), (["\\*.c"], "a.c", False), (["[]]"], "]", True)],
 )
 def test_globs(spark, patterns, path, ignored):
     assert value(spark, globs.is_ignored(F.lit(path), patterns)) is ignored

@@ -82,7 +82,7 @@ def test_imports(lang, source, expected):
 @pytest.mark.parametrize(
     "lang, source, expected",
     [
-        ("rust", 'fn helper() {}\nfn main() { helper(); std::fs::read("x"); println!("{}", other()); }', [("main", "helper", False), ("main", "std::fs::read", True)]),
+        ("rust", 'fn aid() {}\nfn start() { aid(); std::fs::read("x"); println!("{}", other()); }', [("start", "aid", False), ("start", "std::fs::read", True)]),
         ("rust", "fn main() { v.iter::<T>(); x.y(); f::<T>(1); }", [("main", "y", True)]),
         ("python", "def h(): pass\ndef m():\n    h()\n    os.path.join(1)\n", [("m", "h", False), ("m", "os.path.join", True)]),
         ("go", "package p\nfunc h() {}\nfunc m() { h(); fmt.Println(1) }", [("m", "h", False), ("m", "fmt.Println", True)]),
