@@ -97,10 +97,10 @@ def path_ignored(spark, sf_dir):
 # ---- lines
 
 
-@_query(_with(f"SELECT file_id, 0 AS byte_start, 3 * {_P} + 32 AS byte_end, 1 AS line_start, 3 AS line_end, 'knots' AS tools, TRUE AS hits_knots, FALSE AS hits_sqc FROM c WHERE head = 0"))
+@_query(_with(f"SELECT file_id, 0 AS byte_start, 3 * {_P} + 32 AS byte_end, 1 AS line_start, 3 AS line_end, 'scans' AS tools, TRUE AS hits_scans, FALSE AS hits_sec FROM c WHERE head = 0"))
 def ignored_regions(spark, sf_dir):
     r = lines.ignored_regions(code_corpus(spark, sf_dir))
-    return r.select("file_id", "byte_start", "byte_end", "line_start", "line_end", F.array_join("tools", ",").alias("tools"), lines.region_applies_to(F.col("tools"), "KNOTS").alias("hits_knots"), lines.region_applies_to(F.col("tools"), "sqc").alias("hits_sqc"))
+    return r.select("file_id", "byte_start", "byte_end", "line_start", "line_end", F.array_join("tools", ",").alias("tools"), lines.region_applies_to(F.col("tools"), "SCANS").alias("hits_scans"), lines.region_applies_to(F.col("tools"), "sec").alias("hits_sec"))
 
 
 @_query(_with("SELECT language, CAST(3 * count(*) AS BIGINT) AS ignored_lines, count(*) AS files FROM c WHERE head = 0 GROUP BY language"))
@@ -110,10 +110,10 @@ def ignored_lines_by_language(spark, sf_dir):
     return r.groupBy("language").agg(F.sum(F.col("line_end") - F.col("line_start") + 1).alias("ignored_lines"), F.count_distinct("file_id").alias("files"))
 
 
-@_query(_with("SELECT file_id, 1 AS comment_line, 3 AS target_line, 'sqc' AS tool, 'R' || m AS rule, 'h' || f AS hash, 'a, b' AS justification, m = 5 AS is_r5 FROM c WHERE head = 1"))
+@_query(_with("SELECT file_id, 1 AS comment_line, 3 AS target_line, 'sec' AS tool, 'R' || m AS rule, 'h' || f AS hash, 'a, b' AS justification, m = 5 AS is_r5 FROM c WHERE head = 1"))
 def suppressions(spark, sf_dir):
     s = lines.suppressions(code_corpus(spark, sf_dir))
-    return s.withColumn("is_r5", lines.suppression_applies_to(F.col("tool"), F.col("rule"), "SQC", "R5"))
+    return s.withColumn("is_r5", lines.suppression_applies_to(F.col("tool"), F.col("rule"), "SEC", "R5"))
 
 
 @_query("SELECT doc_id, count(*) AS n_lines, CAST(sum(strlen(line)) AS BIGINT) AS line_bytes FROM (SELECT doc_id, unnest(CASE WHEN text = '' THEN [] WHEN text LIKE '%' || chr(10) THEN string_split(left(text, length(text) - 1), chr(10)) ELSE string_split(text, chr(10)) END) AS line FROM documents) GROUP BY doc_id")

@@ -49,8 +49,8 @@ def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.when(lang == KEYS.index("cpp"), choose(_CPP_MARKS, F.floor(F.col("file_id") / 16) % 2)).otherwise(choose(_C_MARKS, F.floor(F.col("file_id") / 16) % 4))
     prefix = choose([PREFIX.get(k, "//") for k in KEYS], lang)
     kind = F.col("file_id") % 3
-    head = F.when(kind == 0, F.concat(prefix, F.lit(" tools:off knots\n"), prefix, F.lit(" note\n"), prefix, F.lit(" tools:on\n")))
-    head = head.when(kind == 1, F.concat(prefix, F.lit(" tools:suppress sqc:R"), F.col("mod_ix").cast("string"), F.lit(" HASH:h"), F.col("fn_ix").cast("string"), F.lit(' JUSTIFICATION:"a, b"\n\n'))).otherwise("")
+    head = F.when(kind == 0, F.concat(prefix, F.lit(" tools:off scans\n"), prefix, F.lit(" note\n"), prefix, F.lit(" tools:on\n")))
+    head = head.when(kind == 1, F.concat(prefix, F.lit(" tools:suppress sec:R"), F.col("mod_ix").cast("string"), F.lit(" HASH:h"), F.col("fn_ix").cast("string"), F.lit(' JUSTIFICATION:"a, b"\n\n'))).otherwise("")
     text = choose([TEMPLATES[k] for k in KEYS], lang)
     for tag, value in (("@F", F.col("fn_ix")), ("@G", (F.col("fn_ix") * 64 + 1) % 97), ("@M", F.col("mod_ix")), ("@B", body), ("@S", mark)):
         text = F.replace(text, F.lit(tag), value.cast("string"))

@@ -15,7 +15,7 @@ def files(spark, *rows):
     [
         ("a\n/* tools:off */\nb\nc\n/* tools:on */\nd\n", "Default", [(2, 36, 2, 5, None)]),
         ("// tools:off funky\n", "Default", [(0, 19, 1, 1, ["funky"])]),
-        ("// tools:off knots, sqc,\nx", "Default", [(0, 26, 1, 2, ["knots", "sqc"])]),
+        ("// tools:off scans, sec,\nx", "Default", [(0, 26, 1, 2, ["scans", "sec"])]),
         ("x\n# tools:off\ny\n# tools:on\n", "Python", [(2, 26, 2, 4, None)]),
         ("-- tools:off\n-- tools:on\n", "Ada", [(0, 24, 1, 2, None)]),
         ("! tools:off\n", "Fortran", [(0, 12, 1, 1, None)]),
@@ -53,18 +53,18 @@ def test_regions_against_a_state_machine(spark):
 
 
 def test_applies_to(spark):
-    df = spark.createDataFrame([(["Knots"],), (None,)], "tools array<string>")
-    assert [r[0] for r in df.select(lines.region_applies_to(F.col("tools"), "kNOTS")).collect()] == [True, True]
-    assert [r[0] for r in df.select(lines.region_applies_to(F.col("tools"), "sqc")).collect()] == [False, True]
+    df = spark.createDataFrame([(["Scans"],), (None,)], "tools array<string>")
+    assert [r[0] for r in df.select(lines.region_applies_to(F.col("tools"), "sCANS")).collect()] == [True, True]
+    assert [r[0] for r in df.select(lines.region_applies_to(F.col("tools"), "sec")).collect()] == [False, True]
 
 
 @pytest.mark.parametrize(
     "source, mode, expected",
     [
-        ('// tools:suppress sqc:R1 HASH:ab JUSTIFICATION:"one, two"\nx();\n', "Default", [(1, 2, "sqc", "R1", "ab", "one, two")]),
+        ('// tools:suppress sec:R1 HASH:ab JUSTIFICATION:"one, two"\nx();\n', "Default", [(1, 2, "sec", "R1", "ab", "one, two")]),
         ("// tools:suppress a:b:c\n\n\nx\n", "Default", [(1, 4, "a", "b:c", None, None)]),
         ("x\n# tools:suppress a:b", "Python", [(2, None, "a", "b", None, None)]),
-        ("// tools:suppress sqc\ny\n// tools:suppress :r\n// tools:suppress t:\n// ok\n", "Default", []),
+        ("// tools:suppress sec\ny\n// tools:suppress :r\n// tools:suppress t:\n// ok\n", "Default", []),
         ("// tools:suppress a:b HASH:1 HASH:2 other\r\ny\r\n", "Default", [(1, 2, "a", "b", "2", None)]),
     ],
 )
