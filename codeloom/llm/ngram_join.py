@@ -16,6 +16,7 @@ A group of near copies meets a few times a pair, not at every shingle.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -34,7 +35,7 @@ SKETCH = 1 << 20
 BLOCK_CLASSES = 256
 #: Bits of the filter that keeps texts without candidates out of the exchange (false positives end in the join).
 FILTER_BITS = 1 << 23
-#: A posting's 64 bits: two fingerprints of 25 bits (0: fewer shingles before it), 12 bits of size on a log scale, 2 bits of k.
+#: A posting's 64 bits: two fingerprints of 25 bits (0: fewer shingles before it), 12 bits of size on a log scale, 2 spare ones.
 _CHAIN_BITS, _STEPS = 25, 128.0
 _W = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -65,9 +66,9 @@ def shingle_sets(b: Block, width: int = 3) -> list[np.ndarray]:
 
 
 def signature(s: np.ndarray) -> int:
-    """A 64-bit fingerprint of a set, as a signed integer."""
+    """A fingerprint of a set, as a signed integer; its two lowest bits are 0 (postings keep k there)."""
     x = mix(mix(s).sum(keepdims=True, dtype=np.uint64) + U64(len(s)))
-    return int(x.view(np.int64)[0])
+    return int(x.view(np.int64)[0]) & ~3
 
 
 def similar(inter: int, a: int, b: int, percent: int) -> bool:
@@ -170,8 +171,8 @@ def _postings(counts, noise: float, width: int, percent: int):
                 other = _chains(p[half], np.searchsorted(half, np.arange(m)))
                 size = U64(min(4095, int(np.log2(len(s)) * _STEPS)))
                 toks.append(p)
-                sigs.append(np.full(m, sig, np.int64))
-                infos.append((recent << U64(39)) | (other << U64(14)) | (size << U64(2)) | U64(k - 1))
+                sigs.append(np.full(m, sig | (k - 1), np.int64))
+                infos.append((recent << U64(39)) | (other << U64(14)) | (size << U64(2)))
             if toks:
                 yield pa.record_batch({"token": pa.array(np.concatenate(toks).view(np.int64)), "sig": pa.array(np.concatenate(sigs)), "info": pa.array(np.concatenate(infos).view(np.int64))})
 
@@ -187,7 +188,7 @@ def _meet(percent: int, most: int = 1 << 20):
         keep[1:] = (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1])
         tok, sig, info = tok[keep], sig[keep], info[keep].view(np.uint64)
         chain, other = info >> U64(39), (info >> U64(14)) & U64((1 << _CHAIN_BITS) - 1)
-        size, k = ((info >> U64(2)) & U64(4095)).astype(np.int64), (info & U64(3)).astype(np.int64) + 1
+        size = ((info >> U64(2)) & U64(4095)).astype(np.int64)
         at = np.arange(len(tok))
         new = np.ones(len(tok), bool)
         new[1:] = tok[1:] != tok[:-1]
@@ -208,23 +209,50 @@ def _meet(percent: int, most: int = 1 << 20):
             ok = (np.abs(size[a] - size[o]) <= apart) & (sig[a] != sig[o]) & ((other[a] != other[o]) | (other[a] == 0))
             a, o = a[ok], o[ok]
             if len(a):
-                yield pa.record_batch({"x": pa.array(np.minimum(sig[a], sig[o])), "y": pa.array(np.maximum(sig[a], sig[o])), "need": pa.array(np.minimum(k[a], k[o]), pa.int64())})
+                yield np.minimum(sig[a], sig[o]), np.maximum(sig[a], sig[o]), np.ones(len(a), np.int64)
             i = j
 
+    def combine(found):
+        """Pairs once, with how often they met (no more than K_MAX matters)."""
+        x, y, n = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((y, x))
+        x, y, n = x[order], y[order], n[order]
+        at = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+        return x[at], y[at], np.minimum(np.add.reduceat(n, at), K_MAX)
+
+    def rows(found):
+        """A row for each smaller class, with all it met."""
+        x, y, n = combine(found)
+        at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        offs = pa.array(np.append(at, len(x)), pa.int32())
+        return pa.record_batch({"x": pa.array(x[at]), "y": pa.ListArray.from_arrays(offs, pa.array(y)), "met": pa.ListArray.from_arrays(offs, pa.array(n, pa.int8()))})
+
     def run(batches):
-        held = None
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            if not len(cols[0]):
+        held, found, size = None, [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is None:
+                ready, held = held, None
+            else:
+                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                if held is not None:
+                    cols = [np.concatenate(x) for x in zip(held, cols)]
+                if not len(cols[0]):
+                    continue
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))
+                ready, held = [c[:cut] for c in cols], [c[cut:] for c in cols]
+            if ready is None or not len(ready[0]):
                 continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
-            if cut:
-                yield from pairs(*(c[:cut] for c in cols))
-            held = [c[cut:] for c in cols]
-        if held is not None:
-            yield from pairs(*held)
+            for p in pairs(*ready):
+                found.append(p)
+                size += len(p[0])
+                if size >= 4 * most:
+                    found = [combine(found)]
+                    size = len(found[0][0])
+                    if size >= 2 * most:
+                        yield rows(found)
+                        found, size = [], 0
+        if found:
+            yield rows(found)
 
     return run
 
@@ -279,8 +307,10 @@ def _candidates(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -
     counts = spark.sparkContext.broadcast(sketch)
     noise = float(sketch.mean())
     posts = docs.select("text").mapInArrow(_postings(counts, noise, width, percent), "token long, sig long, info long")
-    met = posts.repartition(stage.partitions(spark), "token").sortWithinPartitions("token", F.shiftrightunsigned("info", 39), "sig").mapInArrow(_meet(percent), "x long, y long, need long")
-    return met.groupBy("x", "y").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need").select("x", "y")
+    met = posts.repartition(stage.partitions(spark), "token").sortWithinPartitions("token", F.shiftrightunsigned("info", 39), "sig").mapInArrow(_meet(percent), "x long, y array<long>, met array<tinyint>")
+    pairs = met.repartition(stage.partitions(spark), "x").select("x", F.inline(F.arrays_zip("y", "met"))).groupBy("x", "y").agg(F.sum("met").alias("met"))
+    k = F.least(F.col("x").bitwiseAND(F.lit(3)), F.col("y").bitwiseAND(F.lit(3))) + 1
+    return pairs.where(F.col("met") >= k).select(*[F.col(c).bitwiseAND(F.lit(~3)).alias(c) for c in ("x", "y")])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
