@@ -72,7 +72,44 @@ class LooksLikeCpp:
             yield (r[5],)
 
 
+def _mode(key: str) -> str:
+    from codeloom.functions.registry import LANGUAGES
+
+    mode = next((x.sloc_mode for x in LANGUAGES if x.key == key), None)
+    if mode is None:
+        raise ValueError(f"unknown language key: {key}")
+    return mode
+
+
+@udtf(returnType="byte_start long, byte_end long, line_start long, line_end long, tools array<string>")
+class IgnoredRegions:
+    def eval(self, key: str, source: str):
+        from codeloom.functions.markers import regions
+
+        yield from regions(source or "", _mode(key))
+
+
+@udtf(returnType="comment_line long, target_line long, tool string, rule string, hash string, justification string")
+class Suppressions:
+    def eval(self, key: str, source: str):
+        from codeloom.functions.markers import suppressions
+
+        yield from suppressions(source or "", _mode(key))
+
+
+@udtf(returnType="ord int, name string, key string, extensions array<string>, explicit_only array<string>")
+class Languages:
+    def eval(self):
+        from codeloom.functions.registry import LANGUAGES
+
+        for i, x in enumerate(LANGUAGES):
+            yield i, x.name, x.key, list(x.extensions), list(x.explicit_only)
+
+
 TABLE_FUNCTIONS = {
+    "ignored_regions": IgnoredRegions,
+    "suppressions": Suppressions,
+    "languages": Languages,
     "call_edges": CallEdges,
     "import_sources": ImportSources,
     "function_fingerprints": FunctionFingerprints,

@@ -71,3 +71,24 @@ def test_applies_to(spark):
 def test_suppressions(spark, source, mode, expected):
     got = lines.suppressions(files(spark, (source, mode))).orderBy("comment_line").collect()
     assert [tuple(r)[1:] for r in got] == expected
+
+
+def test_single_file_forms_agree(spark):
+    from codeloom.functions import markers, sqlfuncs
+
+    rng = random.Random(9)
+    bits = ["// tools:off", "// tools:on", "/* tools:off a, b */", "/* tools:off */ /* x */", "x", "", " \u00a0", '// tools:suppress a:b JUSTIFICATION:"q r" HASH:1', "// tools:suppress a", "é\r", "# tools:off", "-- tools:off", "--[[ tools:on ]]"]
+    rows = [("\n".join(rng.choice(bits) for _ in range(rng.randint(0, 9))) + rng.choice(["", "\n"]), rng.choice(["Default", "Python", "Lua", "Ada"])) for _ in range(80)]
+    f = files(spark, *rows)
+    for table, one in ((lines.ignored_regions(f), markers.regions), (lines.suppressions(f), markers.suppressions)):
+        got = {}
+        for r in table.collect():
+            got.setdefault(r["file_id"], []).append(tuple(r)[1:])
+        for i, (source, mode) in enumerate(rows):
+            assert sorted(got.get(i, []), key=str) == sorted(one(source, mode), key=str), (source, mode)
+    sqlfuncs.register(spark)
+    assert spark.sql("SELECT line_end FROM ignored_regions('c', '// tools:off')").first()[0] == 1
+    assert spark.sql("SELECT rule FROM suppressions('python', '# tools:suppress a:b')").first()[0] == "b"
+    assert spark.sql("SELECT count(*) FROM languages()").first()[0] == 16
+    with pytest.raises(Exception, match="unknown language key"):
+        spark.sql("SELECT * FROM suppressions('tsx', '')").collect()
