@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import stage
-from codeloom.llm.textbuf import U64, Block, blocks, sums
+from codeloom.llm.textbuf import BLOCK_BYTES, U64, Block, blocks, sums
 from codeloom.llm.toxicity import held_out
 
 DEPTH = 5
@@ -41,15 +41,31 @@ def contexts(b: Block) -> tuple[np.ndarray, np.ndarray]:
     """Context and byte of every symbol as one number (byte lowest, then the byte before it ...); first symbol of each text (n + 1)."""
     size = np.diff(b.offs)
     begin = np.concatenate([[0], np.cumsum(size + DEPTH + 1)])
-    a = np.full(begin[-1], END, np.uint64)
+    a = np.full(begin[-1], END, np.uint8)
     a[np.arange(len(b.data)) + np.repeat(begin[:-1] + DEPTH - b.offs[:-1], size)] = b.data
-    key = a.copy()
-    for j in range(1, DEPTH + 1):
-        key[j:] |= a[:-j] << U64(8 * j)
     real = np.ones(len(a), bool)
     for j in range(DEPTH):
         real[begin[:-1] + j] = False
-    return key[real], np.concatenate([[0], np.cumsum(size + 1)])
+    return _keys(a)[real], np.concatenate([[0], np.cumsum(size + 1)])
+
+
+def _keys(a: np.ndarray) -> np.ndarray:
+    key = a.astype(np.uint64)
+    a = key.copy()
+    for j in range(1, DEPTH + 1):
+        key[j:] |= a[:-j] << U64(8 * j)
+    return key
+
+
+def pieces(b: Block, most: int = 2 * BLOCK_BYTES):
+    """:func:`contexts` of a block; of a text longer than that, a stretch at a time."""
+    if len(b.data) <= most:
+        yield contexts(b)
+        return
+    a = np.concatenate([np.full(DEPTH, END, np.uint8), b.data, np.full(1, END, np.uint8)])
+    for i in range(DEPTH, len(a), most):
+        k = _keys(a[i - DEPTH : i + most])[DEPTH:]
+        yield k, np.array([0, len(k)])
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +92,8 @@ def _count(batches):
         words = b.word_hashes()
         held[0].append(np.unique(words, return_counts=True))
         held[0].append((np.array([END_TOKEN], np.uint64), np.array([b.n])))
-        held[1].append(np.unique(contexts(b)[0], return_counts=True))
+        for keys, _ in pieces(b):
+            held[1].append(np.unique(keys, return_counts=True))
         size += len(b.data)
         if size >= SETTLE_BYTES:
             yield from flush()
@@ -312,9 +329,9 @@ def _score(model, words):
         m, (vocabulary, freq) = model.value, words.value
         look = Lookup(vocabulary)
         for b in blocks(batches):
-            keys, first = contexts(b)
-            logs = m.log10(keys)
-            score = np.add.reduceat(logs, first[:-1]) if b.n else np.zeros(0)
+            score = np.zeros(b.n)
+            for keys, first in pieces(b):
+                score += np.add.reduceat(m.log10(keys), first[:-1])
             h, (_, _, wf) = b.word_hashes(), b.words()
             at = look.find(h)
             hit = at >= 0

@@ -83,14 +83,20 @@ class Block:
         return self._words
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-        """A 64-bit fingerprint of each span, with A-Z lower-cased if ``fold``."""
-        n = len(self.data)
-        pw, inv = powers(n)
-        acc = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((FOLDED if fold else RAW)[self.data] * pw[:n], out=acc[1:])
-        h = (acc[ends] - acc[starts]) * inv[starts]
-        h += (ends - starts).astype(np.uint64) * U64(0xA0761D6478BD642F)
-        return mix(h)
+        """A 64-bit fingerprint of each span (in order of their starts), with A-Z lower-cased if ``fold``."""
+        out = np.empty(len(starts), dtype=np.uint64)
+        i, table = 0, FOLDED if fold else RAW
+        while i < len(starts):  # spans by where they start, so that scratch space follows the block and not one long text
+            lo = int(starts[i])
+            j = int(np.searchsorted(starts, lo + BLOCK_BYTES, side="right"))
+            s, e = starts[i:j] - lo, ends[i:j] - lo
+            n = int(e.max())
+            pw, inv = powers(n)
+            acc = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(table[self.data[lo : lo + n]] * pw[:n], out=acc[1:])
+            out[i:j] = (acc[e] - acc[s]) * inv[s] + (e - s).astype(np.uint64) * U64(0xA0761D6478BD642F)
+            i = j
+        return mix(out)
 
     def word_hashes(self) -> np.ndarray:
         starts, ends, _ = self.words()

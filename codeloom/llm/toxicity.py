@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.textbuf import FOLDED, U64, Block, blocks, map_texts, mix, powers
+from codeloom.llm.textbuf import FOLDED, U64, Block, blocks, map_texts, mix
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
@@ -26,14 +26,11 @@ DIM = 6
 #: At most so many labelled rows (the first by a hash of doc_id) are fitted on, at the driver.
 FIT_ROWS = 2500
 GRAMS = (3, 5, 7)
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(max(GRAMS))], dtype=np.uint64)
 
 
 def _grams(b: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the byte n-grams of each word and where each word's begin (len + 1). A gram at a word's start or end is its own."""
-    n = len(b.data)
-    pw, inv = powers(n)
-    acc = np.zeros(n + 1, np.uint64)
-    np.cumsum(FOLDED[b.data] * pw[:n], out=acc[1:])
     size = ends - starts
     hs, owners = [], []
     for g in GRAMS:
@@ -42,7 +39,10 @@ def _grams(b: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray,
         owner = np.repeat(np.arange(len(starts)), count)
         at = starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         stop = at + k[owner]
-        h = (acc[stop] - acc[at]) * inv[at] + U64(g * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        h = np.full(len(at), U64(g * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        for j in range(g):
+            inside = np.flatnonzero(at + j < stop) if j else slice(None)
+            h[inside] += FOLDED[b.data[at[inside] + j]] * _POWERS[j]
         h += (at == starts[owner]).astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F)
         h += (stop == ends[owner]).astype(np.uint64) * U64(0x165667B19E3779F9)
         hs.append(mix(h))
