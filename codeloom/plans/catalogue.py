@@ -163,7 +163,7 @@ def external_calls(spark, sf_dir):
 
 @_query(_with("SELECT file_id, n FROM (SELECT file_id, unnest(['helper' || f, 'main' || f]) AS n FROM c)").replace("SELECT file_id, n FROM", "SELECT file_id, n AS name FROM"))
 def local_names(spark, sf_dir):
-    return facts.local_names(_facts(spark, sf_dir, "local_names")).where(~F.col("name").isin("r", "q"))
+    return facts.local_names(_facts(spark, sf_dir, "local_names"))
 
 
 @_query(_with("SELECT file_id, 'main' || g AS callee, (SELECT count(*) FROM c AS o WHERE o.f = c.g) AS definitions FROM c WHERE language <> 'php' AND f <> g"))
