@@ -3,11 +3,12 @@
 A byte is eight binary decisions, and every decision has a tree over the bytes
 before it.  A node's Krichevsky-Trofimov estimate codes what follows its
 context; context-tree weighting mixes the estimates of all depths by how well
-each coded the training texts.  Counts of (context, byte) are gathered from all
-training texts; the tree holds the contexts that make up at least a
-``1 / CONTEXTS``-th of all bytes, so it has at most ``CONTEXTS`` nodes a depth
-however large the corpus is, and what lies beneath a node without a node of its
-own is coded by one further leaf of that node.
+each coded the training texts.  The tree holds every context of the training
+texts, so it grows with the corpus and never is in one place: blocks of text send
+their distinct (context, byte) pairs to the part of the tree below the last
+``SPLIT`` bytes of the context.  The parts send the weights of their roots to the
+driver, which holds the depths above ``SPLIT`` only; with those, each part works
+out the probabilities of its pairs and sends them back to the blocks that asked.
 
 The base score is that of a unigram model of words.  Frequent words (at least a
 ``1 / FREQUENT``-th of all tokens, so at most ``FREQUENT`` words) travel to the
@@ -28,10 +29,13 @@ from codeloom.llm.textbuf import BLOCK_BYTES, U64, Block, blocks, sums
 from codeloom.llm.toxicity import held_out
 
 DEPTH = 5
-CONTEXTS = 1 << 15
+#: Depths below this are on the driver, whatever the corpus at most 256 ** (SPLIT - 1) contexts; those from it on are in parts by their last SPLIT bytes.
+SPLIT = 3
+#: None: every context is kept.  A number: only those that make up such a part of all bytes; what lies beneath a node without a node of its own is coded by one further leaf of that node.
+CONTEXTS = None
 FREQUENT = 1 << 20
-#: Text whose counts are added up before they are sent on.
-SETTLE_BYTES = 32 << 20
+#: Text (about) whose distinct pairs of context and byte are sent for together, and such pairs to a part of the tree.
+GROUP_BYTES, PART_PAIRS = 32 << 20, 1 << 19
 END = 0xFF  # ends a text, and stands before its start; not a byte of UTF-8
 _MASK = [U64((1 << 8 * d) - 1) for d in range(9)]
 END_TOKEN = 0x1E35A7BD3C6EF372  # fingerprint of the end token
@@ -72,33 +76,36 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     k, n = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(k, kind="stable")
     k, n = k[order], n[order]
+    if not len(k):
+        return k, n
     at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     return k[at], np.add.reduceat(n, at)
 
 
-def _count(batches):
-    """Rows ``kind`` (0: word, 1: context and byte), ``key``, ``n`` of the training texts."""
+_COUNTED = "kind int, block long, key long, n long"
+
+
+def _count(texts: pa.Table) -> pa.Table:
+    """Of a block of texts rows ``kind`` (0: word, 1: context and byte), ``block``, ``key``, ``n`` (times in training texts; 0 for a pair of others only)."""
     held: tuple[list, list] = ([], [])
-    size = 0
-
-    def flush():
-        for kind, parts in enumerate(held):
-            if parts:
-                k, n = _merge(parts)
-                yield pa.record_batch({"kind": pa.array(np.full(len(k), kind, np.int32)), "key": pa.array(k.view(np.int64)), "n": pa.array(n)})
-                parts.clear()
-
-    for b in blocks(batches):
-        words = b.word_hashes()
-        held[0].append(np.unique(words, return_counts=True))
-        held[0].append((np.array([END_TOKEN], np.uint64), np.array([b.n])))
-        for keys, _ in pieces(b):
-            held[1].append(np.unique(keys, return_counts=True))
-        size += len(b.data)
-        if size >= SETTLE_BYTES:
-            yield from flush()
-            size = 0
-    yield from flush()
+    for b in blocks(texts.to_batches()):
+        train = ~b.batch.column(b.batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
+        words, (_, _, wf) = b.word_hashes(), b.words()
+        held[0].append(np.unique(words[np.repeat(train, np.diff(wf))], return_counts=True))
+        held[0].append((np.array([END_TOKEN], np.uint64), np.array([train.sum()])))
+        for keys, first in pieces(b):
+            learnt = np.repeat(train, np.diff(first))
+            held[1].append(np.unique(keys[learnt], return_counts=True))
+            other = np.unique(keys[~learnt])
+            held[1].append((other, np.zeros(len(other), np.int64)))
+    out = []
+    block = texts.column("block")[0].as_py()
+    for kind, parts in enumerate(held):
+        k, n = _merge(parts)
+        if not kind:
+            k, n = k[n > 0], n[n > 0]
+        out.append(pa.record_batch({"kind": pa.array(np.full(len(k), kind, np.int32)), "block": pa.array(np.full(len(k), block, np.int64)), "key": pa.array(k.view(np.int64)), "n": pa.array(n, pa.int64())}))
+    return pa.Table.from_batches(out)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -167,14 +174,14 @@ class Level:
 
 
 class Model:
-    def __init__(self, levels: list[Level], tables):
-        self.levels = levels
+    def __init__(self, levels: list[Level], tables, top: Model | None = None):
+        """``top``: a model of the depths above ``levels``."""
+        self.levels = (top.levels if top else []) + levels
         #: For each depth: context * 256 + byte -> log10 probability, for the bytes seen there.
-        self.keys = [k for k, _ in tables]
-        self.logs = [v.astype(np.float32) for _, v in tables]
-        self.pairs = [Lookup(k) for k in self.keys]
-        self.ctx = [Lookup(lv.ctx) for lv in levels]
-        self.flags = []
+        self.logs = (top.logs if top else []) + [v.astype(np.float32) for _, v in tables]
+        self.pairs = (top.pairs if top else []) + [Lookup(k) for k, _ in tables]
+        self.ctx = (top.ctx if top else []) + [Lookup(lv.ctx) for lv in levels]
+        self.flags = list(top.flags) if top else []
         for lv in levels:
             f = np.zeros(1 << 22, bool)
             f[self._flag(lv.ctx)] = True
@@ -240,35 +247,43 @@ class Model:
         return out
 
 
-def build(depths: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
-    """From (context, byte, count) of each depth, sorted by context and byte; every context's shorter ones are there."""
+def _binary(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Contexts, binary nodes (context index * 256 + bits so far), and how many zeros and ones each node counts."""
+    new = np.concatenate([[True], ctx[1:] != ctx[:-1]])
+    idx = np.cumsum(new) - 1
+    byte, n = byte.astype(np.int64), n.astype(float)
+    nodes, zeros, ones = [], [], []
+    for j in range(8):
+        key = idx * 256 + ((1 << j) | (byte >> (8 - j)))
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        bit = (byte >> (7 - j)) & 1
+        nodes.append(key[at])
+        zeros.append(np.add.reduceat(n * (1 - bit), at))
+        ones.append(np.add.reduceat(n * bit, at))
+    node = np.concatenate(nodes)
+    order = np.argsort(node)
+    return ctx[new], node[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
+
+
+def _weigh(depths, first: int = 0, above: np.ndarray | None = None, below=None) -> tuple[list[Level], tuple | None]:
+    """Levels of ``depths`` (from depth ``first`` on) without what comes from above them, and nodes, counts and log weights of the first.
+
+    ``above``: contexts of the depth before.  ``below``: what the depth after adds, as this returns it.
+    """
     raw = []
-    for d, (ctx, byte, n) in enumerate(depths):
+    for ctx, byte, n in depths:
         if not len(ctx):
             break
-        new = np.concatenate([[True], ctx[1:] != ctx[:-1]])
-        idx = np.cumsum(new) - 1
-        byte, n = byte.astype(np.int64), n.astype(float)
-        nodes, zeros, ones = [], [], []
-        for j in range(8):
-            key = idx * 256 + ((1 << j) | (byte >> (8 - j)))
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            bit = (byte >> (7 - j)) & 1
-            nodes.append(key[at])
-            zeros.append(np.add.reduceat(n * (1 - bit), at))
-            ones.append(np.add.reduceat(n * bit, at))
-        node = np.concatenate(nodes)
-        order = np.argsort(node)
-        raw.append((ctx[new], node[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]))
+        raw.append(_binary(ctx, byte, n))
     levels: list[Level] = [None] * len(raw)
-    below = None
     for d in range(len(raw) - 1, -1, -1):
         ctx, node, n0, n1 = raw[d]
         own = kt(n0, n1)
         deeper, c0, c1 = np.zeros(len(node)), np.zeros(len(node)), np.zeros(len(node))
         inner = np.zeros(len(ctx), bool)
         if below is not None:
-            parent, bnode, b0, b1, weighted = below
+            lower, bnode, b0, b1, weighted = below
+            parent = np.searchsorted(ctx, lower & _MASK[first + d])
             at = np.searchsorted(node, parent[bnode >> 8] * 256 + (bnode & 255))
             for total, part in ((deeper, weighted), (c0, b0), (c1, b1)):
                 total += np.bincount(at, part, len(node))
@@ -278,13 +293,20 @@ def build(depths: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
         deep = deeper + kt(o0, o1)
         total = np.where(has, np.logaddexp(own, deep) - np.log(2), own)
         split = np.where(has, np.exp(deep - np.log(2) - total), 0.0)
-        up = np.searchsorted(raw[d - 1][0], ctx & _MASK[d - 1]) if d else np.zeros(len(ctx), np.int64)
+        before = raw[d - 1][0] if d else above
+        up = np.zeros(len(ctx), np.int64) if before is None else np.searchsorted(before, ctx & _MASK[first + d - 1])
         levels[d] = Level(ctx, node, (n1 + 0.5) / (n0 + n1 + 1), split, (o1 + 0.5) / (o0 + o1 + 1), np.zeros(len(node)), np.ones(len(node)), up, inner)
-        below = (up, node, n0, n1, total)
+        below = (ctx, node, n0, n1, total)
+    return levels, below
+
+
+def build(depths: list[tuple[np.ndarray, np.ndarray, np.ndarray]], top: Model | None = None, below=None) -> Model:
+    """From (context, byte, count) of each depth, sorted by context and byte; every context's shorter ones are there, or in ``top``, a model of the depths above."""
+    levels, _ = _weigh(depths, len(top.levels) if top else 0, top.levels[-1].ctx if top else None, below)
     tables = []
     for d, lv in enumerate(levels):
-        if d:
-            before = levels[d - 1]
+        before = levels[d - 1] if d else top.levels[-1] if top else None
+        if before is not None:
             at = np.searchsorted(before.node, lv.parent[lv.node >> 8] * 256 + (lv.node & 255))
             lv.above = before.above[at] + before.left[at] * (1 - before.split[at]) * before.est[at]
             lv.left = before.left[at] * before.split[at]
@@ -297,41 +319,105 @@ def build(depths: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
             q = one[np.searchsorted(lv.node, idx * 256 + ((1 << j) | (byte >> (8 - j))))]
             log += np.log10(np.where((byte >> (7 - j)) & 1, q, 1 - q))
         tables.append(((ctx << U64(8)) | byte.astype(np.uint64), log))
-    return Model(levels, tables)
-
-
-def train(counts: DataFrame) -> Model:
-    """``counts`` (``key, n``) of context and byte -> model. Sums and choice of contexts are distributed; at most CONTEXTS contexts a depth arrive."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    depths = []
-    for d in range(DEPTH + 1):
-        key = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-        pairs = counts.groupBy(key.alias("key")).agg(F.sum("n").alias("n"))
-        if d:
-            often = pairs.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("all")).where(F.col("all") * CONTEXTS >= total)
-            pairs = pairs.withColumn("ctx", F.shiftright("key", 8)).join(often, "ctx", "left_semi")
-        t = pairs.select("key", "n").toPandas()
-        k = t["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(k)
-        k, n = k[order], t["n"].to_numpy(np.int64)[order]
-        depths.append((k >> U64(8), k & U64(255), n))
-    if not total:
+    return Model(levels, tables, top)
+
+
+def _depths(key: np.ndarray, n: np.ndarray, depths, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, byte, count) of some depths, of contexts that occur ``least`` times at least."""
+    out = []
+    for d in depths:
+        k, c = _merge([(key & _MASK[d + 1], n)])
+        ctx = k >> U64(8)
+        if d and len(k):
+            at = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+            keep = np.repeat(np.add.reduceat(c, at) >= least, np.diff(np.append(at, len(k))))
+            k, c, ctx = k[keep], c[keep], ctx[keep]
+        out.append((ctx, k & U64(255), c))
+    return out
+
+
+def _columns(batches, *names):
+    parts = [[b.column(b.schema.get_field_index(c)).to_numpy() for c in names] for b in batches]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * len(names)
+
+
+def _roots(least: int):
+    """Of a part of the tree rows for the driver: ``kind`` 0: context of SPLIT - 1 bytes and byte, times; 1: such a context and node, with the counts and weights of its children added up."""
+
+    def run(batches):
+        key, n = _columns(batches, "key", "n")
+        key, n = _merge([(key.view(np.uint64), n)])
+        if not len(key):
+            return
+        k, c = _merge([(key & _MASK[SPLIT], n)])
+        z = np.zeros(len(k))
+        yield pa.record_batch({"kind": pa.array(z.astype(np.int32)), "key": pa.array(k.view(np.int64)), "a": pa.array(c.astype(float)), "b": pa.array(z), "w": pa.array(z)})
+        _, first = _weigh(_depths(key, n, range(SPLIT, DEPTH + 1), least), SPLIT)
+        if first is not None:
+            ctx, node, n0, n1, w = first
+            k, at = np.unique(((ctx & _MASK[SPLIT - 1])[node >> 8] << U64(8)) | (node & 255).astype(np.uint64), return_inverse=True)
+            a, b, w = (np.bincount(at, x, len(k)) for x in (n0, n1, w))
+            yield pa.record_batch({"kind": pa.array(np.ones(len(k), np.int32)), "key": pa.array(k.view(np.int64)), "a": pa.array(a), "b": pa.array(b), "w": pa.array(w)})
+
+    return run
+
+
+def _top(rows, least: int) -> Model:
+    """Model of the depths above SPLIT from what :func:`_roots` sent."""
+    rows = rows.sort_values(["kind", "key"])
+    own, deep = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
+    below = None
+    if len(deep):
+        key = deep["key"].to_numpy(np.int64).view(np.uint64)
+        ctx, at = np.unique(key >> U64(8), return_inverse=True)
+        below = (ctx, at * 256 + (key & U64(255)).astype(np.int64), *(deep[c].to_numpy(float) for c in "abw"))
+    if not len(own):
         z = np.zeros(1, np.uint64)
-        depths[0] = (z, z + U64(END), np.zeros(1, np.int64))
-    return build(depths)
+        return build([(z, z + U64(END), np.zeros(1, np.int64))])
+    return build(_depths(own["key"].to_numpy(np.int64).view(np.uint64), own["a"].to_numpy().astype(np.int64), range(SPLIT), least), below=below)
+
+
+def _logs(top, least: int):
+    """Rows ``block, key, log`` for the pairs of a part of the tree that blocks ask for."""
+
+    def run(batches):
+        block, key, n = _columns(batches, "block", "key", "n")
+        if not len(key):
+            return
+        u, at = np.unique(key.view(np.uint64), return_inverse=True)
+        n = np.bincount(at, n, len(u)).astype(np.int64)
+        m = top.value
+        if len(m.levels) == SPLIT:
+            m = build(_depths(u[n > 0], n[n > 0], range(SPLIT, DEPTH + 1), least), m)
+        yield pa.record_batch({"block": pa.array(block), "key": pa.array(key), "log": pa.array(m.log10(u).astype(np.float32)[at])})
+
+    return run
+
+
+def log_probabilities(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (``block, key, n``; context and byte, and how often the block's training texts hold it) -> ``block, key, log``: log10 of the byte's probability after its context, by the counts of all blocks."""
+    spark = pairs.sparkSession
+    rows, total = pairs.agg(F.count("*"), F.sum("n")).first()
+    least = -(-(total or 0) // CONTEXTS) if CONTEXTS else 0
+    parts = pairs.repartition(max(1, -(-rows // PART_PAIRS)), F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SPLIT) - 1)))
+    roots = parts.where("n > 0").select("key", "n").mapInArrow(_roots(least), "kind int, key long, a double, b double, w double")
+    top = _top(roots.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in "abw"]).toPandas(), least)
+    return parts.mapInArrow(_logs(spark.sparkContext.broadcast(top), least), "block long, key long, log float")
 
 
 _SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, rare array<long>"
 
 
-def _score(model, words):
-    def run(batches):
-        m, (vocabulary, freq) = model.value, words.value
+def _score(words):
+    def run(texts: pa.Table, logs: pa.Table) -> pa.Table:
+        vocabulary, freq = words.value
         look = Lookup(vocabulary)
-        for b in blocks(batches):
+        pair, log = Lookup(logs.column("key").to_numpy().view(np.uint64)), logs.column("log").to_numpy().astype(float)
+        out = []
+        for b in blocks(texts.to_batches()):
             score = np.zeros(b.n)
             for keys, first in pieces(b):
-                score += np.add.reduceat(m.log10(keys), first[:-1])
+                score += np.add.reduceat(log[pair.find(keys)], first[:-1])
             h, (_, _, wf) = b.word_hashes(), b.words()
             at = look.find(h)
             hit = at >= 0
@@ -339,7 +425,8 @@ def _score(model, words):
             rare_at = np.flatnonzero(~hit)
             rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare_at, wf), pa.int32()), pa.array(h[rare_at].view(np.int64)))
             cols = {c: b.batch.column(i) for i, c in enumerate(("rid", "doc_id", "held_out"))}
-            yield pa.record_batch(cols | {"n_tokens": pa.array(np.diff(wf) + 1), "n_bytes": pa.array(np.diff(b.offs)), "known": pa.array(sums(hit, wf)), "base": pa.array(base), "score": pa.array(score), "rare": rare})
+            out.append(pa.record_batch(cols | {"n_tokens": pa.array(np.diff(wf) + 1), "n_bytes": pa.array(np.diff(b.offs)), "known": pa.array(sums(hit, wf)), "base": pa.array(base), "score": pa.array(score), "rare": rare}))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -356,16 +443,17 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7, 2).alias("held_out"), F.col("text").cast("string").alias("text"))
-    counts = d.where(~F.col("held_out")).select("text").mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = stage.written(counts, "counts")
-    grams, words = counts.where("kind = 1").select("key", "n"), counts.where("kind = 0").select("key", "n")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // GROUP_BYTES + 1)))
+    counts = stage.written(d.groupBy("block").applyInArrow(_count, _COUNTED), "counts")
+    words = stage.written(counts.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")), "words")
     n, v = words.agg(F.sum("n"), F.count("*")).first()
     n = n or 0
-    model = spark.sparkContext.broadcast(train(grams))
+    logs = log_probabilities(counts.where("kind = 1").select("block", "key", "n"))
     often = words.where(F.col("n") * FREQUENT >= n).where(F.col("key") != END_TOKEN).toPandas()
     shared = spark.sparkContext.broadcast((often["key"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(float)))
     end = words.where(F.col("key") == END_TOKEN).agg(F.sum("n")).first()[0] or 0
-    per = stage.written(d.mapInArrow(_score(model, shared), _SCORED), "scored")
+    per = stage.written(d.groupBy("block").cogroup(logs.groupBy("block")).applyInArrow(_score(shared), _SCORED), "scored")
     rare = per.select("rid", F.explode("rare").alias("key")).join(words.where(F.col("n") * FREQUENT < n), "key").groupBy("rid").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("r_base"), F.count("*").alias("r_known"))
     out = per.drop("rare").join(rare.withColumnRenamed("rid", "r_rid"), F.col("rid") == F.col("r_rid"), "left")
     floor = float(np.log10(n * (v + 1.0))) if n else 0.0

@@ -270,6 +270,25 @@ def test_base_score(spark, monkeypatch, frequent):
         assert abs(r["base_score"] - sum(math.log10((c[x] + 1) / (n * (v + 1))) for x in w)) < 1e-6 * max(1, abs(r["base_score"]))
 
 
+def test_the_tree_keeps_every_context(spark, monkeypatch):
+    """Against one tree in memory of all contexts, over several blocks and parts; most contexts make up far less than 2^-15 of the bytes."""
+    monkeypatch.setattr(ctw, "GROUP_BYTES", 20_000)
+    monkeypatch.setattr(ctw, "PART_PAIRS", 9_000)
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("etaoinsü") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(0, 900))) for _ in range(60)] + ["", None]
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    k = ctw.contexts(block_of(train))[0]
+    depths = []
+    for d in range(ctw.DEPTH + 1):
+        u, n = np.unique(k & ctw._MASK[d + 1], return_counts=True)
+        depths.append((u >> np.uint64(8), u & np.uint64(255), n))
+    assert len(k) > 2 << 15
+    m = ctw.build(depths)
+    for r in ctw.score_texts(table(spark, texts)).collect():
+        want = m.log10(ctw.contexts(block_of([texts[r["doc_id"]]]))[0]).sum()
+        assert abs(r["score"] - want) < 1e-4 * max(1, abs(want))
+
+
 def test_probabilities_of_all_bytes_sum_to_one():
     k = ctw.contexts(block_of(["the theme of them " * 6, "over there"]))[0]
     depths = []
