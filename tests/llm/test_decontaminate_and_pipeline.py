@@ -89,6 +89,33 @@ def test_search_recall_against_all_windows():
     assert exact & wide == exact & found  # the bound on shared words only leaves out what would fail
 
 
+@pytest.mark.parametrize("replaced", [0.3, 0.4, 0.5])
+def test_recall_where_many_words_are_replaced(spark, replaced):
+    """Documents that hold passages with their answer and the other words replaced up to what the rule accepts, against the rule on all windows."""
+    docs, bench, _ = corpus(6, 240)
+    rng = random.Random(7)
+    vocabulary = sorted({w for _, t in docs for w in t.split()})
+    long = [(k, x.split()) for k, x in bench if 15 <= len(x.split()) <= D.PART]
+    for i in range(0, 240, 2):
+        w, (_, x) = docs[i][1].split(), rng.choice(long)
+        for j in rng.sample(range(len(x) - D.ANSWER), min(len(x) - D.ANSWER, int(replaced * len(x)))):
+            x = [*x[:j], rng.choice(vocabulary), *x[j + 1 :]]
+        at = rng.randint(0, len(w))
+        docs[i] = (i, " ".join(w[:at] + x + w[at:]))
+    b, q = block_of([t for _, t in docs]), D.Queries(bench, np.zeros((D.TERMS, D.RANK), np.float32))
+    h, (_, _, first) = b.word_hashes(), b.words()
+    want = set()
+    for row in range(b.n):
+        for k, own in enumerate(q.words):
+            for at in range(int(first[row]), int(first[row + 1]), D.STEP):
+                got, answer = D.verify(q, k, h[max(int(first[row]), at - D.STEP) : min(int(first[row + 1]), at + len(own) + 2 * D.STEP)])
+                if got >= D.VERBATIM * len(own) or answer and got >= D.PARAPHRASE * len(own):
+                    want.add((row, q.item[k]))
+                    break
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(*frames(spark, docs, bench)).collect()}
+    assert got <= want and len(want) > 100 and len(got) >= 0.9 * len(want)
+
+
 def test_odd_rows(spark):
     d, b = frames(spark, [(1, None), (2, ""), (None, "a b c d e f g h"), (3, "a b c d e f g h"), (3, "a b c d e f g h"), (4, "x " * 3000 + "A b c D e f g h")], [(1, "a b c d e f g h"), (2, None), (3, ""), (None, "x x x"), (1, "a b c d e f g h")])
     assert {r["doc_id"] for r in D.leaks(d, b).collect()} <= {3, 4}
