@@ -456,7 +456,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     per = stage.written(d.groupBy("block").cogroup(logs.groupBy("block")).applyInArrow(_score(shared), _SCORED), "scored")
     rare = per.select("rid", F.explode("rare").alias("key")).join(words.where(F.col("n") * FREQUENT < n), "key").groupBy("rid").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("r_base"), F.count("*").alias("r_known"))
     out = per.drop("rare").join(rare.withColumnRenamed("rid", "r_rid"), F.col("rid") == F.col("r_rid"), "left")
-    floor = float(np.log10(n * (v + 1.0))) if n else 0.0
+    floor = float(np.log10(n + v + 1.0))
     base = F.col("base") + F.coalesce("r_base", F.lit(0.0)) + float(np.log10(end + 1.0)) - F.col("n_tokens") * floor
     known = F.col("known") + F.coalesce("r_known", F.lit(0)) + int(end > 0)
     bits = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))

@@ -270,6 +270,16 @@ def test_base_score(spark, monkeypatch, frequent):
         assert abs(r["base_score"] - sum(math.log10((c[x] + 1) / (n * (v + 1))) for x in w)) < 1e-6 * max(1, abs(r["base_score"]))
 
 
+def test_base_score_is_add_one(spark):
+    """log10((c + 1) / (n + v + 1)): known words and one unknown have chances that add up to one."""
+    texts = [f"w{i} w{i % 3} x" for i in range(12)]
+    tokens = [[*t.split(), None] for t in texts]
+    c = collections.Counter(w for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
+    n, v = sum(c.values()), len(c)
+    for r in ctw.score_texts(table(spark, texts)).collect():
+        assert abs(r["base_score"] - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens[r["doc_id"]])) < 1e-6
+
+
 def test_the_tree_keeps_every_context(spark, monkeypatch):
     """Against one tree in memory of all contexts, over several blocks and parts; most contexts make up far less than 2^-15 of the bytes."""
     monkeypatch.setattr(ctw, "GROUP_BYTES", 20_000)
