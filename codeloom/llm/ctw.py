@@ -3,16 +3,16 @@
 A byte is eight binary decisions, and every decision has a tree over the bytes
 before it.  A node's Krichevsky-Trofimov estimate codes what follows its
 context; context-tree weighting mixes the estimates of all depths by how well
-each coded the training texts.  The tree holds every context of the training
-texts, so it grows with the corpus and never is in one place: blocks of text send
-their distinct (context, byte) pairs to the part of the tree below the last
-``SPLIT`` bytes of the context.  The parts send the weights of their roots to the
-driver, which holds the depths above ``SPLIT`` only; with those, each part works
-out the probabilities of its pairs and sends them back to the blocks that asked.
-
-The base score is that of a unigram model of words.  Frequent words (at least a
-``1 / FREQUENT``-th of all tokens, so at most ``FREQUENT`` words) travel to the
-texts; rare ones meet their counts in a join, which no frequent key can skew.
+each coded the training texts.  What is coded is what the base score is about:
+a text's words with A-Z lower-cased, one space between them, and its end.
+
+The tree holds every context of the training texts, so it grows with the corpus
+and never is in one place.  Blocks of text send their distinct (context, byte)
+pairs, sorted and packed to about a byte each, to the part of the tree below
+the last ``SPLIT`` bytes of the context.  The parts send the weights of their
+roots to the driver, which holds the depths above ``SPLIT`` only; with those,
+each part works out the probabilities of its pairs and answers in the order in
+which it was asked.  Words of the base score are asked for and counted alike.
 """
 
 from __future__ import annotations
@@ -21,26 +21,38 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import stage
-from codeloom.llm.textbuf import BLOCK_BYTES, U64, Block, blocks, sums
+from codeloom.llm.textbuf import BLOCK_BYTES, LOWER, NONSPACE, U64, Block, blocks, mix, sums
 from codeloom.llm.toxicity import held_out
 
-DEPTH = 5
+DEPTH = 7
 #: Depths below this are on the driver, whatever the corpus at most 256 ** (SPLIT - 1) contexts; those from it on are in parts by their last SPLIT bytes.
 SPLIT = 3
 #: None: every context is kept.  A number: only those that make up such a part of all bytes; what lies beneath a node without a node of its own is coded by one further leaf of that node.
 CONTEXTS = None
-FREQUENT = 1 << 20
-#: Text (about) whose distinct pairs of context and byte are sent for together, and such pairs to a part of the tree.
-GROUP_BYTES, PART_PAIRS = 32 << 20, 1 << 19
+#: Text (about) that asks together; pairs (about) that a part of the tree is asked for, and parts at most: beyond that many, a part answers in several tasks.
+GROUP_BYTES, PART_PAIRS, MOST_PARTS = 48 << 20, 1 << 19, 4096
 END = 0xFF  # ends a text, and stands before its start; not a byte of UTF-8
 _MASK = [U64((1 << 8 * d) - 1) for d in range(9)]
 END_TOKEN = 0x1E35A7BD3C6EF372  # fingerprint of the end token
 
 
+def folded(b: Block) -> Block:
+    """The texts as they are coded: A-Z lower-cased, white space between words as one space, none around them."""
+    starts, _, first = b.words()
+    keep = NONSPACE[b.data]
+    data = np.where(keep, LOWER[b.data], np.uint8(32))
+    inner = np.ones(len(starts), bool)
+    inner[first[:-1][first[:-1] < first[1:]]] = False
+    keep[starts[inner] - 1] = True
+    offs = np.concatenate([[0], np.cumsum(keep)])[b.offs]
+    return Block(data[keep], offs, b.batch)
+
+
 def contexts(b: Block) -> tuple[np.ndarray, np.ndarray]:
     """Context and byte of every symbol as one number (byte lowest, then the byte before it ...); first symbol of each text (n + 1)."""
     size = np.diff(b.offs)
@@ -72,40 +84,147 @@ def pieces(b: Block, most: int = 2 * BLOCK_BYTES):
         yield k, np.array([0, len(k)])
 
 
+def _turn(keys: np.ndarray) -> np.ndarray:
+    """Keys with the byte before first, then the one before that ..., the byte itself last: sorted, what shares a context is together at every depth."""
+    return ((keys >> U64(8)) | (keys << U64(56))).byteswap()
+
+
+def _distinct(a: np.ndarray) -> np.ndarray:
+    """Where the runs of a sorted array begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]]))
+
+
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    k, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(k, kind="stable")
-    k, n = k[order], n[order]
-    if not len(k):
-        return k, n
-    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return k[at], np.add.reduceat(n, at)
+    """Sorted distinct keys of parts of (sorted distinct keys, numbers), and their sums."""
+    if len(parts) == 1:
+        return parts[0]
+    k = np.sort(np.concatenate([x for x, _ in parts])) if parts else np.zeros(0, np.uint64)
+    k = k[_distinct(k)]
+    n = np.zeros(len(k), np.int64)
+    for x, m in parts:
+        n[np.searchsorted(k, x)] += m
+    return k, n
+
+
+class Tally:
+    """Distinct keys of many arrays and how often each occurs, with little beside them."""
+
+    def __init__(self, most: int = 6 << 20):
+        self.most, self.raw, self.held, self.parts = most, [], 0, []
+
+    def add(self, keys: np.ndarray) -> None:
+        self.raw.append(keys)
+        self.held += len(keys)
+        if self.held >= self.most:
+            self._settle()
+
+    def _settle(self) -> None:
+        a = np.concatenate(self.raw) if self.raw else np.zeros(0, np.uint64)
+        self.raw, self.held = [], 0
+        a.sort()
+        at = _distinct(a)
+        self.parts.append((a[at], np.diff(np.append(at, len(a)))))
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        self._settle()
+        return _merge(self.parts)
+
 
+def pack(a: np.ndarray) -> bytes:
+    """64-bit numbers plane by plane of their bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes())
 
-_COUNTED = "kind int, block long, key long, n long"
 
+def unpack(z: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(z), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64)
 
-def _count(texts: pa.Table) -> pa.Table:
-    """Of a block of texts rows ``kind`` (0: word, 1: context and byte), ``block``, ``key``, ``n`` (times in training texts; 0 for a pair of others only)."""
-    held: tuple[list, list] = ([], [])
+
+def pack_sorted(a: np.ndarray) -> bytes:
+    return pack(np.diff(a, prepend=U64(0)))
+
+
+def unpack_sorted(z: bytes) -> np.ndarray:
+    return np.cumsum(unpack(z), dtype=np.uint64)
+
+
+def pack_logs(x: np.ndarray) -> bytes:
+    """Logarithms to 14 binary digits."""
+    bits = x.astype(np.float32).view(np.uint32)
+    return pack((bits + np.uint32(1 << 9)) & np.uint32(0xFFFFFC00))
+
+
+def unpack_logs(z: bytes) -> np.ndarray:
+    return unpack(z).astype(np.uint32).view(np.float32).astype(float)
+
+
+def _learnt(b: Block) -> np.ndarray:
+    return ~b.batch.column(b.batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
+
+
+def _asks(texts: pa.Table, parts: int):
+    """Of a block of texts: what it asks for of pairs and of words, as sorted distinct keys, times in training texts and part of each."""
+    train, other = (Tally(), Tally()), (Tally(), Tally())
     for b in blocks(texts.to_batches()):
-        train = ~b.batch.column(b.batch.schema.get_field_index("held_out")).to_numpy(zero_copy_only=False)
+        learnt = _learnt(b)
         words, (_, _, wf) = b.word_hashes(), b.words()
-        held[0].append(np.unique(words[np.repeat(train, np.diff(wf))], return_counts=True))
-        held[0].append((np.array([END_TOKEN], np.uint64), np.array([train.sum()])))
-        for keys, first in pieces(b):
-            learnt = np.repeat(train, np.diff(first))
-            held[1].append(np.unique(keys[learnt], return_counts=True))
-            other = np.unique(keys[~learnt])
-            held[1].append((other, np.zeros(len(other), np.int64)))
-    out = []
-    block = texts.column("block")[0].as_py()
-    for kind, parts in enumerate(held):
-        k, n = _merge(parts)
-        if not kind:
-            k, n = k[n > 0], n[n > 0]
-        out.append(pa.record_batch({"kind": pa.array(np.full(len(k), kind, np.int32)), "block": pa.array(np.full(len(k), block, np.int64)), "key": pa.array(k.view(np.int64)), "n": pa.array(n, pa.int64())}))
-    return pa.Table.from_batches(out)
+        mine = np.repeat(learnt, np.diff(wf))
+        train[1].add(words[mine])
+        other[1].add(words[~mine])
+        train[1].add(np.full(learnt.sum(), END_TOKEN, np.uint64))
+        other[1].add(np.full(1, END_TOKEN, np.uint64))
+        for keys, first in pieces(folded(b)):
+            mine = np.repeat(learnt, np.diff(first))
+            keys = _turn(keys)
+            train[0].add(keys[mine])
+            other[0].add(keys[~mine])
+    for kind in range(2):
+        k, n = other[kind].result()
+        k, n = _merge([train[kind].result(), (k, np.zeros(len(k), np.int64))])
+        yield k, n, (mix(k if kind else k >> U64(64 - 8 * SPLIT)) % U64(parts)).astype(np.uint16) + np.uint16(kind * parts)
+
+
+def _ordered(part: np.ndarray):
+    """An order by part, and for each part that occurs its stretch of that order."""
+    order = np.argsort(part, kind="stable")
+    sorted_ = part[order]
+    at = _distinct(sorted_)
+    return order, list(zip(sorted_[at].tolist(), at.tolist(), np.append(at[1:], len(part)).tolist()))
+
+
+_ASKED = "block long, part int, keys binary, ns binary"
+
+
+def _ask(parts: int):
+    def run(texts: pa.Table) -> pa.Table:
+        rows = []
+        for k, n, part in _asks(texts, parts):
+            order, stretches = _ordered(part)
+            k, n = k[order], n[order]
+            rows += [(p, pack_sorted(k[i:j]), pack(n[i:j])) for p, i, j in stretches]
+        block = texts.column("block")[0].as_py()
+        return pa.table([pa.array([block] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary())))], names=["block", "part", "keys", "ns"])
+
+    return run
+
+
+_GATHERED = "part int, keys binary, ns binary, distinct long, total long, blocks array<long>, asked array<binary>"
+
+
+def _gather(rows: pa.Table) -> pa.Table:
+    """One row of all that a part is asked for: its pairs with their times in training texts, and each block's keys."""
+    part, keys = rows.column("part")[0].as_py(), rows.column("keys").to_pylist()
+    held: list = []
+    for z, n in zip(keys, rows.column("ns").to_pylist()):
+        k, n = unpack_sorted(z), unpack(n).view(np.int64)
+        held.append((k[n > 0], n[n > 0]))
+        if len(held) > 1 and sum(len(x) for x, _ in held[1:]) > max(1 << 18, len(held[0][0])):
+            held = [_merge(held)]
+    k, n = _merge(held)
+    asked = "block" in rows.schema.names
+    cols = [[part], [pack_sorted(k)], [pack(n)], [len(k)], [int(n.sum())], [rows.column("block").to_pylist() if asked else []], [keys if asked else []]]
+    types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary())]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types)], names=[x.split()[0] for x in _GATHERED.split(", ")])
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -117,45 +236,33 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+_SMALL = 1 << 12
+_HALF, _WHOLE = lgamma(np.arange(_SMALL) + 0.5), lgamma(np.arange(_SMALL) + 1.0)
+
+
+def _gamma(n: np.ndarray, more: float, table: np.ndarray) -> np.ndarray:
+    out = table[np.minimum(n, _SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero(n >= _SMALL)
+    out[large] = lgamma(n[large] + more)
+    return out
+
+
 def kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - 1.1447298858494002
-
-
-class Lookup:
-    """Numbers to positions by open addressing, for whole arrays at once."""
-
-    def __init__(self, keys: np.ndarray):
-        bits = max(4, int(2 * len(keys) + 1).bit_length())
-        self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
-        self.slots = np.full(1 << bits, -1, np.int32)
-        self.keys = np.zeros(1 << bits, np.uint64)
-        todo, at = np.arange(len(keys)), self._slot(keys)
-        while len(todo):
-            free = self.slots[at] < 0
-            self.slots[at[free]] = todo[free]  # of several, the last stays
-            self.keys[at[free]] = keys[todo[free]]
-            lost = self.slots[at] != todo
-            todo, at = todo[lost], (at[lost] + 1) & self.mask
-
-    def _slot(self, keys):
-        return ((keys * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Position of each key, -1 if it isn't there."""
-        at = self._slot(keys)
-        out = self.slots[at]
-        wrong = np.flatnonzero((self.keys[at] != keys) & (out >= 0))
-        out[wrong] = -1
-        at = at[wrong]
-        while len(wrong):
-            at = (at + 1) & self.mask
-            s = self.slots[at]
-            hit = (s >= 0) & (self.keys[at] == keys[wrong])
-            out[wrong[hit]] = s[hit]
-            more = (s >= 0) & ~hit
-            wrong, at = wrong[more], at[more]
-        return out
+    return _gamma(a, 0.5, _HALF) + _gamma(b, 0.5, _HALF) - _gamma(a + b, 1.0, _WHOLE) - 1.1447298858494002
+
+
+def _rows(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Position of each key in a sorted table, -1 if it isn't there."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
+def _near(ctx: np.ndarray, d: int) -> np.ndarray:
+    """Contexts of d bytes (the last byte lowest) as numbers with the last byte first."""
+    return ctx.byteswap() >> U64(64 - 8 * d) if d else ctx & _MASK[0]
 
 
 @dataclass
@@ -177,46 +284,33 @@ class Model:
     def __init__(self, levels: list[Level], tables, top: Model | None = None):
         """``top``: a model of the depths above ``levels``."""
         self.levels = (top.levels if top else []) + levels
-        #: For each depth: context * 256 + byte -> log10 probability, for the bytes seen there.
-        self.logs = (top.logs if top else []) + [v.astype(np.float32) for _, v in tables]
-        self.pairs = (top.pairs if top else []) + [Lookup(k) for k, _ in tables]
-        self.ctx = (top.ctx if top else []) + [Lookup(lv.ctx) for lv in levels]
-        self.flags = list(top.flags) if top else []
-        for lv in levels:
-            f = np.zeros(1 << 22, bool)
-            f[self._flag(lv.ctx)] = True
-            self.flags.append(f)
-
-    @staticmethod
-    def _flag(ctx):
-        return ((ctx * U64(0xD6E8FEB86659FD93)) >> U64(42)).astype(np.int64)
+        #: For each depth: context * 256 + byte, and log10 probability of the bytes seen there.
+        self.tables = (top.tables if top else []) + tables
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after its context."""
+        """log10 probability of each symbol (a key as of :func:`contexts`) after its context."""
+        return self.log10_turned(_turn(keys))
+
+    def log10_turned(self, keys: np.ndarray) -> np.ndarray:
+        """The same of keys as of :func:`_turn`; fast where those are sorted."""
         out = np.zeros(len(keys))
         todo = np.arange(len(keys))
+        byte = keys & U64(255)
         slow = []
         for d in range(len(self.levels) - 1, -1, -1):
-            if not len(todo):
-                break
-            k = keys[todo]
-            c = (k >> U64(8)) & _MASK[d]
-            may = self.flags[d][self._flag(c)] if d else np.ones(len(k), bool)
-            at = np.flatnonzero(may)
-            pos = self.pairs[d].find((c[at] << U64(8)) | (k[at] & U64(255)))
+            c = keys[todo] >> U64(64 - 8 * d) if d else np.zeros(len(todo), np.uint64)
+            ctx = _rows(self.levels[d].ctx, c)
+            there = ctx >= 0
+            at, ctx, c = todo[there], ctx[there], c[there]
+            pair, log = self.tables[d]
+            pos = _rows(pair, (c << U64(8)) | byte[at])
             hit = pos >= 0
-            out[todo[at[hit]]] = self.logs[d][pos[hit]]
-            rest = at[~hit]
-            known = self.ctx[d].find(c[rest])
-            there = known >= 0
-            slow.append((todo[rest[there]], np.full(there.sum(), d), known[there]))
-            gone = np.zeros(len(todo), bool)
-            gone[at[hit]] = True
-            gone[rest[there]] = True
-            todo = todo[~gone]
+            out[at[hit]] = log[pos[hit]]
+            slow.append((at[~hit], d, ctx[~hit]))
+            todo = todo[~there]
         for at, d, ctx in slow:
             if len(at):
-                out[at] = self._unseen(int(d[0]), ctx, keys[at] & U64(255))
+                out[at] = self._unseen(d, ctx, byte[at])
         return out
 
     def _unseen(self, d: int, ctx: np.ndarray, byte: np.ndarray) -> np.ndarray:
@@ -261,12 +355,15 @@ def _binary(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
         zeros.append(np.add.reduceat(n * (1 - bit), at))
         ones.append(np.add.reduceat(n * bit, at))
     node = np.concatenate(nodes)
-    order = np.argsort(node)
+    if len(node) and node.max() < 1 << 32:  # sorting plain numbers is several times as fast
+        order = np.sort((node << 31) | np.arange(len(node))) & ((1 << 31) - 1)
+    else:
+        order = np.argsort(node)
     return ctx[new], node[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
 
 
-def _weigh(depths, first: int = 0, above: np.ndarray | None = None, below=None) -> tuple[list[Level], tuple | None]:
-    """Levels of ``depths`` (from depth ``first`` on) without what comes from above them, and nodes, counts and log weights of the first.
+def _weigh(depths, above: np.ndarray | None = None, below=None) -> tuple[list[Level], tuple | None]:
+    """Levels of ``depths`` without what comes from above them, and nodes, counts and log weights of the first.
 
     ``above``: contexts of the depth before.  ``below``: what the depth after adds, as this returns it.
     """
@@ -283,7 +380,7 @@ def _weigh(depths, first: int = 0, above: np.ndarray | None = None, below=None)
         inner = np.zeros(len(ctx), bool)
         if below is not None:
             lower, bnode, b0, b1, weighted = below
-            parent = np.searchsorted(ctx, lower & _MASK[first + d])
+            parent = np.searchsorted(ctx, lower >> U64(8))
             at = np.searchsorted(node, parent[bnode >> 8] * 256 + (bnode & 255))
             for total, part in ((deeper, weighted), (c0, b0), (c1, b1)):
                 total += np.bincount(at, part, len(node))
@@ -294,15 +391,25 @@ def _weigh(depths, first: int = 0, above: np.ndarray | None = None, below=None)
         total = np.where(has, np.logaddexp(own, deep) - np.log(2), own)
         split = np.where(has, np.exp(deep - np.log(2) - total), 0.0)
         before = raw[d - 1][0] if d else above
-        up = np.zeros(len(ctx), np.int64) if before is None else np.searchsorted(before, ctx & _MASK[first + d - 1])
+        up = np.zeros(len(ctx), np.int64) if before is None else np.searchsorted(before, ctx >> U64(8))
         levels[d] = Level(ctx, node, (n1 + 0.5) / (n0 + n1 + 1), split, (o1 + 0.5) / (o0 + o1 + 1), np.zeros(len(node)), np.ones(len(node)), up, inner)
         below = (ctx, node, n0, n1, total)
     return levels, below
 
 
-def build(depths: list[tuple[np.ndarray, np.ndarray, np.ndarray]], top: Model | None = None, below=None) -> Model:
-    """From (context, byte, count) of each depth, sorted by context and byte; every context's shorter ones are there, or in ``top``, a model of the depths above."""
-    levels, _ = _weigh(depths, len(top.levels) if top else 0, top.levels[-1].ctx if top else None, below)
+def build(depths: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
+    """From (context, byte, count) of each depth, the context's last byte lowest; every context's shorter ones are there."""
+    out = []
+    for d, (ctx, byte, n) in enumerate(depths):
+        k = (_near(ctx, d) << U64(8)) | byte
+        order = np.argsort(k)
+        out.append((k[order] >> U64(8), byte[order], n[order]))
+    return _build(out)
+
+
+def _build(depths, top: Model | None = None, below=None) -> Model:
+    """From (context, byte, count) of each depth, sorted, the context's last byte first; ``top``: a model of the depths above."""
+    levels, _ = _weigh(depths, top.levels[-1].ctx if top else None, below)
     tables = []
     for d, lv in enumerate(levels):
         before = levels[d - 1] if d else top.levels[-1] if top else None
@@ -322,110 +429,130 @@ def build(depths: list[tuple[np.ndarray, np.ndarray, np.ndarray]], top: Model |
     return Model(levels, tables, top)
 
 
-def _depths(key: np.ndarray, n: np.ndarray, depths, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(context, byte, count) of some depths, of contexts that occur ``least`` times at least."""
+def _collapse(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and the sums of their numbers."""
+    u = np.sort(k)
+    u = u[_distinct(u)]
+    return u, np.bincount(np.searchsorted(u, k), n, len(u)).astype(np.int64)
+
+
+def _depths(k: np.ndarray, n: np.ndarray, shallow: int, deep: int, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(context, byte, count) of some depths, of contexts that occur ``least`` times at least, from those of the deepest (context * 256 + byte, sorted)."""
+    pairs = [(k, n)]
+    for _ in range(deep - shallow):
+        k, n = _collapse(((k >> U64(16)) << U64(8)) | (k & U64(255)), n)
+        pairs.append((k, n))
     out = []
-    for d in depths:
-        k, c = _merge([(key & _MASK[d + 1], n)])
+    for d, (k, n) in zip(range(shallow, deep + 1), reversed(pairs)):
         ctx = k >> U64(8)
-        if d and len(k):
-            at = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-            keep = np.repeat(np.add.reduceat(c, at) >= least, np.diff(np.append(at, len(k))))
-            k, c, ctx = k[keep], c[keep], ctx[keep]
-        out.append((ctx, k & U64(255), c))
+        if d and least and len(k):
+            at = _distinct(ctx)
+            keep = np.repeat(np.add.reduceat(n, at) >= least, np.diff(np.append(at, len(k))))
+            k, n, ctx = k[keep], n[keep], ctx[keep]
+        out.append((ctx, k & U64(255), n))
     return out
 
 
-def _columns(batches, *names):
-    parts = [[b.column(b.schema.get_field_index(c)).to_numpy() for c in names] for b in batches]
-    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * len(names)
+def _deepest(key: np.ndarray) -> np.ndarray:
+    """Sorted keys as of :func:`_turn` as context of DEPTH bytes * 256 + byte."""
+    return ((key >> U64(64 - 8 * DEPTH)) << U64(8)) | (key & U64(255))
 
 
 def _roots(least: int):
-    """Of a part of the tree rows for the driver: ``kind`` 0: context of SPLIT - 1 bytes and byte, times; 1: such a context and node, with the counts and weights of its children added up."""
+    """Of parts of the tree rows for the driver: ``kind`` 0: context of SPLIT - 1 bytes and byte, times; 1: such a context and node, with the counts and weights of its children added up."""
 
     def run(batches):
-        key, n = _columns(batches, "key", "n")
-        key, n = _merge([(key.view(np.uint64), n)])
-        if not len(key):
-            return
-        k, c = _merge([(key & _MASK[SPLIT], n)])
-        z = np.zeros(len(k))
-        yield pa.record_batch({"kind": pa.array(z.astype(np.int32)), "key": pa.array(k.view(np.int64)), "a": pa.array(c.astype(float)), "b": pa.array(z), "w": pa.array(z)})
-        _, first = _weigh(_depths(key, n, range(SPLIT, DEPTH + 1), least), SPLIT)
-        if first is not None:
-            ctx, node, n0, n1, w = first
-            k, at = np.unique(((ctx & _MASK[SPLIT - 1])[node >> 8] << U64(8)) | (node & 255).astype(np.uint64), return_inverse=True)
-            a, b, w = (np.bincount(at, x, len(k)) for x in (n0, n1, w))
-            yield pa.record_batch({"kind": pa.array(np.ones(len(k), np.int32)), "key": pa.array(k.view(np.int64)), "a": pa.array(a), "b": pa.array(b), "w": pa.array(w)})
+        for batch in batches:
+            for zk, zn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key, n = unpack_sorted(zk), unpack(zn).view(np.int64)
+                if not len(key):
+                    continue
+                depths = _depths(_deepest(key), n, SPLIT, DEPTH, least)
+                k, c = _collapse(((key >> U64(64 - 8 * (SPLIT - 1))) << U64(8)) | (key & U64(255)), n)
+                z = np.zeros(len(k))
+                yield pa.record_batch({"kind": pa.array(z.astype(np.int32)), "key": pa.array(k.view(np.int64)), "a": pa.array(c.astype(float)), "b": pa.array(z), "w": pa.array(z)})
+                first = _weigh(depths)[1]
+                if first is not None:
+                    ctx, node, n0, n1, w = first
+                    k, at = np.unique(((ctx >> U64(8))[node >> 8] << U64(8)) | (node & 255).astype(np.uint64), return_inverse=True)
+                    a, b, w = (np.bincount(at, x, len(k)) for x in (n0, n1, w))
+                    yield pa.record_batch({"kind": pa.array(np.ones(len(k), np.int32)), "key": pa.array(k.view(np.int64)), "a": pa.array(a), "b": pa.array(b), "w": pa.array(w)})
 
     return run
 
 
 def _top(rows, least: int) -> Model:
     """Model of the depths above SPLIT from what :func:`_roots` sent."""
-    rows = rows.sort_values(["kind", "key"])
+    rows = rows.assign(key=rows["key"].to_numpy(np.int64).view(np.uint64)).sort_values(["kind", "key"])
     own, deep = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
     below = None
     if len(deep):
-        key = deep["key"].to_numpy(np.int64).view(np.uint64)
+        key = deep["key"].to_numpy(np.uint64)
         ctx, at = np.unique(key >> U64(8), return_inverse=True)
-        below = (ctx, at * 256 + (key & U64(255)).astype(np.int64), *(deep[c].to_numpy(float) for c in "abw"))
+        below = (ctx << U64(8), at * 256 + (key & U64(255)).astype(np.int64), *(deep[c].to_numpy(float) for c in "abw"))
     if not len(own):
         z = np.zeros(1, np.uint64)
-        return build([(z, z + U64(END), np.zeros(1, np.int64))])
-    return build(_depths(own["key"].to_numpy(np.int64).view(np.uint64), own["a"].to_numpy().astype(np.int64), range(SPLIT), least), below=below)
+        return _build([(z, z + U64(END), np.zeros(1, np.int64))])
+    return _build(_depths(own["key"].to_numpy(np.uint64), own["a"].to_numpy().astype(np.int64), 0, SPLIT - 1, least), below=below)
 
 
-def _logs(top, least: int):
-    """Rows ``block, key, log`` for the pairs of a part of the tree that blocks ask for."""
+def _answer(top, parts: int, least: int):
+    """Rows ``block, part, values`` for what blocks ask of a part: log10 probabilities of pairs, or times of words."""
 
     def run(batches):
-        block, key, n = _columns(batches, "block", "key", "n")
-        if not len(key):
-            return
-        u, at = np.unique(key.view(np.uint64), return_inverse=True)
-        n = np.bincount(at, n, len(u)).astype(np.int64)
-        m = top.value
-        if len(m.levels) == SPLIT:
-            m = build(_depths(u[n > 0], n[n > 0], range(SPLIT, DEPTH + 1), least), m)
-        yield pa.record_batch({"block": pa.array(block), "key": pa.array(key), "log": pa.array(m.log10(u).astype(np.float32)[at])})
+        for batch in batches:
+            part, zk, zn, ids, asked = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", "keys", "ns", "blocks", "asked"))
+            for p, k, n, blocks_, wanted in zip(part, zk, zn, ids, asked):
+                k, n = unpack_sorted(k), unpack(n).view(np.int64)
+                wanted = [unpack_sorted(w) for w in wanted]
+                if p < parts:
+                    m = top.value
+                    if len(m.levels) == SPLIT and len(k):
+                        m = _build(_depths(_deepest(k), n, SPLIT, DEPTH, least), m)
+                    u = np.sort(np.concatenate(wanted))
+                    u = u[_distinct(u)]
+                    log = m.log10_turned(u)
+                    out = [pack_logs(log[np.searchsorted(u, w)]) for w in wanted]
+                else:
+                    at = [_rows(k, w) for w in wanted]
+                    out = [pack(np.where(a >= 0, n[a], 0) if len(n) else np.zeros(len(a), np.int64)) for a in at]
+                yield pa.record_batch({"block": pa.array(blocks_, pa.int64()), "part": pa.array([p] * len(out), pa.int32()), "values": pa.array(out, pa.binary())})
 
     return run
 
 
-def log_probabilities(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (``block, key, n``; context and byte, and how often the block's training texts hold it) -> ``block, key, log``: log10 of the byte's probability after its context, by the counts of all blocks."""
-    spark = pairs.sparkSession
-    rows, total = pairs.agg(F.count("*"), F.sum("n")).first()
-    least = -(-(total or 0) // CONTEXTS) if CONTEXTS else 0
-    parts = pairs.repartition(max(1, -(-rows // PART_PAIRS)), F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * SPLIT) - 1)))
-    roots = parts.where("n > 0").select("key", "n").mapInArrow(_roots(least), "kind int, key long, a double, b double, w double")
-    top = _top(roots.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in "abw"]).toPandas(), least)
-    return parts.mapInArrow(_logs(spark.sparkContext.broadcast(top), least), "block long, key long, log float")
-
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
-_SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, base double, score double, rare array<long>"
 
+def _score(parts: int, total: int, distinct: int):
+    floor = np.log10(total + distinct + 1.0)
 
-def _score(words):
-    def run(texts: pa.Table, logs: pa.Table) -> pa.Table:
-        vocabulary, freq = words.value
-        look = Lookup(vocabulary)
-        pair, log = Lookup(logs.column("key").to_numpy().view(np.uint64)), logs.column("log").to_numpy().astype(float)
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        asks, values = [], dict(zip(answers.column("part").to_pylist(), answers.column("values").to_pylist()))
+        for kind, (k, _, part) in enumerate(_asks(texts, parts)):
+            order, stretches = _ordered(part)
+            v = np.empty(len(k))
+            for p, i, j in stretches:
+                v[order[i:j]] = unpack(values.pop(p)).view(np.int64) if kind else unpack_logs(values.pop(p))
+            asks.append((k, v))
+        (pairs, logs), (words, times) = asks
+        end = times[np.searchsorted(words, U64(END_TOKEN))]
         out = []
         for b in blocks(texts.to_batches()):
             score = np.zeros(b.n)
-            for keys, first in pieces(b):
-                score += np.add.reduceat(log[pair.find(keys)], first[:-1])
+            coded = folded(b)
+            for keys, first in pieces(coded):
+                keys = _turn(keys)
+                order = np.argsort(keys)
+                log = np.empty(len(keys))
+                log[order] = logs[np.searchsorted(pairs, keys[order])]
+                score += np.add.reduceat(log, first[:-1])
             h, (_, _, wf) = b.word_hashes(), b.words()
-            at = look.find(h)
-            hit = at >= 0
-            base = sums(np.where(hit, np.log10(freq[at] + 1.0), 0.0) if len(freq) else np.zeros(len(h)), wf)
-            rare_at = np.flatnonzero(~hit)
-            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare_at, wf), pa.int32()), pa.array(h[rare_at].view(np.int64)))
-            cols = {c: b.batch.column(i) for i, c in enumerate(("rid", "doc_id", "held_out"))}
-            out.append(pa.record_batch(cols | {"n_tokens": pa.array(np.diff(wf) + 1), "n_bytes": pa.array(np.diff(b.offs)), "known": pa.array(sums(hit, wf)), "base": pa.array(base), "score": pa.array(score), "rare": rare}))
+            n = times[np.searchsorted(words, h)]
+            tokens = np.diff(wf) + 1
+            base = sums(np.log10(n + 1.0), wf) + np.log10(end + 1.0) - tokens * floor
+            cols = {c: b.batch.column(b.batch.schema.get_field_index(c)) for c in ("doc_id", "held_out")}
+            out.append(pa.record_batch(cols | {"n_tokens": pa.array(tokens), "n_known": pa.array(sums(n > 0, wf) + int(end > 0)), "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(np.diff(coded.offs))}))
         return pa.Table.from_batches(out)
 
     return run
@@ -435,30 +562,33 @@ def score_texts(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` (``doc_id, text``): ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte``.
 
     Trained on the whole texts of the rows with ``crc32(doc_id) % 7 <> 2``; all
-    rows are scored.  ``score`` is the log10 probability of the text's bytes and
-    its end; ``bits_per_byte`` the code length per byte (per the end alone if
-    empty).  Null text counts as empty, a null ``doc_id`` as training text.
-    Repeated rows stay and count each; an empty table gives an empty result.
-    Other columns are not read.
+    rows are scored.  ``score`` is the log10 probability of what the base score
+    is about too: the text's words, A-Z lower-cased, with one space between
+    them, and the end.  ``n_bytes`` counts the bytes of that; ``bits_per_byte``
+    is the code length per byte (per the end alone if empty).  Null text counts
+    as empty, a null ``doc_id`` as training text.  Repeated rows stay and count
+    each; an empty table gives an empty result.  Other columns are not read.
     """
     spark = docs.sparkSession
-    d = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7, 2).alias("held_out"), F.col("text").cast("string").alias("text"))
-    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7, 2).alias("held_out"), F.col("text").cast("string").alias("text"))
+    size, rows = d.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    size = (size or 0) + rows
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // GROUP_BYTES + 1)))
-    counts = stage.written(d.groupBy("block").applyInArrow(_count, _COUNTED), "counts")
-    words = stage.written(counts.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    n, v = words.agg(F.sum("n"), F.count("*")).first()
-    n = n or 0
-    logs = log_probabilities(counts.where("kind = 1").select("block", "key", "n"))
-    often = words.where(F.col("n") * FREQUENT >= n).where(F.col("key") != END_TOKEN).toPandas()
-    shared = spark.sparkContext.broadcast((often["key"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(float)))
-    end = words.where(F.col("key") == END_TOKEN).agg(F.sum("n")).first()[0] or 0
-    per = stage.written(d.groupBy("block").cogroup(logs.groupBy("block")).applyInArrow(_score(shared), _SCORED), "scored")
-    rare = per.select("rid", F.explode("rare").alias("key")).join(words.where(F.col("n") * FREQUENT < n), "key").groupBy("rid").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("r_base"), F.count("*").alias("r_known"))
-    out = per.drop("rare").join(rare.withColumnRenamed("rid", "r_rid"), F.col("rid") == F.col("r_rid"), "left")
-    floor = float(np.log10(n + v + 1.0))
-    base = F.col("base") + F.coalesce("r_base", F.lit(0.0)) + float(np.log10(end + 1.0)) - F.col("n_tokens") * floor
-    known = F.col("known") + F.coalesce("r_known", F.lit(0)) + int(end > 0)
+    parts = min(MOST_PARTS, size // (6 * PART_PAIRS) + 1)
+    tasks = size // (48 * PART_PAIRS * parts) + 1  # that answer for one part
+    asked = d.groupBy("block").applyInArrow(_ask(parts), _ASKED).withColumn("salt", F.pmod("block", F.lit(tasks)))
+    gathered = stage.written(asked.groupBy("part", "salt").applyInArrow(_gather, _GATHERED), "gathered")
+    tables = gathered
+    if tasks > 1:  # what the tasks of a part counted, added up
+        tables = stage.written(gathered.select("part", "keys", "ns").groupBy("part").applyInArrow(_gather, _GATHERED), "tables")
+        gathered = gathered.drop("keys", "ns").join(tables.select("part", "keys", "ns"), "part")
+    n, v = tables.where(F.col("part") >= parts).agg(F.sum("total"), F.sum("distinct")).first()
+    n, v = n or 0, v or 0
+    symbols = tables.where(F.col("part") < parts).agg(F.sum("total")).first()[0] or 0
+    least = -(-symbols // CONTEXTS) if CONTEXTS else 0
+    roots = tables.where(F.col("part") < parts).select("keys", "ns").mapInArrow(_roots(least), "kind int, key long, a double, b double, w double")
+    top = _top(roots.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in "abw"]).toPandas(), least)
+    answers = gathered.select("part", "keys", "ns", "blocks", "asked").mapInArrow(_answer(spark.sparkContext.broadcast(top), parts, least), "block long, part int, values binary")
+    out = d.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(parts, n, v), _SCORED)
     bits = -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1))
-    return out.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", bits.alias("bits_per_byte"))
-
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", bits.alias("bits_per_byte"))
