@@ -184,6 +184,42 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return acc[first[1:]] - acc[first[:-1]]
 
 
+class Lookup:
+    """Numbers to positions by open addressing, for whole arrays at once."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.shift, self.mask = U64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self.keys = np.zeros(1 << bits, np.uint64)
+        todo, at = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = todo[free]  # of several, the last stays
+            self.keys[at[free]] = keys[todo[free]]
+            lost = self.slots[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) & self.mask
+
+    def _slot(self, keys):
+        return ((keys * U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, -1 if it isn't there."""
+        at = self._slot(keys)
+        out = self.slots[at]
+        wrong = np.flatnonzero((self.keys[at] != keys) & (out >= 0))
+        out[wrong] = -1
+        at = at[wrong]
+        while len(wrong):
+            at = (at + 1) & self.mask
+            s = self.slots[at]
+            hit = (s >= 0) & (self.keys[at] == keys[wrong])
+            out[wrong[hit]] = s[hit]
+            more = (s >= 0) & ~hit
+            wrong, at = wrong[more], at[more]
+        return out
+
+
 def map_texts(df, columns: list[str], each: Callable[[Block], pa.RecordBatch | None], schema: str, column: str = "text", limit: int = BLOCK_BYTES):
     """``each`` over blocks of ``df``; only ``columns`` leave the JVM."""
 
