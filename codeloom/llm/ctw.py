@@ -35,7 +35,7 @@ SPLIT = 3
 #: None: every context is kept.  A number: only those that make up such a part of all bytes; what lies beneath a node without a node of its own is coded by one further leaf of that node.
 CONTEXTS = None
 #: Text (about) that asks together; pairs (about) that a part of the tree is asked for, and parts at most: beyond that many, a part answers in several tasks.
-GROUP_BYTES, PART_PAIRS, MOST_PARTS = 48 << 20, 1 << 19, 4096
+GROUP_BYTES, PART_PAIRS, MOST_PARTS = 24 << 20, 1 << 19, 4096
 END = 0xFF  # ends a text, and stands before its start; not a byte of UTF-8
 _MASK = [U64((1 << 8 * d) - 1) for d in range(9)]
 END_TOKEN = 0x1E35A7BD3C6EF372  # fingerprint of the end token
@@ -53,37 +53,53 @@ def folded(b: Block) -> Block:
     return Block(data[keep], offs, b.batch)
 
 
-def contexts(b: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Context and byte of every symbol as one number (byte lowest, then the byte before it ...); first symbol of each text (n + 1)."""
-    size = np.diff(b.offs)
-    begin = np.concatenate([[0], np.cumsum(size + DEPTH + 1)])
+def _laid(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with DEPTH ends before each and one after; where each begins in that (n + 1)."""
+    begin = np.concatenate([[0], np.cumsum(np.diff(b.offs) + DEPTH + 1)])
     a = np.full(begin[-1], END, np.uint8)
-    a[np.arange(len(b.data)) + np.repeat(begin[:-1] + DEPTH - b.offs[:-1], size)] = b.data
-    real = np.ones(len(a), bool)
-    for j in range(DEPTH):
-        real[begin[:-1] + j] = False
-    return _keys(a)[real], np.concatenate([[0], np.cumsum(size + 1)])
-
-
-def _keys(a: np.ndarray) -> np.ndarray:
-    key = a.astype(np.uint64)
-    a = key.copy()
-    for j in range(1, DEPTH + 1):
-        key[j:] |= a[:-j] << U64(8 * j)
-    return key
+    for i, (s, e) in enumerate(zip(b.offs[:-1].tolist(), b.offs[1:].tolist())):
+        at = begin[i] + DEPTH
+        a[at : at + e - s] = b.data[s:e]
+    return a, begin
+
+
+def _windows(a: np.ndarray) -> np.ndarray:
+    """Key as of :func:`_turn` of each byte that has DEPTH bytes before it."""
+    n = len(a) - DEPTH
+    a = np.concatenate([np.zeros(7 - DEPTH, np.uint8), a, np.zeros(7, np.uint8)])
+    out = np.empty(n, np.uint64)
+    for r in range(min(8, n)):
+        m = (n - r + 7) // 8
+        out[r::8] = a[r : r + 8 * m].view("<u8")
+    if DEPTH < 7:
+        out &= ~_MASK[7 - DEPTH]
+    high = out >> U64(56)  # the byte itself, last in memory; the one before it is next
+    out <<= U64(8)
+    out |= high
+    return out
 
 
 def pieces(b: Block, most: int = 2 * BLOCK_BYTES):
-    """:func:`contexts` of a block; of a text longer than that, a stretch at a time."""
+    """Keys as of :func:`_turn` of every symbol of a block, and the first symbol of each text (n + 1); of a text longer than ``most``, a stretch at a time."""
     if len(b.data) <= most:
-        yield contexts(b)
+        a, begin = _laid(b)
+        real = np.ones(len(a), bool)
+        for j in range(DEPTH):
+            real[begin[:-1] + j] = False
+        yield _windows(a)[real[DEPTH:]], np.concatenate([[0], np.cumsum(np.diff(b.offs) + 1)])
         return
     a = np.concatenate([np.full(DEPTH, END, np.uint8), b.data, np.full(1, END, np.uint8)])
     for i in range(DEPTH, len(a), most):
-        k = _keys(a[i - DEPTH : i + most])[DEPTH:]
+        k = _windows(a[i - DEPTH : i + most])
         yield k, np.array([0, len(k)])
 
 
+def contexts(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Context and byte of every symbol as one number (byte lowest, then the byte before it ...); first symbol of each text (n + 1)."""
+    keys, first = next(pieces(b, len(b.data)))
+    return (keys.byteswap() << U64(8)) | (keys & U64(255)), first
+
+
 def _turn(keys: np.ndarray) -> np.ndarray:
     """Keys with the byte before first, then the one before that ..., the byte itself last: sorted, what shares a context is together at every depth."""
     return ((keys >> U64(8)) | (keys << U64(56))).byteswap()
@@ -109,7 +125,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 class Tally:
     """Distinct keys of many arrays and how often each occurs, with little beside them."""
 
-    def __init__(self, most: int = 6 << 20):
+    def __init__(self, most: int = 4 << 20):
         self.most, self.raw, self.held, self.parts = most, [], 0, []
 
     def add(self, keys: np.ndarray) -> None:
@@ -175,7 +191,6 @@ def _asks(texts: pa.Table, parts: int):
         other[1].add(np.full(1, END_TOKEN, np.uint64))
         for keys, first in pieces(folded(b)):
             mine = np.repeat(learnt, np.diff(first))
-            keys = _turn(keys)
             train[0].add(keys[mine])
             other[0].add(keys[~mine])
     for kind in range(2):
@@ -184,6 +199,16 @@ def _asks(texts: pa.Table, parts: int):
         yield k, n, (mix(k if kind else k >> U64(64 - 8 * SPLIT)) % U64(parts)).astype(np.uint16) + np.uint16(kind * parts)
 
 
+def _values(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """What belongs to each key, all of which the sorted table has."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    at = _distinct(sorted_)
+    out = np.empty(len(keys))
+    out[order] = np.repeat(values[np.searchsorted(table, sorted_[at])], np.diff(np.append(at, len(keys))))
+    return out
+
+
 def _ordered(part: np.ndarray):
     """An order by part, and for each part that occurs its stretch of that order."""
     order = np.argsort(part, kind="stable")
@@ -236,12 +261,14 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-_SMALL = 1 << 12
+_SMALL = 1 << 16
 _HALF, _WHOLE = lgamma(np.arange(_SMALL) + 0.5), lgamma(np.arange(_SMALL) + 1.0)
 
 
 def _gamma(n: np.ndarray, more: float, table: np.ndarray) -> np.ndarray:
-    out = table[np.minimum(n, _SMALL - 1).astype(np.int64)]
+    if not len(n) or n.max() < _SMALL:
+        return table[n]
+    out = table[np.minimum(n, _SMALL - 1)]
     large = np.flatnonzero(n >= _SMALL)
     out[large] = lgamma(n[large] + more)
     return out
@@ -278,6 +305,8 @@ class Level:
     left: np.ndarray
     parent: np.ndarray  # context index in the level before
     inner: np.ndarray  # has deeper contexts
+    where: np.ndarray  # node of each bit (8) of each pair of context and byte
+    upper: np.ndarray | None = None  # node of the level before with the same bits
 
 
 class Model:
@@ -341,58 +370,73 @@ class Model:
         return out
 
 
-def _binary(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Contexts, binary nodes (context index * 256 + bits so far), and how many zeros and ones each node counts."""
+def _binary(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray):
+    """Contexts; binary nodes (context index * 256 + bits so far), how many zeros and ones each counts, a pair of each; node of each bit of each pair (8, pairs)."""
     new = np.concatenate([[True], ctx[1:] != ctx[:-1]])
     idx = np.cumsum(new) - 1
-    byte, n = byte.astype(np.int64), n.astype(float)
-    nodes, zeros, ones = [], [], []
+    byte = byte.astype(np.int64)
+    nodes, zeros, ones, firsts, where, held = [], [], [], [], np.empty((8, len(ctx)), np.int64), 0
     for j in range(8):
         key = idx * 256 + ((1 << j) | (byte >> (8 - j)))
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        bit = (byte >> (7 - j)) & 1
+        start = np.concatenate([[True], key[1:] != key[:-1]])
+        at = np.flatnonzero(start)
+        all_, set_ = np.add.reduceat(n, at), np.add.reduceat(n * ((byte >> (7 - j)) & 1), at)
         nodes.append(key[at])
-        zeros.append(np.add.reduceat(n * (1 - bit), at))
-        ones.append(np.add.reduceat(n * bit, at))
+        zeros.append(all_ - set_)
+        ones.append(set_)
+        firsts.append(at + j * len(ctx))
+        where[j] = np.cumsum(start) + (held - 1)
+        held += len(at)
     node = np.concatenate(nodes)
     if len(node) and node.max() < 1 << 32:  # sorting plain numbers is several times as fast
         order = np.sort((node << 31) | np.arange(len(node))) & ((1 << 31) - 1)
     else:
         order = np.argsort(node)
-    return ctx[new], node[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
+    place = np.empty(len(node), np.int64)
+    place[order] = np.arange(len(node))
+    return ctx[new], node[order], np.concatenate(zeros)[order], np.concatenate(ones)[order], np.concatenate(firsts)[order], place[where]
 
 
-def _weigh(depths, above: np.ndarray | None = None, below=None) -> tuple[list[Level], tuple | None]:
+def _weigh(depths, above: np.ndarray | None = None, below=None, whole: bool = False) -> tuple[list[Level], tuple | None]:
     """Levels of ``depths`` without what comes from above them, and nodes, counts and log weights of the first.
 
-    ``above``: contexts of the depth before.  ``below``: what the depth after adds, as this returns it.
+    ``above``: contexts of the depth before.  ``below``: what the depth after
+    adds, as this returns it.  ``whole``: deeper contexts cover every occurrence
+    of a context that has any.
     """
     raw = []
-    for ctx, byte, n in depths:
-        if not len(ctx):
+    for x in depths:
+        if not len(x[0]):
             break
-        raw.append(_binary(ctx, byte, n))
+        raw.append((_binary(*x[:3]), x[3] if len(x) > 3 else None))
     levels: list[Level] = [None] * len(raw)
     for d in range(len(raw) - 1, -1, -1):
-        ctx, node, n0, n1 = raw[d]
+        (ctx, node, n0, n1, pair, where), _ = raw[d]
         own = kt(n0, n1)
-        deeper, c0, c1 = np.zeros(len(node)), np.zeros(len(node)), np.zeros(len(node))
         inner = np.zeros(len(ctx), bool)
+        none = np.zeros(len(node), np.int64)
+        deep, o0, o1 = np.zeros(len(node)), none, none
         if below is not None:
             lower, bnode, b0, b1, weighted = below
             parent = np.searchsorted(ctx, lower >> U64(8))
-            at = np.searchsorted(node, parent[bnode >> 8] * 256 + (bnode & 255))
-            for total, part in ((deeper, weighted), (c0, b0), (c1, b1)):
-                total += np.bincount(at, part, len(node))
             inner[parent] = True
-        o0, o1 = n0 - c0, n1 - c1  # what the deeper contexts don't cover
+            if d + 1 < len(raw) and raw[d + 1][1] is not None:
+                bit, at = np.divmod(raw[d + 1][0][4], raw[d + 1][0][5].shape[1])
+                at = where.ravel()[bit * where.shape[1] + raw[d + 1][1][at]]
+            else:
+                at = np.searchsorted(node, parent[bnode >> 8] * 256 + (bnode & 255))
+            if d + 1 < len(raw):
+                levels[d + 1].upper = at
+            deep = np.bincount(at, weighted, len(node))
+            if not whole:
+                o0, o1 = n0 - np.bincount(at, b0, len(node)).astype(np.int64), n1 - np.bincount(at, b1, len(node)).astype(np.int64)
+                deep += kt(o0, o1)
         has = inner[node >> 8]
-        deep = deeper + kt(o0, o1)
-        total = np.where(has, np.logaddexp(own, deep) - np.log(2), own)
-        split = np.where(has, np.exp(deep - np.log(2) - total), 0.0)
-        before = raw[d - 1][0] if d else above
+        split = np.where(has, 1 / (1 + np.exp(np.minimum(own - deep, 700))), 0.0)
+        total = np.where(has, deep - np.log(np.where(has, split, 1.0)) - np.log(2), own)
+        before = raw[d - 1][0][0] if d else above
         up = np.zeros(len(ctx), np.int64) if before is None else np.searchsorted(before, ctx >> U64(8))
-        levels[d] = Level(ctx, node, (n1 + 0.5) / (n0 + n1 + 1), split, (o1 + 0.5) / (o0 + o1 + 1), np.zeros(len(node)), np.ones(len(node)), up, inner)
+        levels[d] = Level(ctx, node, (n1 + 0.5) / (n0 + n1 + 1), split, (o1 + 0.5) / (o0 + o1 + 1), np.zeros(len(node)), np.ones(len(node)), up, inner, where)
         below = (ctx, node, n0, n1, total)
     return levels, below
 
@@ -407,49 +451,57 @@ def build(depths: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
     return _build(out)
 
 
-def _build(depths, top: Model | None = None, below=None) -> Model:
+def _build(depths, top: Model | None = None, below=None, whole: bool = False) -> Model:
     """From (context, byte, count) of each depth, sorted, the context's last byte first; ``top``: a model of the depths above."""
-    levels, _ = _weigh(depths, top.levels[-1].ctx if top else None, below)
+    levels, _ = _weigh(depths, top.levels[-1].ctx if top else None, below, whole)
     tables = []
     for d, lv in enumerate(levels):
         before = levels[d - 1] if d else top.levels[-1] if top else None
         if before is not None:
-            at = np.searchsorted(before.node, lv.parent[lv.node >> 8] * 256 + (lv.node & 255))
+            at = lv.upper
+            if at is None:
+                at = np.searchsorted(before.node, lv.parent[lv.node >> 8] * 256 + (lv.node & 255))
             lv.above = before.above[at] + before.left[at] * (1 - before.split[at]) * before.est[at]
             lv.left = before.left[at] * before.split[at]
         one = lv.above + lv.left * ((1 - lv.split) * lv.est + lv.split * lv.leaf)
-        ctx, byte, _ = depths[d]
-        idx = np.searchsorted(lv.ctx, ctx)
-        byte = byte.astype(np.int64)
-        log = np.zeros(len(ctx))
+        ctx, byte = depths[d][:2]
+        bits = byte.astype(np.int64)
+        p = np.ones(len(ctx))
         for j in range(8):
-            q = one[np.searchsorted(lv.node, idx * 256 + ((1 << j) | (byte >> (8 - j))))]
-            log += np.log10(np.where((byte >> (7 - j)) & 1, q, 1 - q))
-        tables.append(((ctx << U64(8)) | byte.astype(np.uint64), log))
+            q = one[lv.where[j]]
+            p *= np.where((bits >> (7 - j)) & 1, q, 1 - q)
+        tables.append(((ctx << U64(8)) | byte, np.log10(p)))
     return Model(levels, tables, top)
 
 
-def _collapse(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and the sums of their numbers."""
+def _collapse(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sums of their numbers, and the place of each key among them."""
     u = np.sort(k)
     u = u[_distinct(u)]
-    return u, np.bincount(np.searchsorted(u, k), n, len(u)).astype(np.int64)
+    at = np.searchsorted(u, k)
+    return u, np.bincount(at, n, len(u)).astype(np.int64), at
 
 
-def _depths(k: np.ndarray, n: np.ndarray, shallow: int, deep: int, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(context, byte, count) of some depths, of contexts that occur ``least`` times at least, from those of the deepest (context * 256 + byte, sorted)."""
+def _depths(k: np.ndarray, n: np.ndarray, shallow: int, deep: int, least: int) -> list[tuple]:
+    """(context, byte, count) of some depths, of contexts that occur ``least`` times at least, from those of the deepest (context * 256 + byte, sorted).
+
+    Where all contexts are asked for, also the place of each among those of the
+    depth before.
+    """
     pairs = [(k, n)]
+    ups = []
     for _ in range(deep - shallow):
-        k, n = _collapse(((k >> U64(16)) << U64(8)) | (k & U64(255)), n)
+        k, n, at = _collapse(((k >> U64(16)) << U64(8)) | (k & U64(255)), n)
         pairs.append((k, n))
+        ups.append(at)
     out = []
-    for d, (k, n) in zip(range(shallow, deep + 1), reversed(pairs)):
+    for d, (k, n), at in zip(range(shallow, deep + 1), reversed(pairs), [None, *reversed(ups)]):
         ctx = k >> U64(8)
         if d and least and len(k):
-            at = _distinct(ctx)
-            keep = np.repeat(np.add.reduceat(n, at) >= least, np.diff(np.append(at, len(k))))
+            new = _distinct(ctx)
+            keep = np.repeat(np.add.reduceat(n, new) >= least, np.diff(np.append(new, len(k))))
             k, n, ctx = k[keep], n[keep], ctx[keep]
-        out.append((ctx, k & U64(255), n))
+        out.append((ctx, k & U64(255), n, None if least else at))
     return out
 
 
@@ -468,10 +520,10 @@ def _roots(least: int):
                 if not len(key):
                     continue
                 depths = _depths(_deepest(key), n, SPLIT, DEPTH, least)
-                k, c = _collapse(((key >> U64(64 - 8 * (SPLIT - 1))) << U64(8)) | (key & U64(255)), n)
+                k, c, _ = _collapse(((key >> U64(64 - 8 * (SPLIT - 1))) << U64(8)) | (key & U64(255)), n)
                 z = np.zeros(len(k))
                 yield pa.record_batch({"kind": pa.array(z.astype(np.int32)), "key": pa.array(k.view(np.int64)), "a": pa.array(c.astype(float)), "b": pa.array(z), "w": pa.array(z)})
-                first = _weigh(depths)[1]
+                first = _weigh(depths, whole=not least)[1]
                 if first is not None:
                     ctx, node, n0, n1, w = first
                     k, at = np.unique(((ctx >> U64(8))[node >> 8] << U64(8)) | (node & 255).astype(np.uint64), return_inverse=True)
@@ -493,7 +545,7 @@ def _top(rows, least: int) -> Model:
     if not len(own):
         z = np.zeros(1, np.uint64)
         return _build([(z, z + U64(END), np.zeros(1, np.int64))])
-    return _build(_depths(own["key"].to_numpy(np.uint64), own["a"].to_numpy().astype(np.int64), 0, SPLIT - 1, least), below=below)
+    return _build(_depths(own["key"].to_numpy(np.uint64), own["a"].to_numpy().astype(np.int64), 0, SPLIT - 1, least), below=below, whole=not least)
 
 
 def _answer(top, parts: int, least: int):
@@ -508,7 +560,7 @@ def _answer(top, parts: int, least: int):
                 if p < parts:
                     m = top.value
                     if len(m.levels) == SPLIT and len(k):
-                        m = _build(_depths(_deepest(k), n, SPLIT, DEPTH, least), m)
+                        m = _build(_depths(_deepest(k), n, SPLIT, DEPTH, least), m, whole=not least)
                     u = np.sort(np.concatenate(wanted))
                     u = u[_distinct(u)]
                     log = m.log10_turned(u)
@@ -542,13 +594,9 @@ def _score(parts: int, total: int, distinct: int):
             score = np.zeros(b.n)
             coded = folded(b)
             for keys, first in pieces(coded):
-                keys = _turn(keys)
-                order = np.argsort(keys)
-                log = np.empty(len(keys))
-                log[order] = logs[np.searchsorted(pairs, keys[order])]
-                score += np.add.reduceat(log, first[:-1])
+                score += np.add.reduceat(_values(pairs, logs, keys), first[:-1])
             h, (_, _, wf) = b.word_hashes(), b.words()
-            n = times[np.searchsorted(words, h)]
+            n = _values(words, times, h)
             tokens = np.diff(wf) + 1
             base = sums(np.log10(n + 1.0), wf) + np.log10(end + 1.0) - tokens * floor
             cols = {c: b.batch.column(b.batch.schema.get_field_index(c)) for c in ("doc_id", "held_out")}
