@@ -16,12 +16,10 @@ from pyspark.sql import functions as F
 from codeloom.llm.textbuf import LEADS, NONSPACE, U64, Block, lines, map_texts, mix, sums
 
 #: Compressed share of the bytes by length: limits of normal text, straight between the points over log2(bytes).
-LOW = {64: 0.70, 128: 0.50, 256: 0.45, 512: 0.48, 1024: 0.465, 2048: 0.448, 4096: 0.428, 8192: 0.412, 16384: 0.40, 32768: 0.388, 65536: 0.378, 262144: 0.36}
-HIGH = {64: 1.25, 128: 1.12, 256: 0.92, 512: 0.82, 1024: 0.74, 2048: 0.70, 4096: 0.66, 16384: 0.62}
-#: Chunks of this many bytes (the last is the rest, at least half of it) and their own limits; a text whose share of chunks outside reaches CHUNK_SHARE goes.
+LOW = {8: 0.9, 32: 0.8, 64: 0.70, 128: 0.50, 256: 0.45, 512: 0.48, 1024: 0.465, 2048: 0.448, 4096: 0.428, 8192: 0.412, 16384: 0.40, 32768: 0.388, 65536: 0.378, 262144: 0.36}
+HIGH = {1: 12.0, 2: 6.5, 4: 3.8, 8: 2.4, 16: 1.75, 32: 1.42, 64: 1.25, 128: 1.12, 256: 0.92, 512: 0.82, 1024: 0.74, 2048: 0.70, 4096: 0.66, 16384: 0.62}
+#: Chunks of this many bytes (a rest of half of it or more is one too, a shorter one belongs to the last, so that chunks cover every byte) and their own limits; a text whose share of chunks outside reaches CHUNK_SHARE goes.
 CHUNK, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 2048, 0.36, 0.72, 0.5
-#: Shorter texts get no compression verdict.
-LEAST_BYTES = 64
 LEVEL = 3
 
 _SYMBOL = np.zeros(256, bool)
@@ -95,8 +93,9 @@ def compression(b: Block, level: int = LEVEL, chunk: int = CHUNK, chunk_low: flo
             continue
         ratio[i] = len(z.compress(view[s:e])) / (e - s)
         if e - s > chunk:
-            for c in range(s, e - chunk // 2 + 1, chunk):
-                stop = min(e, c + chunk)
+            n = max(1, (e - s + chunk - chunk // 2) // chunk)
+            for k in range(n):
+                c, stop = s + k * chunk, e if k == n - 1 else s + (k + 1) * chunk
                 r = len(z.compress(view[c:stop])) / (stop - c)
                 chunks[i] += 1
                 outside[i] += not chunk_low <= r <= chunk_high
@@ -120,7 +119,7 @@ def quality_rules(docs: DataFrame, low: dict[int, float] = LOW, high: dict[int,
         st = text_stats(b)
         ratio, chunks, outside = compression(b)
         failed = (st["n_words"] < min_words) | (100 * st["n_repeat_words"] > max_repeat_percent * st["n_words"])
-        judged = st["n_bytes"] >= LEAST_BYTES
+        judged = st["n_bytes"] > 0
         small = judged & (ratio < _limit(low, st["n_bytes"]))
         large = judged & (ratio > _limit(high, st["n_bytes"]))
         parts = judged & (chunks > 0) & (outside >= chunk_share * chunks)

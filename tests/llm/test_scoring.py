@@ -67,6 +67,42 @@ def test_compression_bands(spark):
     assert r[1]["reason"] == "incompressible"
 
 
+def test_chunks_cover_every_byte(spark):
+    """The rule by its definition on texts around the borders of chunks, the tail of which is noise or one letter."""
+    import zstandard
+
+    rng = random.Random(4)
+    prose = " ".join("".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(rng.randint(2, 9))) for _ in range(3000))
+    noise = "".join(chr(rng.randint(33, 126)) for _ in range(9000))
+    z = lambda t: len(zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False).compress(t)) / len(t)
+    texts = [prose[:n] + tail[:k] for n in (1, 40, 2000, 2048, 4096, 6000) for k in (0, 1, 900, 1023, 1024, 1025, 2048) for tail in (noise, "a" * 3000)]
+    for r in quality.quality_rules(table(spark, texts)).collect():
+        t = texts[r["doc_id"]].encode()
+        c = quality.CHUNK
+        cuts = list(range(0, len(t), c)) if len(t) > c else []
+        if len(cuts) > 1 and len(t) - cuts[-1] < c // 2:
+            cuts.pop()
+        pieces = [t[a:b] for a, b in zip(cuts, [*cuts[1:], len(t)])]
+        assert b"".join(pieces) == (t if cuts else b"")
+        assert r["n_chunks"] == len(pieces) and r["n_chunks_outside"] == sum(not quality.CHUNK_LOW <= z(p) <= quality.CHUNK_HIGH for p in pieces)
+        w, _, _, _, again = stats(texts[r["doc_id"]])
+        failed = w < 20 or 100 * again > 30 * w
+        lo, hi = (float(np.interp(np.log2(len(t)), np.log2(list(x)), list(x.values()))) for x in (quality.LOW, quality.HIGH))
+        assert r["kept"] == (not failed and lo <= z(t) <= hi and not (pieces and r["n_chunks_outside"] >= quality.CHUNK_SHARE * len(pieces)))
+
+
+def test_short_texts_are_judged_too(spark):
+    texts = ["a b c d e f g h i j k l m n o p q r s t", "a " * 20, "b", "xy zw"]
+    r = quality.quality_rules(table(spark, texts)).orderBy("doc_id").collect()
+    assert [x["kept"] for x in r] == [True, False, False, False] and r[2]["reason"] == "base"
+
+
+def test_quality_odd_rows(spark):
+    d = spark.createDataFrame([(None, "a", 1), (3, "long word " * 60_000, 2), (3, "long word " * 60_000, 3), (4, None, 4)], "doc_id long, text string, n_words long")
+    for f in (quality.quality_rules, weak_quality.weak_quality):
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in f(d).collect()) == [(False, 3), (False, 3), (False, 4), (True, 0)]
+
+
 def test_quality_of_nothing(spark):
     assert quality.quality_rules(table(spark, ["a"]).where("false")).count() == 0
     assert weak_quality.weak_quality(table(spark, ["a"]).where("false")).count() == 0
