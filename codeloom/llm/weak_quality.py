@@ -1,6 +1,6 @@
 """Quality classifier (operator 5): a weak-label model.
 
-Overlapping heuristics vote on every document or abstain.  Expectation
+Overlapping heuristics vote good or bad on every document, or abstain between.  Expectation
 maximisation over the counts of vote patterns (3 to the power of the number of
 heuristics at most, whatever the corpus) estimates how often each heuristic
 says what about good and bad documents; the posteriors label a bounded sample,
@@ -22,7 +22,7 @@ from codeloom.llm.textbuf import NONSPACE, U64, Block, map_texts, sums
 
 #: Votes: 0 bad, 1 good, 2 no opinion.
 VOTERS = ("repeats", "symbols", "capitals", "length", "same_lines", "compression", "word_length", "variety", "letters")
-#: Documents (the first by a hash of their text) that the linear scorer is fitted on.
+#: Distinct texts (about; those whose hash is below a share of its range) that the linear scorer is fitted on.
 FIT_ROWS = 4000
 BUCKETS = 1 << 14
 BINS = 16  # of each statistic
@@ -71,15 +71,15 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
     long = m["n_words"] >= 20
     return np.column_stack(
         [
-            vote(m["repeats"] > 0.3),
-            vote(m["symbols"] > 0.04),
-            vote(m["capitals"] > 0.5),
-            vote(m["n_words"] < 8),
-            vote(m["same_lines"] > 0.3),
+            vote(m["repeats"] > 0.3, long & (m["repeats"] < 0.05)),
+            vote(m["symbols"] > 0.04, m["symbols"] < 0.01),
+            vote(m["capitals"] > 0.5, (m["capitals"] > 0.002) & (m["capitals"] < 0.15)),
+            vote(m["n_words"] < 8, m["n_words"] >= 50),
+            vote(m["same_lines"] > 0.3, m["same_lines"] < 0.1),
             vote((m["n_bytes"] >= 64) & (m["squeeze"] < 0), (m["n_bytes"] >= 256) & (m["squeeze"] > 0.015)),
-            vote((m["word_length"] < 2.5) | (m["word_length"] > 11)),
-            vote(long & (m["variety"] < 0.25)),
-            vote(m["letters"] < 0.9),
+            vote((m["word_length"] < 3) | (m["word_length"] > 8), (m["word_length"] > 3.5) & (m["word_length"] < 7)),
+            vote(long & (m["variety"] < 0.25), m["variety"] > 0.45),
+            vote(m["letters"] < 0.9, m["letters"] > 0.94),
         ]
     ).astype(np.int8)
 
@@ -90,29 +90,40 @@ def codes(v: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Labels:
-    """``share`` of good documents, and how often each heuristic is right when it votes; abstaining says nothing."""
+    """``share`` of good documents, and how often each heuristic is right when it votes: in all, on good documents, on bad ones; abstaining says nothing.
+
+    A heuristic that looks for one kind of bad text is nearly always right on
+    good documents and often wrong on bad ones of other kinds: its good votes
+    weigh little, its bad ones much.
+    """
 
     share: float
     accuracy: np.ndarray
+    on_good: np.ndarray
+    on_bad: np.ndarray
 
     def posterior(self, v: np.ndarray) -> np.ndarray:
-        weight = np.log(self.accuracy / (1 - self.accuracy))
-        z = np.log(self.share / (1 - self.share)) + (v == 1) @ weight - (v == 0) @ weight
+        for_good, for_bad = np.log(self.on_good / (1 - self.on_bad)), np.log(self.on_bad / (1 - self.on_good))
+        z = np.log(self.share / (1 - self.share)) + (v == 1) @ for_good - (v == 0) @ for_bad
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Labels:
     """Expectation maximisation, from the belief that heuristics are right more often than not; equal input gives equal output."""
-    model = Labels(0.8, np.full(len(VOTERS), 0.8))
+    k = len(VOTERS)
+    model = Labels(0.8, np.full(k, 0.8), np.full(k, 0.9), np.full(k, 0.5))
     if not len(patterns):
         return model
     n = counts.astype(float)
     good, bad = (patterns == 1).T, (patterns == 0).T
     p = model.posterior(patterns)
     for _ in range(rounds):
-        right = good @ (n * p) + bad @ (n * (1 - p))
-        voted = (good | bad) @ n
-        model = Labels(float(np.clip((n * p).sum() / n.sum(), 0.02, 0.98)), np.clip((right + 4) / (voted + 5), 0.55, 0.99))
+        hits, misses = good @ (n * p), bad @ (n * p)  # votes on good documents
+        caught, missed = bad @ (n * (1 - p)), good @ (n * (1 - p))
+        on_good = np.clip((hits + 4.5) / (hits + misses + 5), 0.5, 0.995)
+        on_bad = np.clip((caught + 1) / (caught + missed + 2), 1.01 - on_good, 0.995)  # better than chance
+        accuracy = (hits + caught + 4) / ((good | bad) @ n + 5)
+        model = Labels(float(np.clip((n * p).sum() / n.sum(), 0.02, 0.98)), accuracy, on_good, on_bad)
         new = model.posterior(patterns)
         if np.abs(new - p).max() < 1e-9:
             break
@@ -188,8 +199,8 @@ def weak_quality(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     counts = np.array([r["n"] for r in found], float)
     labels = estimate(patterns, counts)
     rate = min(1.0, fit_rows / max(1.0, counts.sum()))
-    chosen = d.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).dropDuplicates(["text"])
-    rows = sorted(map_texts(chosen, ["text"], _sample, _SAMPLE).limit(2 * fit_rows).collect(), key=lambda r: (r["code"], r["grams"], r["shares"]))
+    chosen = d.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 50)) <= int(rate * (1 << 50))).dropDuplicates(["text"])
+    rows = sorted(map_texts(chosen, ["text"], _sample, _SAMPLE).collect(), key=lambda r: (r["code"], r["grams"], r["shares"]))
     model = spark.sparkContext.broadcast((labels, fit(rows, labels)))
 
     def each(b: Block) -> pa.RecordBatch:

@@ -121,6 +121,54 @@ def test_em_recovers_accuracies():
     assert ((m.posterior(v) > 0.5) == y).mean() > 0.97
 
 
+def naive_em(v, rounds=200):
+    """The same model, a document and a voter at a time, in plain Python."""
+    k = len(v[0])
+    share, good, bad = 0.8, [0.9] * k, [0.5] * k
+
+    def posterior(row):
+        a, b = share, 1 - share
+        for j, x in enumerate(row):
+            if x != 2:
+                a *= good[j] if x == 1 else 1 - good[j]
+                b *= bad[j] if x == 0 else 1 - bad[j]
+        return a / (a + b)
+
+    for _ in range(rounds):
+        p = [posterior(r) for r in v]
+        share = min(0.98, max(0.02, sum(p) / len(p)))
+        for j in range(k):
+            hit, miss = sum(q for q, r in zip(p, v) if r[j] == 1), sum(q for q, r in zip(p, v) if r[j] == 0)
+            got, lost = sum(1 - q for q, r in zip(p, v) if r[j] == 0), sum(1 - q for q, r in zip(p, v) if r[j] == 1)
+            good[j] = min(0.995, max(0.5, (hit + 4.5) / (hit + miss + 5)))
+            bad[j] = min(0.995, max(1.01 - good[j], (got + 1) / (got + lost + 2)))
+    return [posterior(r) for r in v]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+def test_posteriors_of_real_votes_against_plain_python(spark):
+    got = weak_quality.weak_quality(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).orderBy("doc_id").collect()
+    want = naive_em([[int(c) for c in r["votes"]] for r in got])
+    assert max(abs(r["posterior"] - w) for r, w in zip(got, want)) < 1e-6
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables")
+def test_weak_labels_rank_quality(spark):
+    """Area under the curve against labels that the operator never reads; every heuristic has both kinds of votes to weigh."""
+    got = weak_quality.weak_quality(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality is not null").select("doc_id", "quality")
+    r = got.join(lab, "doc_id").collect()
+    s = [x["score"] for x in r]
+    y = np.array([x["quality"] for x in r])
+    rank = np.empty(len(s))
+    rank[np.argsort(s)] = np.arange(1, len(s) + 1)
+    auc = (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (1 - y).sum())
+    assert auc > 0.95
+    assert np.mean([x["kept"] == bool(x["quality"]) for x in r]) > 0.95
+    for j in range(len(weak_quality.VOTERS)):
+        assert sum(x["votes"][j] == "1" for x in r) > len(r) / 2
+
+
 def test_weak_quality(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("etaoinsrhl") for _ in range(rng.randint(2, 8)))
