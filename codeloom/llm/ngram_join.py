@@ -384,3 +384,22 @@ def one_of_each(docs: DataFrame, percent: int = 70) -> DataFrame:
     """``docs`` without the documents that have a smaller ``doc_id`` in their component (rows of one ``doc_id`` share its fate)."""
     gone = jaccard_join(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
+#: The same rows by joining all documents on every shingle that they share.
+SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                          ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i : w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n, md5(array_to_string(sh, chr(10))) AS h FROM s),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT c.a, c.b FROM c JOIN n AS p ON p.doc_id = c.a JOIN n AS q ON q.doc_id = c.b WHERE 100 * c.i >= 70 * (p.n + q.n - c.i)),
+r AS (SELECT doc_id AS d, doc_id AS m FROM n UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.d),
+k AS (SELECT h, min(doc_id) AS rep, count(*) AS copies FROM n WHERE n > 0 GROUP BY h)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(d.similar, 0) AS n_similar, o.component AS component_id, coalesce(k.rep, n.doc_id) AS class_id, coalesce(k.copies, 1) AS n_copies
+FROM n JOIN (SELECT d, min(m) AS component FROM r GROUP BY d) AS o ON o.d = n.doc_id
+LEFT JOIN (SELECT a, count(*) AS similar FROM l GROUP BY a) AS d ON d.a = n.doc_id
+LEFT JOIN k ON k.h = n.h AND n.n > 0
+"""

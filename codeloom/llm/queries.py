@@ -52,4 +52,4 @@ def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_weak_quality": op5_weak_quality, "op1_decontamination": op1_decontamination, "op2_ctw_score": op2_ctw_score, "op6_toxicity": op6_toxicity, "op3_ngram_jaccard": op3_ngram_jaccard, "op9_html_text": op9_html_text, "op7_chat_format": op7_chat_format, "op4_quality_rules": op4_quality_rules, "op8_mixing": op8_mixing, "op10_line_dedup": op10_line_dedup}
-SQL = {"op7_chat_format": chat.SQL, "op8_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}
+SQL = {"op3_ngram_jaccard": ngram_join.SQL, "op7_chat_format": chat.SQL, "op8_mixing": mixing.SQL, "op10_line_dedup": line_dedup.SQL}

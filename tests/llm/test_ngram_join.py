@@ -1,7 +1,9 @@
 import collections
+import os
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -126,3 +128,12 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
     assert collections.Counter(got.values())[100] == 41
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no driver tables")
+def test_sql_gives_the_same_rows(spark):
+    c = duckdb.connect()
+    c.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = c.sql(ngram_join.SQL)
+    got = ngram_join.jaccard_join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).select(*want.columns)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want.fetchall())
