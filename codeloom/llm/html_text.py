@@ -1,10 +1,11 @@
 """HTML extraction (operator 9): flat text blocks judged by a small decision tree.
 
 A page is cut into flat blocks at block-level tags.  Each block has its word
-count and link density, those of its neighbours, and where it stands (inside an
-article or main element, inside something marked as menu, advert, comment ...).
-A decision tree, grown here from a small labelled table, tells main text from
-the rest.
+count and link density, those of its neighbours and of the three together, and
+where it stands: inside an article or main element, inside an element for
+something else (nav, aside, footer, form ...), inside one named after what the
+contract leaves out (advert, comments, cookie notice ...).  A decision tree,
+grown from the labelled pages of ``html_pages``, tells main text from the rest.
 """
 
 from __future__ import annotations
@@ -18,20 +19,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.html_pages import PAGES, expand
+
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CONTAINER = _BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 hr".split())
 #: Elements whose text is never shown as prose.
-_RAW = "script style noscript template iframe svg math textarea select button object title noframes noembed video audio canvas datalist".split()
+_RAW = "script style noscript template iframe svg textarea select object title noframes noembed video audio canvas datalist".split()
 _BOILER_TAGS = frozenset("nav aside footer form dialog menu fieldset header head".split())
 _BOILER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
+#: Names of menus, headers, footers, sidebars, notices, adverts, forms and reader comments; nothing else is left out by name.
 _BOILER_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adsense advertorial sponsor sponsored sponsors promo promos promotion banner banners
-    nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar topbar header masthead footer foot colophon copyright
-    sidebar sidebars side aside rail widget widgets related recommended recommendations trending popular more share sharing social follow
-    comment comments commentlist disqus reply replies respond reactions discussion cookie cookies consent gdpr ccpa notice notices alert
-    alerts disclaimer legal popup modal overlay newsletter subscribe subscription signup signin login register form search searchbox
-    skip hidden tags taglist byline meta toc""".split()
+    nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar topbar header masthead footer foot colophon
+    sidebar sidebars rail widget widgets comment comments commentlist disqus reply replies respond cookie cookies consent gdpr ccpa
+    notice notices alert alerts popup modal overlay newsletter subscribe signup signin login register form search searchbox""".split()
 )
+#: ``has-sidebar`` and the like say what else is on the page.
+_BESIDE = frozenset("has with without no".split())
+_COMMENTS = frozenset("comment comments reply replies".split())
 _MAIN_WORDS = frozenset("article main content post entry story articlebody maincontent maintext bodytext".split())
 
 _TOKEN = re.compile(
@@ -47,36 +52,39 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _CAMEL = re.compile(r"[A-Za-z][a-z]*|\d+")
 
 
-def _place(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Does this element mark main text; does it mark something else."""
-    main, boiler = tag in ("article", "main"), tag in _BOILER_TAGS
-    if attrs:
+def _place(tag: str, attrs: str) -> tuple[bool, bool, bool]:
+    """Does this element mark main text; is it one for something else; is it named after something else."""
+    main, aside, named = tag in ("article", "main"), tag in _BOILER_TAGS, False
+    if attrs and tag not in ("html", "body"):
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                boiler = True
+                aside = True
             elif name == "role":
                 main |= value.lower() in ("main", "article")
-                boiler |= value.lower() in _BOILER_ROLES
+                aside |= value.lower() in _BOILER_ROLES
             elif name in ("class", "id"):
-                words = {w.lower() for w in _CAMEL.findall(value)}
-                boiler |= not main and bool(words & _BOILER_WORDS)
-                main |= not boiler and bool(words & _MAIN_WORDS)
-    return main, boiler
+                for token in value.split():
+                    words = {w.lower() for w in _CAMEL.findall(token)}
+                    if words & _BOILER_WORDS and not words & _BESIDE and (not main or words & _COMMENTS):
+                        named = True
+                    elif words & _MAIN_WORDS:
+                        main = True
+    return main and not named, aside, named
 
 
 class TextBlock:
-    __slots__ = ("text", "words", "links", "main", "boiler", "heading")
+    __slots__ = ("text", "words", "links", "main", "aside", "named", "heading")
 
-    def __init__(self, text, words, links, main, boiler, heading):
-        self.text, self.words, self.links, self.main, self.boiler, self.heading = text, words, links, main, boiler, heading
+    def __init__(self, text, words, links, main, aside, named, heading):
+        self.text, self.words, self.links, self.main, self.aside, self.named, self.heading = text, words, links, main, aside, named, heading
 
 
 def text_blocks(page: str) -> list[TextBlock]:
     """The page's blocks in order; tags left open or closed twice do no harm."""
     out: list[TextBlock] = []
-    stack: list[tuple[str, bool, bool]] = []
-    main = boiler = heading = link = False
+    stack: list[tuple] = []
+    main = aside = named = heading = link = False
     pieces: list[tuple[str, bool]] = []
 
     def flush():
@@ -85,7 +93,7 @@ def text_blocks(page: str) -> list[TextBlock]:
             if text:
                 links = sum(len(_WORD.findall(p)) for p, a in pieces if a)
                 words = text.count(" ") + 1
-                out.append(TextBlock(text, words, min(links, words), main, boiler, heading))
+                out.append(TextBlock(text, words, min(links, words), main, aside, named, heading))
             pieces.clear()
 
     at = 0
@@ -107,13 +115,14 @@ def text_blocks(page: str) -> list[TextBlock]:
                 if not closing:
                     if not m.group("attrs").endswith("/"):
                         if tag == "li" and stack and stack[-1][0] == "li":
-                            _, main, boiler = stack.pop()
-                        stack.append((tag, main, boiler))
-                        here, not_here = _place(tag, m.group("attrs"))
-                        main, boiler = main or here, boiler or not_here
-                elif any(t == tag for t, _, _ in stack):
+                            _, main, aside, named = stack.pop()
+                        stack.append((tag, main, aside, named))
+                        here, other, name = _place(tag, m.group("attrs"))
+                        other &= not (tag == "header" and main)  # an article's own header holds its title
+                        main, aside, named = main or here, aside or other, named or name
+                elif any(t == tag for t, *_ in stack):
                     while True:
-                        t, main, boiler = stack.pop()
+                        t, main, aside, named = stack.pop()
                         if t == tag:
                             break
                     link = False
@@ -125,7 +134,7 @@ def text_blocks(page: str) -> list[TextBlock]:
     return out
 
 
-FEATURES = ("words_before", "words", "words_after", "links_before", "links", "links_after", "main", "boiler", "page_has_main", "heading")
+FEATURES = ("words_before", "words", "words_after", "links_before", "links", "links_after", "links_around", "main", "aside", "named", "page_has_main", "heading")
 
 
 def features(blocks: list[TextBlock]) -> np.ndarray:
@@ -133,66 +142,48 @@ def features(blocks: list[TextBlock]) -> np.ndarray:
     x = np.zeros((n, len(FEATURES)))
     if n:
         words = np.array([b.words for b in blocks], float)
-        dens = np.array([b.links / b.words for b in blocks])
+        links = np.array([b.links for b in blocks], float)
+        dens = links / words
         x[:, 1], x[:, 4] = words, dens
         x[1:, 0], x[:-1, 2], x[1:, 3], x[:-1, 5] = words[:-1], words[1:], dens[:-1], dens[1:]
-        x[:, 6] = [b.main for b in blocks]
-        x[:, 7] = [b.boiler for b in blocks]
-        x[:, 8] = any(b.main and not b.boiler for b in blocks)
-        x[:, 9] = [b.heading for b in blocks]
+        around = [np.convolve(v, np.ones(3))[1:-1] for v in (links, words)]
+        x[:, 6] = around[0] / around[1]
+        for k, name in enumerate(("main", "aside", "named")):
+            x[:, 7 + k] = [getattr(b, name) for b in blocks]
+        x[:, 10] = any(b.main and not b.aside and not b.named for b in blocks)
+        x[:, 11] = [b.heading for b in blocks]
     return x
 
 
-#: Invented pages, block by block: words, link density, where it stands (a: in an article or main element, x: in something
-#: marked as menu, advert, comments ..., ax: both, -: neither), heading, main text.
-PAGES = [
-    # pages with an article or main element: long and very short paragraphs, link lists inside, everything else around it
-    [(1, 1, "x", 0, 0), (1, 1, "x", 0, 0), (9, 0, "x", 0, 0), (7, 0, "a", 1, 1), (60, 0, "a", 0, 1), (45, 0.02, "a", 0, 1), (1, 0, "a", 0, 1), (30, 0, "a", 0, 1), (3, 1, "a", 0, 1), (2, 1, "a", 0, 1), (12, 0, "x", 0, 0)],
-    [(3, 1, "-", 0, 0), (14, 0, "-", 0, 0), (2, 0, "a", 1, 1), (2, 0, "a", 0, 1), (1, 0, "a", 0, 1), (5, 0, "a", 0, 1), (210, 0, "a", 0, 1), (35, 0, "ax", 0, 0), (88, 0, "a", 0, 1), (4, 0, "-", 0, 0)],
-    [(22, 0, "x", 0, 0), (3, 0, "x", 1, 0), (40, 0, "a", 0, 1), (33, 0, "ax", 0, 0), (28, 0.1, "ax", 0, 0), (5, 1, "ax", 0, 0), (17, 0, "a", 0, 1), (6, 0.5, "-", 0, 0), (44, 0, "-", 0, 0), (61, 0, "-", 0, 0), (8, 0, "x", 0, 0)],
-    [(120, 0, "-", 0, 0), (11, 0, "a", 1, 1), (95, 0, "a", 0, 1), (150, 0.03, "a", 0, 1), (4, 0, "a", 1, 1), (13, 0.6, "a", 0, 1), (70, 0, "a", 0, 1), (2, 0, "ax", 1, 0), (90, 0, "ax", 0, 0), (75, 0, "ax", 0, 0), (16, 0.2, "x", 0, 0)],
-    [(1, 1, "-", 0, 0), (1, 1, "-", 0, 0), (30, 0, "x", 0, 0), (1, 0, "a", 0, 1), (1, 0, "a", 0, 1), (52, 0, "a", 0, 1), (8, 0, "a", 0, 1), (1, 0, "-", 0, 0)],
-    [(2, 1, "x", 0, 0), (18, 0, "a", 0, 1), (9, 0, "a", 0, 1), (14, 0, "a", 0, 1), (26, 0, "a", 0, 1), (65, 0, "x", 0, 0), (4, 0, "x", 0, 0)],
-    [(5, 0, "x", 0, 0), (6, 0, "a", 1, 1), (10, 1, "a", 0, 1), (24, 1, "a", 0, 1), (3, 0, "a", 0, 1), (10, 0, "-", 0, 0), (25, 1, "-", 0, 0), (19, 0, "ax", 0, 0), (7, 0, "a", 0, 1)],
-    [(3, 0, "a", 1, 1), (300, 0, "a", 0, 1), (4, 0, "a", 0, 1), (80, 0, "ax", 0, 0), (100, 0, "x", 0, 0), (55, 0, "-", 0, 0), (2, 0, "ax", 0, 0), (12, 0, "a", 0, 1), (36, 0, "a", 0, 1), (1, 1, "ax", 0, 0)],
-    # pages without such an element: only size, links and neighbours tell
-    [(2, 1, "-", 0, 0), (2, 1, "-", 0, 0), (3, 1, "-", 0, 0), (8, 0, "-", 1, 1), (55, 0, "-", 0, 1), (70, 0.03, "-", 0, 1), (12, 0, "-", 0, 1), (48, 0, "-", 0, 1), (5, 0.8, "-", 0, 0), (4, 1, "-", 0, 0), (6, 0, "-", 0, 0)],
-    [(6, 0, "-", 1, 1), (80, 0, "-", 0, 1), (95, 0, "-", 0, 1), (16, 0.1, "-", 0, 1), (30, 0, "-", 0, 1), (2, 1, "-", 0, 0), (9, 0.7, "-", 0, 0), (7, 1, "-", 0, 0)],
-    [(1, 1, "x", 0, 0), (40, 0, "x", 0, 0), (22, 0, "x", 0, 0), (9, 0, "-", 1, 1), (64, 0, "-", 0, 1), (14, 0, "-", 0, 1), (75, 0, "-", 0, 1), (28, 0.9, "-", 0, 0), (20, 0.6, "-", 0, 0), (3, 1, "-", 0, 0)],
-    [(2, 1, "-", 0, 0), (5, 0, "-", 0, 0), (4, 0, "-", 0, 0), (3, 0, "-", 0, 0), (1, 1, "-", 0, 0), (3, 0, "x", 1, 0), (33, 0, "x", 0, 0)],
-    [(33, 0, "-", 0, 1), (100, 0.05, "-", 0, 1), (60, 0, "-", 0, 1)],
-    [(50, 0, "-", 0, 1)],
-]
-
-
-def labelled_table() -> np.ndarray:
+def labelled_table(pages: tuple[str, ...] = tuple(PAGES)) -> np.ndarray:
+    """A row of features and label (main text or not) for each block of labelled pages."""
     rows = []
-    for page in PAGES:
-        blocks = [TextBlock("", w, w * d, "a" in at, "x" in at, bool(h)) for w, d, at, h, _ in page]
-        rows.append(np.column_stack([features(blocks), [y for *_, y in page]]))
+    for page in pages:
+        blocks = text_blocks(expand(page))
+        rows.append(np.column_stack([features(blocks), [b.text.startswith("\u00b6") for b in blocks]]))
     return np.concatenate(rows)
 
 
-def grow(table: np.ndarray, depth: int = 6):
+def grow(table: np.ndarray, depth: int = 7, least: int = 2):
     """A decision tree by Gini impurity: ``(feature, threshold, below_or_equal, above)`` or a label."""
     y = table[:, -1]
     share = y.mean()
-    # the features that say where a block stands come first, so they win ties
-    order = sorted(range(table.shape[1] - 1), key=lambda f: (f not in (6, 7, 8), f))
     if depth == 0 or share in (0.0, 1.0):
         return int(share >= 0.5)
     best = None
-    for f in order:
+    for f in range(table.shape[1] - 1):
         values = np.unique(table[:, f])
         for t in (values[1:] + values[:-1]) / 2:
             left = table[:, f] <= t
+            if min(left.sum(), (~left).sum()) < least:
+                continue
             impurity = sum(len(s) * s.mean() * (1 - s.mean()) for s in (y[left], y[~left]))
             if best is None or impurity < best[0] - 1e-12:
                 best = (impurity, f, float(t), left)
     if best is None:
         return int(share >= 0.5)
     _, f, t, left = best
-    return f, t, grow(table[left], depth - 1), grow(table[~left], depth - 1)
+    return f, t, grow(table[left], depth - 1, least), grow(table[~left], depth - 1, least)
 
 
 @lru_cache(maxsize=1)

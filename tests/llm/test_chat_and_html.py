@@ -1,5 +1,7 @@
 import hashlib
+import os
 import random
+import re
 
 import pytest
 
@@ -97,6 +99,64 @@ def test_tree_fits_its_table():
     assert (html_text.classify(html_text.tree(), t[:, :-1]) == t[:, -1]).mean() > 0.97
 
 
+#: Pages that the tree never saw: what an extractor should return of them, and what it should not, in order.
+UNSEEN = [
+    "<nav><a href=1>{1}</a><a href=2>{1}</a></nav><div class='site-header'>{8}</div><main><h1>¶{5}</h1><p>¶{34}</p><p>¶{3}</p><div class='newsletter-signup'><p>{19}</p></div><p>¶{81}</p></main><div id=sidebar><p>{40}</p></div>",
+    "<article class='post'><p>¶{2}</p><ul><li>¶<a href=q>{3}</a><li>¶{1}</ul><div class='read-more'><p>¶{45}</p></div><div class='tags'>¶{4}</div></article><section class='comment-list'><p>{55}</p><p>{5}</p></section>",
+    "<div role=navigation>{6}</div><article><p>¶{90}</p><p>¶{9} <button>{1}</button></p></article><div role=contentinfo>{30}</div><p>{44}</p>",
+    "<div><a href=1>{2}</a></div><div><a href=2>{1}</a></div><h1>¶{6}</h1><p>¶{62}</p><p>¶{25}</p><p>¶{44} <a href=3>{2}</a></p><div><a href=4>{3}</a></div><div><a href=5>{2}</a></div>",
+    "<header>{14}</header><p>¶{33}</p><p>¶{72}</p><p>¶{28}</p><aside><p>{27}</p></aside><footer><p>{22}</p></footer>",
+    "<div class='ad-slot'>{31}</div><div>¶{47}</div><div>¶{35}</div><div>¶{29}</div><p><a href=1>{9}</a></p><p>{2} <a href=2>{7}</a></p>",
+    "<body class='has-sidebar'><article><header><h1>¶{4}</h1></header><p>¶{13}</p></article><form><p>{33}</p></form></body>",
+    "<main><p>¶{6}</p></main><main><p>¶{7}</p></main><div class=gdpr>{60}</div>",
+]
+
+
+def test_precision_and_recall_on_unseen_pages():
+    t = html_text.labelled_table(tuple(UNSEEN))
+    got, want = html_text.classify(html_text.tree(), t[:, :-1]), t[:, -1] == 1
+    assert (got & want).sum() >= 0.95 * got.sum() and (got & want).sum() >= 0.95 * want.sum() and len(t) > 40
+
+
+def test_the_tree_looks_at_neighbours():
+    seen = set()
+
+    def walk(node):
+        if isinstance(node, tuple):
+            seen.add(html_text.FEATURES[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    walk(html_text.tree())
+    assert seen & {"words_before", "words_after"} and seen & {"links", "links_around", "links_before", "links_after"}
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>Area <math><mi>x</mi></math> is given</p></article>", "Area x is given"),
+        ("<article><p>Press <button>ok</button> now</p></article>", "Press ok now"),
+        ("<main><p>a</p><div class='read-more'><p>b c</p></div><div class=tags>d</div><div class=toc>e</div></main>", "a\n\nb c\n\nd\n\ne"),
+        ("<body class='with-sidebar'><article class='post no-comments'><p>x</p></article></body>", "x"),
+        ("<article><p>x</p><article class=comment><p>a reader's words</p></article></article>", "x"),
+    ],
+)
+def test_nothing_else_is_dropped(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no driver tables")
+def test_articles_of_the_tables():
+    import html
+
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist():
+        inner = re.search("<article>(.*)</article>", page, re.S)[1]
+        blocks = [re.sub(r"[\x20\x09-\x0D]+", " ", html.unescape(re.sub("</?b>", "", x).replace("<br>", " "))).strip(" ") for x in re.split("</?(?:p|h1)>", inner)]
+        assert html_text.main_text(page) == "\n\n".join(x for x in blocks if x)
+
+
 def test_table_in_table_out(spark):
     d = spark.createDataFrame([(1, "u", None, "t"), (None, None, "<article><p>é x</p></article>", "t"), (1, "u", None, "t")], "page_id long, url string, html string, text string")
     got = html_text.extract_text(d).collect()
