@@ -184,9 +184,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     return per_doc.mapInArrow(_bitmaps, "doc_id long, fp long, n_lines long, n_dropped long, keep binary")
 
 
-def _joined(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    m = bitmaps.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("n_lines").alias("__n"), F.col("n_dropped").alias("__d"), F.col("keep").alias("__keep"))
-    return docs.join(m.hint("shuffle_hash"), (docs["doc_id"].cast("long") == m["__id"]) & (F.xxhash64(docs["text"]) == m["__fp"]), "left")
+def _joined(docs: DataFrame, bitmaps: DataFrame, mark: str = "__") -> DataFrame:
+    """``docs`` with their bitmaps, the columns of which are named after ``mark``."""
+    m = bitmaps.select(F.col("doc_id").alias(f"{mark}id"), F.col("fp").alias(f"{mark}fp"), F.col("n_lines").alias(f"{mark}n"), F.col("n_dropped").alias(f"{mark}d"), F.col("keep").alias(f"{mark}keep"))
+    return docs.join(m.hint("shuffle_hash"), (docs["doc_id"].cast("long") == m[f"{mark}id"]) & (F.xxhash64(docs["text"]) == m[f"{mark}fp"]), "left")
 
 
 def kept_lines(data: bytes, bitmap: bytes | None, n_lines: int, n_dropped: int) -> bytes:
@@ -196,28 +197,42 @@ def kept_lines(data: bytes, bitmap: bytes | None, n_lines: int, n_dropped: int)
     return b"\n".join(x for x, k in zip(data.split(b"\n"), keep.tolist()) if k)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """``docs`` with the lines that :func:`keep_bitmaps` drops taken out of ``text``; ``n_chars``, if there, follows. Every row stays."""
-    joined = _joined(docs, keep_bitmaps(docs, min_chars, min_docs))
-    fields, names = joined.schema, docs.columns
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with the lines that :func:`keep_bitmaps` drops taken out of ``text``; ``n_chars``, if there, follows.
+
+    Every row stays, unless ``drop_emptied``: then rows go that lost lines and
+    have no word left, all they said being in other documents.  Null and empty
+    texts, texts of white space and rows with a null ``doc_id`` stay as they
+    are; repeated rows share their fate; of equal documents the one with the
+    largest ``doc_id`` keeps the lines.  An empty table gives an empty result,
+    and other columns, whatever their names, come out as they went in.
+    """
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    joined = _joined(docs, keep_bitmaps(docs, min_chars, min_docs), mark)
+    names = docs.columns
 
     def run(batches):
         for batch in batches:
             at = {f: i for i, f in enumerate(batch.schema.names)}
             cols = {f: batch.column(at[f]) for f in names}
-            dropped = batch.column(at["__d"]).to_pylist()
-            texts = None
+            dropped = batch.column(at[f"{mark}d"]).to_pylist()
+            texts, stay = None, None
             for i, d in enumerate(dropped):
                 if d:
                     texts = texts or cols["text"].to_pylist()
-                    texts[i] = kept_lines((texts[i] or "").encode(), batch.column(at["__keep"])[i].as_py(), batch.column(at["__n"])[i].as_py(), d).decode()
+                    texts[i] = kept_lines((texts[i] or "").encode(), batch.column(at[f"{mark}keep"])[i].as_py(), batch.column(at[f"{mark}n"])[i].as_py(), d).decode()
+                    if drop_emptied and not texts[i].strip(" \t\n\v\f\r"):
+                        stay = stay or [True] * len(dropped)
+                        stay[i] = False
             if texts:
                 cols["text"] = pa.array(texts, cols["text"].type)
                 if "n_chars" in cols:
                     cols["n_chars"] = pa.array([len(t) if d else n for t, d, n in zip(texts, dropped, cols["n_chars"].to_pylist())], cols["n_chars"].type)
-            yield pa.record_batch(cols)
+            out = pa.record_batch(cols)
+            yield out.filter(pa.array(stay)) if stay else out
 
-    del fields
     return joined.mapInArrow(run, docs.schema)
 
 

@@ -381,7 +381,13 @@ def jaccard_join(docs: DataFrame, percent: int = 70, width: int = 3) -> DataFram
 
 
 def one_of_each(docs: DataFrame, percent: int = 70) -> DataFrame:
-    """``docs`` without the documents that have a smaller ``doc_id`` in their component (rows of one ``doc_id`` share its fate)."""
+    """``docs`` without the documents that have a smaller ``doc_id`` in their component (rows of one ``doc_id`` share its fate).
+
+    Documents without a word (null, empty or blank text) link with nothing and
+    stay, as do rows with a null ``doc_id``; of equal documents the smallest
+    ``doc_id`` stays.  An empty table gives an empty result; every column comes
+    out as it went in.
+    """
     gone = jaccard_join(docs, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 

@@ -379,7 +379,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; every column as it was."""
+    """``docs`` without the rows that score ``threshold`` or more; every column as it was.
+
+    Each row is judged by its own whole text, so repeated rows share their fate
+    and a null ``doc_id`` does not matter; null text is judged as empty; an
+    empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index("text")
 

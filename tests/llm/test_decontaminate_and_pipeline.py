@@ -162,7 +162,14 @@ def test_pipeline_step_by_step(spark):
     assert {i for i, _ in rows[1]} == {i for i, p in verdict.items() if not p}
     import hashlib
 
-    assert {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows[2]} == {(i, s) for i, _, _, s in brute_lines(rows[1])}
+    before, blank = dict(rows[1]), {i for i, t in rows[1] if not (t or "").strip(" \t\n\v\f\r")}
+    want = {i: (n, s) for i, _, n, s in brute_lines(rows[1])}
+    assert {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows[2]} <= {(i, s) for i, (_, s) in want.items()}
+    emptied = set(want) - {i for i, _ in rows[2]}
+    held = {k.strip(" \t\n\v\f\r").lower() for _, t in rows[2] for k in (t or "").split("\n")}
+    for i in emptied:  # they lost lines, nothing else of them was words, and what they said is still there
+        assert want[i][0] and all(not (k := x.strip(" \t\n\v\f\r")) or k.lower() in held for x in before[i].split("\n"))
+    assert blank <= {i for i, _ in rows[2]}
     assert {i for i, _ in rows[3]} == {i for i, _, _, c in brute(rows[2]) if i == c}
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     gone = {i for i, _ in rows[3]} - {i for i, _ in rows[4]}
@@ -172,3 +179,22 @@ def test_pipeline_step_by_step(spark):
     again = {r["doc_id"]: r["taken"] for r in P.run(spark, SF).collect()}
     assert again == {i: r["taken"] for i, r in final.items()}
     assert mixing.WEIGHTS == (5, 2, 1)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF) or not os.path.exists(HERE), reason="no driver tables")
+def test_stages_take_odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows, columns of clashing names, and tables without rows."""
+    spec = importlib.util.spec_from_file_location("corpus_pipeline", HERE)
+    P = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(P)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30).selectExpr("*", "doc_id as __id", "text as __leak", "1 as __gone")
+    odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", None, None, 0), (-2, None, "en", "s", None), (-3, "same words in both of these rows here", "en", "s", 1), (-3, "same words in both of these rows here", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd.selectExpr("*", "doc_id as __id", "text as __leak", "1 as __gone")
+    rows = docs.unionByName(odd.select(*[odd[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns]))
+    for name, step in P.STAGES:
+        for table in (rows, rows.where("false")):
+            out = step(spark, table, SF)
+            got = out.collect()
+            assert (name == "mixing" or out.columns == docs.columns) and len(got) <= 35
+            if table is rows and name != "toxicity":
+                assert sum(r["doc_id"] is None for r in got) == 1 and {-1, -2, -3} <= {r["doc_id"] for r in got}

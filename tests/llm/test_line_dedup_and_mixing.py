@@ -109,3 +109,12 @@ def test_mix_of_nothing(spark):
 def test_words_are_counted_by_the_same_pattern(spark):
     d = spark.createDataFrame([(1, "s", "a b\x1cc \t\x0bd\x0c\re")], "doc_id long, source string, text string")
     assert mixing.mix(d).first()["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", "a b\x1cc \t\x0bd\x0c\re"))
+
+
+def test_emptied_documents_may_go(spark):
+    rows = [(1, LONG), (2, LONG + "\n\n  "), (3, LONG), (4, None), (5, ""), (6, " \n"), (None, LONG), (7, LONG + "\nown"), (7, LONG + "\nown"), (2, LONG + "\n\n  ")]
+    d = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, __d int, __keep int, ___n int, _ID int")
+    out = line_dedup.dedup_lines(d, drop_emptied=True)
+    assert out.schema == d.schema
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, [(4, None), (5, ""), (6, " \n"), (None, LONG), (7, LONG + "\nown"), (7, LONG + "\nown")]))
+    assert line_dedup.dedup_lines(d).count() == len(rows) and line_dedup.dedup_lines(d.where("false"), drop_emptied=True).count() == 0
