@@ -1,4 +1,10 @@
-"""Five stages over ``documents``, each written as Parquet and reread as the next one's input."""
+"""Five stages over ``documents``, each written as Parquet and reread as the next one's input.
+
+All but the last return the columns of their input, extra ones too.  A null
+``doc_id`` is no reason to go (no stage can name it); null and empty texts stay
+until a document of theirs is judged on its own text; repeated rows share their
+fate; an empty table gives an empty result at every stage.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: lines that three documents share stay only in the largest ``doc_id``; every document stays."""
-    return line_dedup.dedup_lines(docs)
+    """Operator 10: lines that three documents share stay only in the largest ``doc_id``; documents of which no word is left go."""
+    return line_dedup.dedup_lines(docs, drop_emptied=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +46,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: A trained network and a decomposition are not SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: A trained network and a decomposition are not SQL; tests/llm/test_decontaminate_and_pipeline.py has brute-force versions.
 ORACLE_SQL = None
 
 
