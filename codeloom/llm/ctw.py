@@ -35,7 +35,7 @@ SPLIT = 3
 #: None: every context is kept.  A number: only those that make up such a part of all bytes; what lies beneath a node without a node of its own is coded by one further leaf of that node.
 CONTEXTS = None
 #: Text (about) that asks together; pairs (about) that a part of the tree is asked for, and parts at most: beyond that many, a part answers in several tasks.
-GROUP_BYTES, PART_PAIRS, MOST_PARTS = 24 << 20, 1 << 19, 4096
+GROUP_BYTES, PART_PAIRS, MOST_PARTS = 16 << 20, 1 << 19, 4096
 END = 0xFF  # ends a text, and stands before its start; not a byte of UTF-8
 _MASK = [U64((1 << 8 * d) - 1) for d in range(9)]
 END_TOKEN = 0x1E35A7BD3C6EF372  # fingerprint of the end token
@@ -125,7 +125,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 class Tally:
     """Distinct keys of many arrays and how often each occurs, with little beside them."""
 
-    def __init__(self, most: int = 4 << 20):
+    def __init__(self, most: int = 3 << 20):
         self.most, self.raw, self.held, self.parts = most, [], 0, []
 
     def add(self, keys: np.ndarray) -> None:
@@ -196,17 +196,22 @@ def _asks(texts: pa.Table, parts: int):
     for kind in range(2):
         k, n = other[kind].result()
         k, n = _merge([train[kind].result(), (k, np.zeros(len(k), np.int64))])
-        yield k, n, (mix(k if kind else k >> U64(64 - 8 * SPLIT)) % U64(parts)).astype(np.uint16) + np.uint16(kind * parts)
+        yield k, n, _part(k, kind, parts)
 
 
-def _values(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """What belongs to each key, all of which the sorted table has."""
+def _part(keys: np.ndarray, kind: int, parts: int) -> np.ndarray:
+    """The part of the tree that a pair (kind 0) belongs to, or that of the vocabulary that a word (1) does."""
+    return (mix(keys if kind else keys >> U64(64 - 8 * SPLIT)) % U64(parts)).astype(np.uint16) + np.uint16(kind * parts)
+
+
+def _inverse(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of each key among them."""
     order = np.argsort(keys)
     sorted_ = keys[order]
     at = _distinct(sorted_)
-    out = np.empty(len(keys))
-    out[order] = np.repeat(values[np.searchsorted(table, sorted_[at])], np.diff(np.append(at, len(keys))))
-    return out
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(keys))))
+    return sorted_[at], place
 
 
 def _ordered(part: np.ndarray):
@@ -580,27 +585,35 @@ def _score(parts: int, total: int, distinct: int):
     floor = np.log10(total + distinct + 1.0)
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        asks, values = [], dict(zip(answers.column("part").to_pylist(), answers.column("values").to_pylist()))
-        for kind, (k, _, part) in enumerate(_asks(texts, parts)):
-            order, stretches = _ordered(part)
+        held, values = [], dict(zip(answers.column("part").to_pylist(), answers.column("values").to_pylist()))
+        for b in blocks(texts.to_batches()):
+            coded = folded(b)
+            held.append((b, np.diff(coded.offs), [(*_inverse(keys), first) for keys, first in pieces(coded)], _inverse(b.word_hashes())))
+
+        def table(kind: int, keys: list[np.ndarray]):
+            """What the block asked for, in the same order, and the answers."""
+            k = np.sort(np.concatenate(keys))
+            k = k[_distinct(k)]
+            order, stretches = _ordered(_part(k, kind, parts))
             v = np.empty(len(k))
             for p, i, j in stretches:
                 v[order[i:j]] = unpack(values.pop(p)).view(np.int64) if kind else unpack_logs(values.pop(p))
-            asks.append((k, v))
-        (pairs, logs), (words, times) = asks
+            return k, v
+
+        pairs, logs = table(0, [u for _, _, x, _ in held for u, _, _ in x])
+        words, times = table(1, [np.full(1, END_TOKEN, np.uint64), *(u for *_, (u, _) in held)])
         end = times[np.searchsorted(words, U64(END_TOKEN))]
         out = []
-        for b in blocks(texts.to_batches()):
+        for b, size, own, (u, place) in held:
             score = np.zeros(b.n)
-            coded = folded(b)
-            for keys, first in pieces(coded):
-                score += np.add.reduceat(_values(pairs, logs, keys), first[:-1])
-            h, (_, _, wf) = b.word_hashes(), b.words()
-            n = _values(words, times, h)
+            for v, at, first in own:
+                score += np.add.reduceat(logs[np.searchsorted(pairs, v)][at], first[:-1])
+            n = times[np.searchsorted(words, u)][place]
+            wf = b.words()[2]
             tokens = np.diff(wf) + 1
             base = sums(np.log10(n + 1.0), wf) + np.log10(end + 1.0) - tokens * floor
             cols = {c: b.batch.column(b.batch.schema.get_field_index(c)) for c in ("doc_id", "held_out")}
-            out.append(pa.record_batch(cols | {"n_tokens": pa.array(tokens), "n_known": pa.array(sums(n > 0, wf) + int(end > 0)), "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(np.diff(coded.offs))}))
+            out.append(pa.record_batch(cols | {"n_tokens": pa.array(tokens), "n_known": pa.array(sums(n > 0, wf) + int(end > 0)), "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(size)}))
         return pa.Table.from_batches(out)
 
     return run

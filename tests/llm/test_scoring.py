@@ -350,7 +350,7 @@ def test_scores_are_context_tree_weighting(spark, monkeypatch):
         assert abs(r["score"] - log10(texts[r["doc_id"]])) < 1e-4 * max(1, abs(r["score"]))
 
 
-@pytest.mark.parametrize("group, pairs", [(24 << 20, 1 << 19), (300, 40)])
+@pytest.mark.parametrize("group, pairs", [(16 << 20, 1 << 19), (300, 40)])
 def test_base_score(spark, monkeypatch, group, pairs):
     """log10((c + 1) / (n + 1 * (v + 1))), in one block and in several, with parts that answer in several tasks."""
     monkeypatch.setattr(ctw, "GROUP_BYTES", group)
