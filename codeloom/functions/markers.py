@@ -5,17 +5,25 @@ from __future__ import annotations
 import re
 
 _COMMENTS = {"Default": ("//", "/*", "*/"), "Python": ("#",), "Ada": ("--",), "Fortran": ("!",), "Lua": ("--", "--[[", "]]")}
-_TOKEN = re.compile(r'(?:"[^"]*"?|[^\s"])+')
+#: White space (the Unicode property) for a character class of either regular-expression dialect.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES = "".join(chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c)))
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TOKEN = re.compile(f'(?:"[^"]*"?|[^{WHITE}"])+')
+
+
+def ascii_lower(s: str) -> str:
+    return s.translate(str.maketrans(UPPER, LOWER))
 
 
 def comment_text(line: str, mode: str) -> str | None:
     """The inside of a line that is one whole comment."""
-    t = line.strip()
+    t = line.strip(_SPACES)
     prefix, *block = _COMMENTS[mode]
     if t.startswith(prefix):
-        return t[len(prefix) :].strip()
+        return t[len(prefix) :].strip(_SPACES)
     if block and t.startswith(block[0]) and t.endswith(block[1]) and len(t) >= len(block[0]) + len(block[1]):
-        return t[len(block[0]) : len(t) - len(block[1])].strip()
+        return t[len(block[0]) : len(t) - len(block[1])].strip(_SPACES)
     return None
 
 
@@ -30,7 +38,7 @@ def regions(source: str, mode: str) -> list[tuple[int, int, int, int, list[str]
     for k, line in enumerate(rows, 1):
         end = at + len(line.encode())
         m = comment_text(line, mode)
-        tools = [t for t in (x.strip() for x in m[10:].split(",")) if t] if m is not None and m.startswith("tools:off ") else None
+        tools = [t for t in (x.strip(_SPACES) for x in m[10:].split(",")) if t] if m is not None and m.startswith("tools:off ") else None
         if start is None and (m == "tools:off" or tools):
             start = (at, k, tools)
         elif start is not None and m == "tools:on":
@@ -59,6 +67,6 @@ def suppressions(source: str, mode: str) -> list[tuple[int, int | None, str, str
                 if t.startswith(p):
                     given[p] = t[len(p) :]
         why = given["JUSTIFICATION:"]
-        target = next((j for j in range(k + 1, len(rows) + 1) if rows[j - 1].strip()), None)
+        target = next((j for j in range(k + 1, len(rows) + 1) if rows[j - 1].strip(_SPACES)), None)
         out.append((k, target, tool, rule, given["HASH:"], None if why is None else why.strip('"')))
     return out

@@ -7,6 +7,8 @@ parsed once, written, and queried as tables.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,19 +28,21 @@ def _offsets(source: str):
     """Characters to bytes; rows from 0."""
     if source.isascii():
         return lambda i: i
-    at, table = 0, []
-    for ch in source:
-        table.append(at)
-        at += len(ch.encode("utf-8", "surrogatepass"))
-    table.append(at)
-    return table.__getitem__
+    # only the characters that are not ASCII move what follows them
+    wide = [(i, len(ch.encode("utf-8", "surrogatepass")) - 1) for i, ch in enumerate(source) if ch > "\x7f"]
+    at, extra, total = [i for i, _ in wide], [0], 0
+    for _, n in wide:
+        total += n
+        extra.append(total)
+    return lambda i: i + extra[bisect_left(at, i)]
 
 
 def file_facts(grammar: str, source: str, relations=RELATIONS):
     """Rows (relation, seq, a, b, c, flag, n1 ... n6) of one file."""
     tree = Tree(parse(grammar, source), source, grammar)
     byte = _offsets(source)
-    line = lambda i: source.count("\n", 0, i) + 1
+    breaks = [i for i, ch in enumerate(source) if ch == "\n"]
+    line = lambda i: bisect_left(breaks, i) + 1
     want = set(relations)
     if "imports" in want:
         for i, s in enumerate(tree.imports()):
@@ -155,17 +159,22 @@ def duplicate_groups(fingerprints: DataFrame, hash_col: str = "hash", order_by:
     Sizes come from a pre-aggregated count, and positions from ranges of
     (hash, order): a hash that a third of all rows share is cut into many
     ranges, each counts its own rows, and only the ranges' counts are summed up
-    by hash.
+    by hash.  The input is read once for the sizes and once, written, for the
+    ranges.
     """
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in fingerprints.columns):
+        mark += "_"
+    h, r, at, first, n, before = (f"{mark}{x}" for x in ("hash", "range", "at", "first", "n", "before"))
+    fingerprints = written(fingerprints, "fingerprints")
     sizes = fingerprints.groupBy(hash_col).agg(F.count("*").alias("group_size")).where("group_size > 1")
     members = fingerprints.join(sizes, hash_col)
     ranges = members.repartitionByRange(hash_col, *order_by).sortWithinPartitions(hash_col, *order_by)
-    ranges = written(ranges.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
-    counts = ranges.groupBy(F.col(hash_col).alias("_hash"), F.col("_range").alias("_r")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_hash").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.withColumn("_before", before)
-    placed = ranges.join(counts, (F.col(hash_col) == F.col("_hash")) & (F.col("_range") == F.col("_r")))
-    return placed.withColumn("member_pos", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_hash", "_r", "_range", "_at", "_first", "_n", "_before")
+    ranges = written(ranges.withColumns({r: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "ranges")
+    counts = ranges.groupBy(F.col(hash_col).alias(h), F.col(r).alias(f"{r}2")).agg(F.min(at).alias(first), F.count("*").alias(n))
+    earlier = F.coalesce(F.sum(n).over(Window.partitionBy(h).orderBy(f"{r}2").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranges.join(counts.withColumn(before, earlier), (F.col(hash_col) == F.col(h)) & (F.col(r) == F.col(f"{r}2")))
+    return placed.withColumn("member_pos", F.col(before) + F.col(at) - F.col(first) + 1).drop(h, r, f"{r}2", at, first, n, before)
 
 
 def min_c_standard(f: DataFrame, key: str = "file_id") -> DataFrame:
@@ -195,6 +204,11 @@ def cfg_edges(f: DataFrame, key: str = "file_id") -> DataFrame:
     return _pick(f, "cfg_edges", key, func_id="n1", seq="seq", src="n2", dst="n3", kind="a")
 
 
+def get_block(blocks: DataFrame, block_id: int) -> DataFrame:
+    """Of :func:`cfg_blocks`, that block of every graph which has one."""
+    return blocks.where(F.col("block_id") == block_id)
+
+
 def successors(edges: DataFrame, block_id: int) -> DataFrame:
     return edges.where(F.col("src") == block_id)
 

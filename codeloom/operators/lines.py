@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_TRIM = r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$"
+from codeloom.functions.markers import LOWER, UPPER, WHITE, ascii_lower
+
+_TRIM = f"^[{WHITE}]+|[{WHITE}]+$"
 #: Whole-line comment: line prefix, and opener and closer of a block on one line.
 COMMENTS = {"Default": ("//", "/*", "*/"), "Python": ("#", None, None), "Ada": ("--", None, None), "Fortran": ("!", None, None), "Lua": ("--", "--[[", "]]")}
 
 
+def _ascii_lower(c: Column) -> Column:
+    return F.translate(c, UPPER, LOWER)
+
+
 def trim(c: Column) -> Column:
     """Without white space (Unicode's) at both ends."""
     return F.regexp_replace(c, _TRIM, "")
@@ -77,7 +83,7 @@ def ignored_regions(files: DataFrame, key: str = "file_id", source: str = "sourc
 
 def region_applies_to(tools: Column, tool: str) -> Column:
     """No list: every tool; else ASCII case-insensitive."""
-    return tools.isNull() | F.exists(tools, lambda t: F.lower(t) == tool.lower())
+    return tools.isNull() | F.exists(tools, lambda t: _ascii_lower(t) == ascii_lower(tool))
 
 
 def suppressions(files: DataFrame, key: str = "file_id", source: str = "source", mode: str = "sloc_mode") -> DataFrame:
@@ -89,7 +95,7 @@ def suppressions(files: DataFrame, key: str = "file_id", source: str = "source",
     w = Window.partitionBy(key).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
     target = F.first(F.when(trim(F.col("text")) != "", F.col("line_no")), ignorenulls=True).over(w)
     marks = lines.select(key, "line_no", marker_text(F.col("text"), F.col(mode)).alias("m"), target.alias("target_line")).where(F.startswith("m", F.lit("tools:suppress ")))
-    tokens = F.regexp_extract_all(F.substr("m", F.lit(16)), F.lit(r'(?:"[^"]*"?|[^\s"])+'), F.lit(0))
+    tokens = F.regexp_extract_all(F.substr("m", F.lit(16)), F.lit(f'(?:"[^"]*"?|[^{WHITE}"])+'), F.lit(0))
     head = F.get("tok", F.lit(0))
 
     def last(prefix: str) -> Column:
@@ -110,4 +116,5 @@ def suppressions(files: DataFrame, key: str = "file_id", source: str = "source",
 
 
 def suppression_applies_to(tool: Column, rule: Column, wanted_tool: str, wanted_rule: str) -> Column:
-    return (F.lower(tool) == wanted_tool.lower()) & (rule == wanted_rule)
+    """ASCII case does not count in tools, every case does in rules."""
+    return (_ascii_lower(tool) == ascii_lower(wanted_tool)) & (rule == wanted_rule)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import globs, registry
 from codeloom.operators import corpus, facts, lines
-from codeloom.plans.code_corpus import CORPUS_SQL, IMPORT_SQL, code_corpus
+from codeloom.plans.code_corpus import CORPUS_SQL, IMPORT_SQL, case, code_corpus
+from codeloom.sources.staging import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,11 +48,12 @@ def _with(sql: str) -> str:
 
 
 def _facts(spark: SparkSession, sf_dir: str, *relations: str, languages: tuple[str, ...] = ()) -> DataFrame:
-    """Facts of the corpus; a language filter applies before the parse."""
+    """Facts of the corpus; a language filter applies before the parse.  Where several relations are asked for, one parse is written."""
     files = code_corpus(spark, sf_dir)
     if languages:
         files = files.where(F.col("language").isin(*languages))
-    return facts.facts(files.repartition("file_id"), relations)
+    f = facts.facts(files, relations)
+    return written(f, "facts") if len(relations) > 1 else f
 
 
 # ---- registry and globs
@@ -172,22 +174,23 @@ def resolved_calls(spark, sf_dir):
     return corpus.resolve_calls(facts.call_edges(f), facts.functions(f)).select("file_id", "callee", "definitions")
 
 
-@_query(
-    "WITH RECURSIVE "
-    + CORPUS_SQL.strip()
-    + """, e AS (SELECT DISTINCT f AS src, g AS dst FROM c WHERE language <> 'php'), r AS (
-  SELECT src AS s, dst AS n FROM e WHERE src < 5 UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.n)
-SELECT 'main' || s AS start, 'main' || n AS node FROM r"""
-)
+_EDGE_SQL = CORPUS_SQL.strip() + ", e AS (SELECT 'main' || f AS src, 'main' || g AS dst FROM c WHERE language <> 'php' UNION SELECT 'main' || f, 'helper' || f FROM c WHERE language <> 'php')"
+
+
+def _call_graph(spark, sf_dir):
+    """Calls as a graph of names; it is small whatever the corpus (names are numbers below 97), so it is written once."""
+    return facts.call_edges(_facts(spark, sf_dir, "calls")).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+
+
+@_query("WITH RECURSIVE " + _EDGE_SQL + ", r AS (SELECT src AS s, dst AS n FROM e UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.n) SELECT s AS start, n AS node FROM r")
 def call_graph_reach(spark, sf_dir):
-    e = facts.call_edges(_facts(spark, sf_dir, "calls")).where(F.startswith("callee", F.lit("main"))).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
-    return corpus.reachable(e, e.where(F.col("src").isin([f"main{i}" for i in range(5)])).select(F.col("src").alias("start")))
+    e = written(_call_graph(spark, sf_dir).distinct(), "calls")
+    return corpus.reachable(e, e.select(F.col("src").alias("start")))
 
 
-@_query("WITH RECURSIVE " + CORPUS_SQL.strip() + ", e AS (SELECT DISTINCT f AS src, g AS dst FROM c WHERE language <> 'php'), r AS (SELECT src AS s, dst AS n FROM e UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.n) SELECT 'main' || s AS node FROM r WHERE s = n")
+@_query("WITH RECURSIVE " + _EDGE_SQL + ", r AS (SELECT src AS s, dst AS n FROM e UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.n) SELECT s AS node FROM r WHERE s = n")
 def call_cycles(spark, sf_dir):
-    e = facts.call_edges(_facts(spark, sf_dir, "calls")).where(F.startswith("callee", F.lit("main"))).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
-    return corpus.cycles(e)
+    return corpus.cycles(_call_graph(spark, sf_dir))
 
 
 # ---- control flow
@@ -198,26 +201,28 @@ def _by_body(values: dict[str, list[str]], quote: bool = False) -> str:
     return f"CASE WHEN language = 'rust' THEN {q(values['rust'])}[b + 1] ELSE {q(values['c'])}[b + 1] END"
 
 
-def _main_cfg(spark, sf_dir, *relations):
-    f = _facts(spark, sf_dir, "cfg_functions", *relations, languages=("c", "cpp", "rust"))
-    return f, facts.cfg_functions(f).where(F.startswith("name", F.lit("main")))
+_C_LIKE = ("c", "cpp", "rust")
+#: ``helper`` is one block in Rust; in C and C++ its return ends one and an empty one follows.
+_HELPER_SQL = "SELECT file_id, 'helper' || f AS name, CAST(CASE WHEN language = 'rust' THEN 1 ELSE 2 END AS BIGINT) AS block_count, CASE WHEN language = 'rust' THEN '0' ELSE '1' END AS exits FROM c WHERE language IN ('c', 'cpp', 'rust')"
 
 
-@_query(_with(f"SELECT file_id, 'main' || f AS name, CAST({_by_body(_CFG)} AS BIGINT) AS block_count, {_by_body(_EXITS, True)} AS exits FROM c WHERE language IN ('c', 'cpp', 'rust')"))
+@_query(_with(f"SELECT file_id, 'main' || f AS name, CAST({_by_body(_CFG)} AS BIGINT) AS block_count, {_by_body(_EXITS, True)} AS exits FROM c WHERE language IN ('c', 'cpp', 'rust') UNION ALL {_HELPER_SQL}"))
 def cfg_blocks_and_exits(spark, sf_dir):
-    return _main_cfg(spark, sf_dir)[1].select("file_id", "name", "block_count", F.array_join(F.transform("exits", lambda x: x.cast("string")), ",").alias("exits"))
+    f = facts.cfg_functions(_facts(spark, sf_dir, "cfg_functions", languages=_C_LIKE))
+    return f.select("file_id", "name", "block_count", F.array_join(F.transform("exits", lambda x: x.cast("string")), ",").alias("exits"))
 
 
 @_query(
     _with(
-        "SELECT file_id, src, dst, kind FROM c JOIN (VALUES "
+        "SELECT file_id, 'main' || f AS name, src, dst, kind FROM c JOIN (VALUES "
         + ", ".join(f"({lang == 'rust'}, {b}, {s}, {d}, '{k}')" for lang, bodies in _EDGES.items() for b, es in enumerate(bodies) for s, d, k in es)
-        + ") AS e(rust, body, src, dst, kind) ON e.rust = (language = 'rust') AND e.body = c.b WHERE language IN ('c', 'cpp', 'rust')"
+        + ") AS e(rust, body, src, dst, kind) ON e.rust = (language = 'rust') AND e.body = c.b WHERE language IN ('c', 'cpp', 'rust') UNION ALL SELECT file_id, 'helper' || f, 0, 1, 'return' FROM c WHERE language IN ('c', 'cpp')"
     )
 )
 def cfg_edges(spark, sf_dir):
-    f, main = _main_cfg(spark, sf_dir, "cfg_edges")
-    return facts.cfg_edges(f).join(main.select("file_id", "func_id"), ["file_id", "func_id"]).select("file_id", "src", "dst", "kind")
+    f = _facts(spark, sf_dir, "cfg_functions", "cfg_edges", languages=_C_LIKE)
+    names = facts.cfg_functions(f).select("file_id", "func_id", "name")
+    return facts.cfg_edges(f).join(names, ["file_id", "func_id"]).select("file_id", "name", "src", "dst", "kind")
 
 
 @_query(_with(f"SELECT language, CAST(sum(CASE WHEN language = 'rust' THEN 1 ELSE 2 END + {_by_body(_CFG)}) AS BIGINT) AS blocks FROM c WHERE language IN ('c', 'cpp', 'rust') GROUP BY language"))
@@ -248,7 +253,7 @@ _ROLE = "CASE WHEN language IN ('c', 'cpp', 'rust') AND role = 'main' THEN b ELS
 @_query(_with(f"SELECT language, role, {_ROLE} AS body, count(*) AS group_size FROM c, (VALUES ('main'), ('helper')) AS x(role) GROUP BY 1, 2, 3 HAVING count(*) > 1"))
 def fingerprint_groups(spark, sf_dir):
     c = code_corpus(spark, sf_dir).select("file_id", "language", "body_ix")
-    fp = facts.function_fingerprints(_facts(spark, sf_dir, "fingerprints"), 3).where(F.rlike("name", F.lit("^(main|helper)"))).join(c, "file_id")
+    fp = facts.function_fingerprints(_facts(spark, sf_dir, "fingerprints"), 3).join(c, "file_id")
     fp = fp.withColumn("hash", F.concat_ws(":", "language", "hash"))
     g = facts.duplicate_groups(fp)
     role = F.regexp_extract("name", "^[a-z]+", 0)
@@ -266,38 +271,74 @@ def dup_documents(spark, sf_dir):
 # ---- trees
 
 
-def _nodes(spark, sf_dir, *languages):
-    return facts.nodes(code_corpus(spark, sf_dir).where(F.col("language").isin(*languages)).repartition("file_id"))
+CALLS = ("call_expression", "call", "method_invocation", "invocation_expression", "function_call", "function_call_expression", "procedure_call_statement")
+#: First call of a file, rows of it and of ``main`` after the head's lines, text after ``helper`` and its number.
+_ROWS = {  # language: (row of the first call, row of main)
+    "c": (4, 3), "cpp": (4, 3), "rust": (3, 2), "python": (5, 4), "javascript": (2, 2), "typescript": (2, 2), "ada": (7, 1), "go": (4, 3), "java": (3, 3), "csharp": (3, 3),
+    "kotlin": (3, 2), "swift": (3, 2), "php": (3, 3), "fortran": (2, 0), "scala": (4, 3), "lua": (0, 2),
+}
+_HEAD = "CASE head WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END"
+_FIRST = case("language", {k: str(v[0]) for k, v in _ROWS.items()}, "0")
+_MAIN = case("language", {k: str(v[1]) for k, v in _ROWS.items()}, "0")
+_STATIC = "language = 'c' AND r % 4 = 2"
+
+
+def _nodes(spark, sf_dir):
+    """Nodes of the whole corpus, parsed once and written."""
+    return written(facts.nodes(code_corpus(spark, sf_dir)), "nodes")
+
+
+def _functions(n: DataFrame) -> DataFrame:
+    """Roots of functions: named nodes (keywords have the same kinds in some languages), without whole programs."""
+    return n.where(facts.is_function_kind(F.col("kind")) & F.col("is_named") & (F.col("kind") != "program"))
 
 
-@_query(_with("SELECT b AS body, kind, CAST(sum(n) AS BIGINT) AS nodes FROM (SELECT b, unnest(['call_expression', 'function_definition', 'if_statement', 'while_statement', 'for_statement']) AS kind, unnest([2 + CASE WHEN language = 'c' AND r % 4 = 2 THEN 1 ELSE 0 END, 2, CASE WHEN b IN (1, 2, 3) THEN 1 ELSE 0 END, CASE WHEN b = 3 THEN 1 ELSE 0 END, CASE WHEN b = 4 THEN 1 ELSE 0 END]) AS n FROM c WHERE language IN ('c', 'cpp')) GROUP BY 1, 2 HAVING sum(n) > 0"))
+_IF, _WHILE, _FOR = "b IN (1, 2, 3)", "b = 3", "b = 4"
+
+
+@_query(
+    _with(
+        f"""SELECT language, what, CAST(sum(n) AS BIGINT) AS nodes FROM (
+  SELECT language, unnest(['call', 'function', 'if', 'while', 'for']) AS what,
+         unnest([2 + CASE WHEN {_STATIC} OR language = 'lua' THEN 1 ELSE 0 END, 2, CASE WHEN like_c AND {_IF} THEN 1 ELSE 0 END, CASE WHEN like_c AND {_WHILE} THEN 1 ELSE 0 END, CASE WHEN like_c AND {_FOR} THEN 1 ELSE 0 END]) AS n
+  FROM (SELECT *, language IN ('c', 'cpp', 'rust') AS like_c FROM c)) GROUP BY 1, 2 HAVING sum(n) > 0"""
+    )
+)
 def node_kind_counts(spark, sf_dir):
-    n = facts.find_descendants(_nodes(spark, sf_dir, "c", "cpp"), kinds=("call_expression", "function_definition", "if_statement", "while_statement", "for_statement"))
-    return n.join(code_corpus(spark, sf_dir).select("file_id", F.col("body_ix").alias("body")), "file_id").groupBy("body", "kind").agg(F.count("*").alias("nodes"))
+    files = code_corpus(spark, sf_dir)
+    branches = {"if": ("if_statement", "if_expression"), "while": ("while_statement", "while_expression"), "for": ("for_statement", "loop_expression")}
+    n = facts.nodes(files)
+    kind, named = F.col("kind"), F.col("is_named")
+    what = F.when(kind.isin(*CALLS), "call").when(facts.is_function_kind(kind) & (kind != "program"), "function")
+    for name, kinds in branches.items():
+        what = what.when(kind.isin(*kinds), name)
+    found = facts.find_descendants(n, pred=named & what.isNotNull()).select("file_id", what.alias("what"))
+    return found.join(files.select("file_id", "language"), "file_id").groupBy("language", "what").agg(F.count("*").alias("nodes"))
 
 
-@_query(_with("SELECT file_id, 'main' || f || '(int x)' AS inside, 2 AS calls FROM c WHERE language IN ('c', 'cpp')"))
+@_query(_with(f"SELECT file_id, {_HEAD} + {_MAIN} AS function_row, 2 AS calls FROM c"))
 def nearest_function(spark, sf_dir):
-    n = _nodes(spark, sf_dir, "c", "cpp")
-    near = facts.find_ancestor(n, n.where("kind = 'call_expression'"), kinds="function_definition")
-    heads = facts.node_text(n.where("kind = 'function_declarator'"), code_corpus(spark, sf_dir)).select("file_id", F.col("parent_id").alias("ancestor_id"), F.col("node_text").alias("inside"))
-    return near.join(heads, ["file_id", "ancestor_id"]).groupBy("file_id", "inside").agg(F.count("*").alias("calls"))
+    n = _nodes(spark, sf_dir)
+    roots = _functions(n)
+    near = facts.find_ancestor(n, n.where(F.col("kind").isin(*CALLS)), pred=facts.is_function_kind(F.col("kind")) & F.col("is_named") & (F.col("kind") != "program"))
+    rows = roots.select("file_id", F.col("node_id").alias("ancestor_id"), F.col("start_row").alias("function_row"))
+    return near.join(rows, ["file_id", "ancestor_id"]).groupBy("file_id", "function_row").agg(F.count("*").alias("calls"))
 
 
-@_query(_with("SELECT file_id, CASE WHEN language = 'c' AND r % 4 = 2 THEN '_Static_assert' ELSE 'helper' || f END AS first_call FROM c WHERE language IN ('c', 'rust')"))
+@_query(_with(f"""SELECT file_id, CASE WHEN {_STATIC} THEN '_Static_assert(1, "x")' WHEN language = 'lua' THEN 'require("mod' || m || '")' WHEN language = 'ada' THEN 'helper' || f || ';' WHEN language = 'php' THEN 'helper' || f || '($x)' ELSE 'helper' || f || '(x)' END AS first_call,
+  {_HEAD} + CASE WHEN {_STATIC} THEN 1 ELSE {_FIRST} END AS call_row FROM c"""))
 def first_descendant(spark, sf_dir):
-    n = _nodes(spark, sf_dir, "c", "rust")
+    n = _nodes(spark, sf_dir)
     roots = n.where("node_id = 0").select("file_id", "node_id", "last_desc")
-    first = facts.find_first_descendant(n, kinds="call_expression", roots=roots).select("file_id", F.col("node_id").alias("call_id"))
-    names = n.where("field = 'function'").select("file_id", F.col("parent_id").alias("call_id"), F.col("text").alias("first_call"))
-    return first.join(names, ["file_id", "call_id"]).select("file_id", "first_call")
+    first = facts.find_first_descendant(n, kinds=CALLS, roots=roots)
+    return facts.node_text(first, code_corpus(spark, sf_dir)).select("file_id", F.col("node_text").alias("first_call"), F.col("start_row").alias("call_row"))
 
 
-@_query(_with("SELECT file_id, 2 AS functions, 2 AS agreeing FROM c WHERE language = 'c'"))
+@_query(_with("SELECT file_id, 2 AS functions, 2 AS agreeing FROM c"))
 def structural_hash_in_sql(spark, sf_dir):
-    files = code_corpus(spark, sf_dir).where("language = 'c'")
-    n = facts.nodes(files)
-    roots = n.where("kind = 'function_definition'").select("file_id", "node_id", "last_desc", "start_byte")
+    files = code_corpus(spark, sf_dir)
+    n = _nodes(spark, sf_dir)
+    roots = _functions(n).select("file_id", "node_id", "last_desc", "start_byte")
     h = facts.structural_hashes(n, roots).join(roots.select("file_id", F.col("node_id").alias("root_id"), "start_byte"), ["file_id", "root_id"])
     fp = facts.function_fingerprints(facts.facts(files, ("fingerprints",)), 0).select("file_id", "start_byte", F.col("hash").alias("own"))
     return h.join(fp, ["file_id", "start_byte"]).groupBy("file_id").agg(F.count("*").alias("functions"), F.sum((F.col("hash") == F.col("own")).cast("long")).alias("agreeing"))

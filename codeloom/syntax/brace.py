@@ -1257,12 +1257,12 @@ class Parser:
             return self.node(kids, "import_declaration", inner)
         if lang == "scala":
             while not self.ended():
-                if self.peek().type == "id":
+                if self.at("_", "*"):
+                    self.leaf(inner, "namespace_wildcard")
+                elif self.peek().type == "id":
                     self.leaf(inner, "identifier", "path")
                 elif self.at("{"):
                     self.balanced(inner, "namespace_selectors")
-                elif self.at("_", "*"):
-                    self.leaf(inner, "namespace_wildcard")
                 else:
                     self.take(inner)
             return self.node(kids, "import_declaration", inner)
@@ -1309,23 +1309,41 @@ class Parser:
                 if self.at(","):
                     self.take(inner)
                     continue
-                clause: list[Node] = []
                 before = self.i
-                self.path(clause)
-                if self.at("as"):
-                    self.take(clause)
-                    self.leaf(clause, "name")
-                self.node(inner, "namespace_use_clause", clause)
+                self.php_clause(inner)
                 if self.at("\\"):
                     self.take(inner)
                 if self.at("{"):
-                    self.balanced(inner, "namespace_use_group")
+                    for c in inner[-1 - (inner[-1].kind == "\\") :]:  # what a group shares is its name, no clause
+                        if c.kind == "namespace_use_clause":
+                            c.kind = "namespace_name"
+                    group: list[Node] = []
+                    self.take(group)
+                    while not self.at("}", ";") and self.peek().type != "end":
+                        at = self.i
+                        if not self.at(","):
+                            if self.at("function", "const"):
+                                self.take(group)
+                            self.php_clause(group)
+                        if self.i == at:
+                            self.take(group)
+                    if self.at("}"):
+                        self.take(group)
+                    self.node(inner, "namespace_use_group", group)
                 if self.i == before:
                     self.take(inner)
             self.semicolon(inner)
             return self.node(kids, "namespace_use_declaration", inner)
         return None
 
+    def php_clause(self, kids):
+        clause: list[Node] = []
+        self.path(clause)
+        if self.at("as"):
+            self.take(clause)
+            self.leaf(clause, "name")
+        self.node(kids, "namespace_use_clause", clause)
+
     def s_using(self, kids):
         if self.lang == "cpp":
             inner: list[Node] = []
