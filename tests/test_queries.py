@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from codeloom.plans import catalogue
+from codeloom.plans import cases, catalogue  # noqa: F401  (cases adds to the catalogue)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
