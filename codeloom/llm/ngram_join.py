@@ -35,8 +35,8 @@ SKETCH = 1 << 20
 BLOCK_CLASSES = 256
 #: Bits of the filter that keeps texts without candidates out of the exchange (false positives end in the join).
 FILTER_BITS = 1 << 23
-#: A posting's 64 bits: two fingerprints of 25 bits (0: fewer shingles before it), 12 bits of size on a log scale, 2 spare ones.
-_CHAIN_BITS, _STEPS = 25, 128.0
+#: A posting has one fingerprint of 64 bits (0: fewer shingles before it), as long as those of the shingles themselves, and one of 52 beside 12 bits of size on a log scale.
+_OTHER_BITS, _STEPS = 52, 128.0
 _W = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
@@ -140,14 +140,14 @@ def prefix(s: np.ndarray, counts: np.ndarray, noise: float, percent: int) -> tup
     return s[order[: base + k]], k
 
 
-def _chains(p: np.ndarray, before: np.ndarray) -> np.ndarray:
+def _chains(p: np.ndarray, before: np.ndarray, bits: int = 64) -> np.ndarray:
     """For each position a fingerprint of the ``K_MAX`` elements of ``p`` that end at ``before``, never 0; 0 if there are fewer."""
     out = np.zeros(len(p) + 1, np.uint64)
     if len(p) >= K_MAX:
         x = np.zeros(len(p) - K_MAX + 1, np.uint64)
         for j in range(K_MAX):
             x = mix(x + p[j : j + len(x)])
-        out[K_MAX:] = np.maximum(x >> U64(64 - _CHAIN_BITS), U64(1))
+        out[K_MAX:] = np.maximum(x >> U64(64 - bits), U64(1))
     return out[before]
 
 
@@ -156,7 +156,7 @@ def _postings(counts, noise: float, width: int, percent: int):
         table = counts.value
         seen: set[int] = set()
         for b in blocks(batches):
-            toks, sigs, infos = [], [], []
+            toks, sigs, chains, infos = [], [], [], []
             for s in shingle_sets(b, width):
                 if not len(s):
                     continue
@@ -168,13 +168,14 @@ def _postings(counts, noise: float, width: int, percent: int):
                 m = len(p)
                 half = np.flatnonzero((p >> U64(7)) & U64(1))
                 recent = _chains(p, np.arange(m))
-                other = _chains(p[half], np.searchsorted(half, np.arange(m)))
+                other = _chains(p[half], np.searchsorted(half, np.arange(m)), _OTHER_BITS)
                 size = U64(min(4095, int(np.log2(len(s)) * _STEPS)))
                 toks.append(p)
                 sigs.append(np.full(m, sig | (k - 1), np.int64))
-                infos.append((recent << U64(39)) | (other << U64(14)) | (size << U64(2)))
+                chains.append(recent)
+                infos.append((other << U64(12)) | size)
             if toks:
-                yield pa.record_batch({"token": pa.array(np.concatenate(toks).view(np.int64)), "sig": pa.array(np.concatenate(sigs)), "info": pa.array(np.concatenate(infos).view(np.int64))})
+                yield pa.record_batch({"token": pa.array(np.concatenate(toks).view(np.int64)), "sig": pa.array(np.concatenate(sigs)), "chain": pa.array(np.concatenate(chains).view(np.int64)), "info": pa.array(np.concatenate(infos).view(np.int64))})
 
     return run
 
@@ -183,12 +184,11 @@ def _meet(percent: int, most: int = 1 << 20):
     """Over postings sorted by token, chain and class: pairs of classes that meet at a token."""
     apart = np.ceil(np.log2(100 / percent) * _STEPS) + 1  # sizes further apart are never similar
 
-    def pairs(tok, sig, info):
+    def pairs(tok, sig, chain, info):
         keep = np.ones(len(tok), bool)
         keep[1:] = (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1])
-        tok, sig, info = tok[keep], sig[keep], info[keep].view(np.uint64)
-        chain, other = info >> U64(39), (info >> U64(14)) & U64((1 << _CHAIN_BITS) - 1)
-        size = ((info >> U64(2)) & U64(4095)).astype(np.int64)
+        tok, sig, chain, info = tok[keep], sig[keep], chain[keep], info[keep].view(np.uint64)
+        other, size = info >> U64(12), (info & U64(4095)).astype(np.int64)
         at = np.arange(len(tok))
         new = np.ones(len(tok), bool)
         new[1:] = tok[1:] != tok[:-1]
@@ -233,7 +233,7 @@ def _meet(percent: int, most: int = 1 << 20):
             if batch is None:
                 ready, held = held, None
             else:
-                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
                 if held is not None:
                     cols = [np.concatenate(x) for x in zip(held, cols)]
                 if not len(cols[0]):
@@ -306,8 +306,8 @@ def _candidates(docs: DataFrame, sketch: np.ndarray, width: int, percent: int) -
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(sketch)
     noise = float(sketch.mean())
-    posts = docs.select("text").mapInArrow(_postings(counts, noise, width, percent), "token long, sig long, info long")
-    met = posts.repartition(stage.partitions(spark), "token").sortWithinPartitions("token", F.shiftrightunsigned("info", 39), "sig").mapInArrow(_meet(percent), "x long, y array<long>, met array<tinyint>")
+    posts = docs.select("text").mapInArrow(_postings(counts, noise, width, percent), "token long, sig long, chain long, info long")
+    met = posts.repartition(stage.partitions(spark), "token").sortWithinPartitions("token", "chain", "sig").mapInArrow(_meet(percent), "x long, y array<long>, met array<tinyint>")
     pairs = met.repartition(stage.partitions(spark), "x").select("x", F.inline(F.arrays_zip("y", "met"))).groupBy("x", "y").agg(F.sum("met").alias("met"))
     k = F.least(F.col("x").bitwiseAND(F.lit(3)), F.col("y").bitwiseAND(F.lit(3))) + 1
     return pairs.where(F.col("met") >= k).select(*[F.col(c).bitwiseAND(F.lit(~3)).alias(c) for c in ("x", "y")])
