@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where that is unset and executors are threads, as in tests; on a cluster, an error."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":  # "local-cluster" has executors of its own
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
