@@ -441,3 +441,56 @@ def test_scoring_odd_rows(spark):
 def test_lm_beats_words_on_held_out_texts(spark):
     r = ctw.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert r["sum(score)"] > r["sum(base_score)"]
+
+
+def plain_score(net, text):
+    """A text's score by the definition, a window, a step and a unit at a time; only the inputs of a word are taken from the operator."""
+    w = toxicity.Words.of(block_of([text]))
+    x = net.inputs(w).astype(float).tolist()
+    words = [x[i] for i in w.index.tolist()]
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    h, sigmoid = toxicity.HIDDEN, lambda a: 1 / (1 + math.exp(-a))
+
+    def gru(side, steps):
+        state, out = [0.0] * h, []
+        wx, c, u, v = p[f"W{side}"], p[f"c{side}"], p[f"U{side}"], p[f"V{side}"]
+        for s in steps:
+            a = [c[k] + sum(s[i] * wx[i][k] for i in range(len(s))) for k in range(3 * h)]
+            z = [sigmoid(a[k] + sum(state[i] * u[i][k] for i in range(h))) for k in range(h)]
+            r = [sigmoid(a[h + k] + sum(state[i] * u[i][h + k] for i in range(h))) for k in range(h)]
+            new = [math.tanh(a[2 * h + k] + sum(r[i] * state[i] * v[i][k] for i in range(h))) for k in range(h)]
+            state = [(1 - z[k]) * state[k] + z[k] * new[k] for k in range(h)]
+            out.append(state)
+        return out
+
+    best, at = None, 0
+    while best is None or at + toxicity.WINDOW - toxicity.STRIDE < len(words):
+        mine = words[at : at + toxicity.WINDOW]
+        if mine:
+            both = [f + b for f, b in zip(gru("f", mine), gru("b", mine[::-1])[::-1])]
+            score = [sum(e * v for e, v in zip(s, p["v"])) for s in both]
+            weight = [math.exp(s - max(score)) for s in score]
+            pooled = [sum(k * s[j] for k, s in zip(weight, both)) / sum(weight) for j in range(2 * h)]
+        else:
+            pooled = [0.0] * (2 * h)
+        logit = sum(a * b for a, b in zip(pooled, p["o"])) + p["b"][0]
+        best = logit if best is None else max(best, logit)
+        at += toxicity.STRIDE
+    return sigmoid(best)
+
+
+def test_scores_against_a_forward_pass_in_plain_python():
+    texts, labels = insults(7, 60)
+    net = toxicity.fit(texts, labels, epochs=2)
+    some = [t for t in texts if len(t.split()) < 90][:6] + ["", " ", "one", " ".join(f"w{k}" for k in range(33))]
+    got = toxicity.score_block(net, block_of(some))
+    assert max(abs(g - plain_score(net, t)) for g, t in zip(got, some)) < 1e-4
+
+
+def test_toxicity_odd_rows(spark):
+    texts, labels = insults(8, 80)
+    lab = spark.createDataFrame([(i, y) for i, y in enumerate(labels)] + [(0, labels[0])], "doc_id long, toxic int")
+    rows = [(i, t, 0, True) for i, t in enumerate(texts)] + [(None, texts[0], 1, None), (3, texts[3], 2, None), (3, texts[3], 3, None), (500, "word " * 50_000, 4, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, predicted int, held_out boolean")
+    got = toxicity.toxicity(d, lab).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 3}) == 1 and sum(r["doc_id"] is None for r in got) == 1
