@@ -107,3 +107,50 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["group_size"] for r in spark.sql("SELECT * FROM dups").collect()] == [2]
+
+
+GRAPHS = [
+    [],
+    [("a", "a"), ("b", None), (None, "c")],
+    [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("x", "a"), ("f", "g")],
+    [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "b"), ("p", "q"), ("q", "p"), ("a", "p"), ("a", "b")],
+    [(f"n{i}", f"n{(7 * i + 1) % 23}") for i in range(23)] + [(f"m{i}", f"m{i + 1}") for i in range(6)],
+]
+
+
+@pytest.mark.parametrize("graph", GRAPHS)
+@pytest.mark.parametrize("most", [corpus.TASK_EDGES, 0])
+def test_graphs_in_one_task_and_by_joins(spark, monkeypatch, graph, most):
+    monkeypatch.setattr(corpus, "TASK_EDGES", most)
+    to = {}
+    for a, b in graph:
+        if a is not None and b is not None:
+            to.setdefault(a, set()).add(b)
+    reach = {}
+    for s in to:
+        seen, todo = set(), [s]
+        while todo:
+            for n in to.get(todo.pop(), ()):
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        reach[s] = seen
+    e = spark.createDataFrame(graph, "src string, dst string")
+    assert sorted(r["node"] for r in corpus.cycles(e).collect()) == sorted(s for s in reach if s in reach[s])
+    got = corpus.reachable(e, e.select(F.col("src").alias("start"))).collect()
+    assert sorted((r["start"], r["node"]) for r in got) == sorted((s, n) for s, ns in reach.items() for n in ns)
+    few = corpus.reachable(e, e.select(F.col("src").alias("start")), max_rounds=0).collect()
+    assert {(r["start"], r["node"]) for r in few} == {(s, n) for s, ns in to.items() for n in ns}
+
+
+def test_lines_and_bytes_of_long_files():
+    source = "".join(f"/* é世 */ int f{i}(int a)\n{{ return a; }}\n" for i in range(3000))
+    from codeloom.operators.facts import file_facts
+
+    rows = [r for r in file_facts("c", source, ("functions",)) if r[2]]
+    assert len(rows) == 3000
+    data = source.encode()
+    for r in rows[::500] + rows[-1:]:
+        start, end, first, last = r[6:10]
+        assert data[start:end].decode().startswith(f"int {r[2]}(") and data[start:end].endswith(b"}")
+        assert first == data.count(b"\n", 0, start) + 1 and last == data.count(b"\n", 0, end) + 1
