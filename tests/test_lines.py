@@ -14,7 +14,7 @@ def files(spark, *rows):
     "source, mode, expected",
     [
         ("a\n/* tools:off */\nb\nc\n/* tools:on */\nd\n", "Default", [(2, 36, 2, 5, None)]),
-        ("// tools:off lynx\n", "Default", [(0, 19, 1, 1, ["lynx"])]),
+        ("// tools:off gauge\n", "Default", [(0, 19, 1, 1, ["gauge"])]),
         ("// tools:off scans, sec,\nx", "Default", [(0, 26, 1, 2, ["scans", "sec"])]),
         ("x\n# tools:off\ny\n# tools:on\n", "Python", [(2, 26, 2, 4, None)]),
         ("-- tools:off\n-- tools:on\n", "Ada", [(0, 24, 1, 2, None)]),
