@@ -295,12 +295,12 @@ def tree_of_files(spark, sf_dir):
 def facts_written_and_read(spark, sf_dir):
     """Relations in a sink partitioned by relation; the reader prunes to the ones it wants."""
     path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
-    sources.write_by(facts.facts(code_corpus(spark, sf_dir), ("imports", "functions", "calls")), path, "relation")
+    sources.write_by(facts.facts(code_corpus(spark, sf_dir, spread=True), ("imports", "functions", "calls")), path, "relation")
     return spark.read.parquet(path).where(F.col("relation").isin("imports", "functions") & F.col("a").isNotNull()).groupBy("relation").agg(F.count("*").alias("n"))
 
 
 @_query(_with("SELECT language, count(*) * 2 AS functions, CAST(0 AS BIGINT) AS macro_like FROM c GROUP BY language"))
 def functions_by_language(spark, sf_dir):
-    f = facts.functions(facts.facts(code_corpus(spark, sf_dir), ("functions",)))
+    f = facts.functions(facts.facts(code_corpus(spark, sf_dir, spread=True), ("functions",)))
     files = code_corpus(spark, sf_dir).select("file_id", "language")
     return f.where("name is not null").join(files, "file_id").groupBy("language").agg(F.count("*").alias("functions"), F.sum(F.col("is_macro_like").cast("long")).alias("macro_like"))

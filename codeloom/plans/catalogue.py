@@ -49,7 +49,7 @@ def _with(sql: str) -> str:
 
 def _facts(spark: SparkSession, sf_dir: str, *relations: str, languages: tuple[str, ...] = ()) -> DataFrame:
     """Facts of the corpus; a language filter applies before the parse.  Where several relations are asked for, one parse is written."""
-    files = code_corpus(spark, sf_dir)
+    files = code_corpus(spark, sf_dir, spread=True)
     if languages:
         files = files.where(F.col("language").isin(*languages))
     f = facts.facts(files, relations)
@@ -285,7 +285,7 @@ _STATIC = "language = 'c' AND r % 4 = 2"
 
 def _nodes(spark, sf_dir):
     """Nodes of the whole corpus, parsed once and written."""
-    return written(facts.nodes(code_corpus(spark, sf_dir)), "nodes")
+    return written(facts.nodes(code_corpus(spark, sf_dir, spread=True)), "nodes")
 
 
 def _functions(n: DataFrame) -> DataFrame:
@@ -307,7 +307,7 @@ _IF, _WHILE, _FOR = "b IN (1, 2, 3)", "b = 3", "b = 4"
 def node_kind_counts(spark, sf_dir):
     files = code_corpus(spark, sf_dir)
     branches = {"if": ("if_statement", "if_expression"), "while": ("while_statement", "while_expression"), "for": ("for_statement", "loop_expression")}
-    n = facts.nodes(files)
+    n = facts.nodes(code_corpus(spark, sf_dir, spread=True))
     kind, named = F.col("kind"), F.col("is_named")
     what = F.when(kind.isin(*CALLS), "call").when(facts.is_function_kind(kind) & (kind != "program"), "function")
     for name, kinds in branches.items():
@@ -336,7 +336,7 @@ def first_descendant(spark, sf_dir):
 
 @_query(_with("SELECT file_id, 2 AS functions, 2 AS agreeing FROM c"))
 def structural_hash_in_sql(spark, sf_dir):
-    files = code_corpus(spark, sf_dir)
+    files = code_corpus(spark, sf_dir, spread=True)
     n = _nodes(spark, sf_dir)
     roots = _functions(n).select("file_id", "node_id", "last_desc", "start_byte")
     h = facts.structural_hashes(n, roots).join(roots.select("file_id", F.col("node_id").alias("root_id"), "start_byte"), ["file_id", "root_id"])

@@ -36,9 +36,15 @@ _C_MARKS = ("", "void r(int *restrict p);", '_Static_assert(1, "x");', "[[nodisc
 _CPP_MARKS = ("", "namespace n { int v; }")
 
 
-def code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``file_id, path, lang_ix, fn_ix, mod_ix, body_ix, source, language, grammar, sloc_mode`` for every row of ``documents``."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("file_id")).repartition("file_id")  # ids move, the sources made of them don't
+def code_corpus(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """``file_id, path, lang_ix, fn_ix, mod_ix, body_ix, source, language, grammar, sloc_mode`` for every row of ``documents``.
+
+    ``spread``: for a parse, which costs far more than the scan, ids are spread
+    over the cores first; the sources made of them don't move.
+    """
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("file_id"))
+    if spread:
+        d = d.repartition("file_id")
     d = d.select("file_id", (F.col("file_id") % 16).alias("lang_ix"), (F.col("file_id") % 97).alias("fn_ix"), (F.col("file_id") % 13).alias("mod_ix"), (F.col("file_id") % 5).alias("body_ix"))
 
     def choose(values, ix):
