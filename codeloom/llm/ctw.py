@@ -79,7 +79,7 @@ def _windows(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(b: Block, most: int = 2 * BLOCK_BYTES):
+def turned(b: Block, most: int = 2 * BLOCK_BYTES):
     """Keys as of :func:`_turn` of every symbol of a block, and the first symbol of each text (n + 1); of a text longer than ``most``, a stretch at a time."""
     if len(b.data) <= most:
         a, begin = _laid(b)
@@ -94,10 +94,15 @@ def pieces(b: Block, most: int = 2 * BLOCK_BYTES):
         yield k, np.array([0, len(k)])
 
 
+def pieces(b: Block, most: int = 2 * BLOCK_BYTES):
+    """The same with the byte lowest, then the byte before it ..."""
+    for keys, first in turned(b, most):
+        yield (keys.byteswap() << U64(8)) | (keys & U64(255)), first
+
+
 def contexts(b: Block) -> tuple[np.ndarray, np.ndarray]:
     """Context and byte of every symbol as one number (byte lowest, then the byte before it ...); first symbol of each text (n + 1)."""
-    keys, first = next(pieces(b, len(b.data)))
-    return (keys.byteswap() << U64(8)) | (keys & U64(255)), first
+    return next(pieces(b, len(b.data)))
 
 
 def _turn(keys: np.ndarray) -> np.ndarray:
@@ -189,7 +194,7 @@ def _asks(texts: pa.Table, parts: int):
         other[1].add(words[~mine])
         train[1].add(np.full(learnt.sum(), END_TOKEN, np.uint64))
         other[1].add(np.full(1, END_TOKEN, np.uint64))
-        for keys, first in pieces(folded(b)):
+        for keys, first in turned(folded(b)):
             mine = np.repeat(learnt, np.diff(first))
             train[0].add(keys[mine])
             other[0].add(keys[~mine])
@@ -588,7 +593,7 @@ def _score(parts: int, total: int, distinct: int):
         held, values = [], dict(zip(answers.column("part").to_pylist(), answers.column("values").to_pylist()))
         for b in blocks(texts.to_batches()):
             coded = folded(b)
-            held.append((b, np.diff(coded.offs), [(*_inverse(keys), first) for keys, first in pieces(coded)], _inverse(b.word_hashes())))
+            held.append((b, np.diff(coded.offs), [(*_inverse(keys), first) for keys, first in turned(coded)], _inverse(b.word_hashes())))
 
         def table(kind: int, keys: list[np.ndarray]):
             """What the block asked for, in the same order, and the answers."""
