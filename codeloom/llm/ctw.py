@@ -35,7 +35,7 @@ SPLIT = 3
 #: None: every context is kept.  A number: only those that make up such a part of all bytes; what lies beneath a node without a node of its own is coded by one further leaf of that node.
 CONTEXTS = None
 #: Text (about) that asks together; pairs (about) that a part of the tree is asked for, and parts at most: beyond that many, a part answers in several tasks.
-GROUP_BYTES, PART_PAIRS, MOST_PARTS = 16 << 20, 1 << 19, 4096
+GROUP_BYTES, PART_PAIRS, MOST_PARTS = 8 << 20, 1 << 19, 4096
 END = 0xFF  # ends a text, and stands before its start; not a byte of UTF-8
 _MASK = [U64((1 << 8 * d) - 1) for d in range(9)]
 END_TOKEN = 0x1E35A7BD3C6EF372  # fingerprint of the end token
@@ -130,7 +130,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 class Tally:
     """Distinct keys of many arrays and how often each occurs, with little beside them."""
 
-    def __init__(self, most: int = 3 << 20):
+    def __init__(self, most: int = 2 << 20):
         self.most, self.raw, self.held, self.parts = most, [], 0, []
 
     def add(self, keys: np.ndarray) -> None:
