@@ -1,10 +1,9 @@
 """Benchmark decontamination (operator 1): latent semantic retrieval, then verification on words.
 
 Passages are TF-IDF vectors over hashed terms, with statistics of all
-documents.  A distributed randomised SVD (one product with the Gram matrix of a
-bounded sample of passages, finished by Nystrom's method on the driver, whose
-matrices are TERMS x RANK whatever the corpus) gives a latent space with
-whitened axes.  Windows over the whole of every text are compared with each
+documents.  A distributed randomised SVD (one product with the Gram matrix of
+all passages, finished by Nystrom's method on the driver, whose matrices are
+TERMS x RANK whatever the corpus) gives a latent space with whitened axes.  Windows over the whole of every text are compared with each
 benchmark passage by cosine.  Those close enough, and with enough words in
 common for the rule to hold at all, are verified by longest common subsequence
 of words and by whether the passage's answer, its last words, is there too.
@@ -24,8 +23,6 @@ from codeloom.llm.textbuf import U64, Block, Lookup, block_of, blocks
 TERMS = 1 << 14
 #: Axes of the latent space, and leading ones left out of it: they tell languages and kinds of text apart, not passages.
 RANK, EXTRA = 40, 8
-#: The decomposition is fitted on a sample of about so many passages (documents by a hash of their text); statistics and search cover all.
-FIT_PASSAGES = 500_000
 #: Words of a passage whose Gram matrix is decomposed, and between starts of windows in the search.
 PASSAGE, STEP = 32, 6
 COSINE = 0.3
@@ -286,9 +283,8 @@ def _search(shared, cosine: float):
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Pairs ``doc_id, item_id, cosine, lcs, item_words, answer, word_at``: documents that hold a benchmark passage, verbatim or paraphrased.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Term statistics cover
-    all texts, the search all windows of all texts; the decomposition is fitted on
-    a sample of FIT_PASSAGES passages.
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Term statistics and
+    the decomposition cover all passages of all texts, the search all their windows.
     Null or empty texts hold nothing and empty items are in nothing; rows without
     ``doc_id`` or ``item_id`` take no part in the search.  Repeated rows give one
     pair.  Other columns are not read; empty tables give an empty result.
@@ -298,9 +294,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE) -> Data
     df = _sum(d.select("text").mapInArrow(_frequencies, "part int, z binary"), (TERMS + _CHUNKS,))
     idf = np.log((df[TERMS] + 1) / (df[:TERMS] + 1)).astype(np.float32) + np.float32(0.1)
     shared_idf = spark.sparkContext.broadcast(idf)
-    rate = min(1.0, FIT_PASSAGES / max(float(df[TERMS]), 1.0))
-    fit = d.select("text").where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
-    gram = _sum(fit.mapInArrow(_gram(shared_idf), "part int, z binary"), (TERMS, RANK + EXTRA))
+    gram = _sum(d.select("text").mapInArrow(_gram(shared_idf), "part int, z binary"), (TERMS, RANK + EXTRA))
     latent = latent_terms(gram, idf)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     rounds = max(1, -(-items.count() // ROUND))

@@ -132,6 +132,25 @@ def test_a_large_benchmark_takes_rounds(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in D.leaks(d, b).collect()} == once
 
 
+def test_the_decomposition_covers_every_passage(spark, monkeypatch):
+    """The product that is decomposed, against a sum over all passages in plain loops, whatever a sample would have been allowed."""
+    docs, bench, _ = corpus(8, 60)
+    seen = []
+    latent_terms = D.latent_terms
+    monkeypatch.setattr(D, "latent_terms", lambda gram, idf: (seen.append((gram, idf)), latent_terms(gram, idf))[1])
+    monkeypatch.setattr(D, "FIT_PASSAGES", 100, raising=False)
+    D.leaks(*frames(spark, docs, bench))
+    gram, idf = seen[0]
+    want, omega = np.zeros_like(gram), D._random().astype(float)
+    for _, text in docs:
+        t = D.terms(block_of([text]).word_hashes())
+        for at in range(0, len(t), D.PASSAGE):
+            own, n = np.unique(t[at : at + D.PASSAGE], return_counts=True)
+            a = n * idf[own].astype(float)
+            want[own] += np.outer(a, a @ omega[own]) / (n * idf[own].astype(float) ** 2).sum()
+    assert np.abs(gram - want).max() < 1e-4 * np.abs(want).max()
+
+
 # ---- pipeline
 
 SF = "/root/testdata/sf0.001"
