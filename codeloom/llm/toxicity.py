@@ -9,13 +9,17 @@ of text, so a step of the network is a gather and a small product.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm import stage
+from codeloom.llm.decontaminate import _CHUNKS, _pieces, _sum
 from codeloom.llm.textbuf import FOLDED, U64, Block, blocks, map_texts, mix
 
 WINDOW, STRIDE = 32, 16
@@ -23,8 +27,8 @@ HIDDEN = 8
 BUCKETS = 1 << 12  # learned embeddings, words and n-grams each
 WIDE = 1 << 18  # label statistics, words and n-grams each
 DIM = 6
-#: At most so many labelled rows (the first by a hash of doc_id) are fitted on, at the driver.
-FIT_ROWS = 2500
+#: Labelled texts that a task fits on together, about so many rows and bytes at most; every labelled row is in one such shard.
+SHARD_ROWS, SHARD_BYTES = 2500, 8 << 20
 GRAMS = (3, 5, 7)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(max(GRAMS))], dtype=np.uint64)
 
@@ -235,40 +239,52 @@ class Net:
         return loss, g, dx
 
 
-def fit(texts: list[str], toxic: list[int], epochs: int = 8, batch: int = 128, seed: int = 5) -> Net:
-    """The same texts and labels give the same network. Without both labels: a network that scores every text alike."""
-    net = Net(seed)
-    y = np.array(toxic, float)
-    if not len(y) or y.min() == y.max():
-        net.p["o"][:] = 0
-        net.p["b"][0] = -6.0 if not len(y) or y[0] == 0 else 6.0
-        return net.float32()
-    w = Words.of_texts(list(texts))
-    n = len(y)
-    rng = np.random.default_rng(seed)
-    fold = rng.permutation(n) % 2
-    share = y.mean()
-    wb = (w.hashes & U64(WIDE - 1)).astype(np.int64)
-    gb = (w.grams & U64(WIDE - 1)).astype(np.int32)
-    num = np.diff(w.gram_first)
-    seen = np.zeros((2, 2, WIDE), np.float32), np.zeros((2, 2, WIDE), np.float32)  # words and n-grams by half and label; a document counts once
-    for i in range(n):
-        q = np.unique(w.index[w.first[i] : w.first[i + 1]])
-        reps = num[q]
-        at = np.repeat(w.gram_first[q], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        seen[0][fold[i], int(y[i]), np.unique(wb[q])] += 1
-        seen[1][fold[i], int(y[i]), np.unique(gb[at])] += 1
+@dataclass
+class Shard:
+    """Labelled texts that are fitted on together: words, labels, the half (0, 1) of each text; windows, their texts, the first of each text."""
+
+    w: Words
+    y: np.ndarray
+    fold: np.ndarray
+    idx: np.ndarray
+    wdoc: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, w: Words, y: np.ndarray, fold: np.ndarray) -> Shard:
+        idx, wdoc = w.windows()
+        return cls(w, y, fold, idx, wdoc, np.searchsorted(wdoc, np.arange(len(y))))
+
+    def counts(self) -> np.ndarray:
+        """Texts that hold each word and each n-gram, by half and label; a text counts once."""
+        w = self.w
+        wb = (w.hashes & U64(WIDE - 1)).astype(np.int64)
+        gb = (w.grams & U64(WIDE - 1)).astype(np.int32)
+        num = np.diff(w.gram_first)
+        seen = np.zeros((2, 2, 2, WIDE), np.float32)
+        for i in range(len(self.y)):
+            q = np.unique(w.index[w.first[i] : w.first[i + 1]])
+            reps = num[q]
+            at = np.repeat(w.gram_first[q], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+            seen[0, self.fold[i], int(self.y[i]), np.unique(wb[q])] += 1
+            seen[1, self.fold[i], int(self.y[i]), np.unique(gb[at])] += 1
+        return seen
+
+
+def _set_odds(net: Net, seen: np.ndarray, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Gives the network the statistics of all texts; returns for each half those of the other one, as they will be for texts that were never seen."""
 
     def table(folds: list[int]) -> tuple[np.ndarray, np.ndarray]:
         return tuple(_odds(c[folds, 1].sum(axis=0), c[folds, 0].sum(axis=0), share) for c in seen)
 
-    # statistics for a document come from the other half, as they will for texts that were never seen
-    halves = [table([1 - f]) for f in (0, 1)]
     net.word_odds, net.gram_odds = table([0, 1])
-    idx, wdoc = w.windows()
-    first = np.searchsorted(wdoc, np.arange(n))
-    adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
+    return [table([1 - f]) for f in (0, 1)]
+
+
+def _epoch(net: Net, adam: dict, step: int, shard: Shard, halves, epoch: int, epochs: int, batch: int, rng) -> int:
+    """One pass over a shard; changes ``net`` and ``adam``, returns the number of steps so far."""
+    w, y, fold, idx, wdoc, first = shard.w, shard.y, shard.fold, shard.idx, shard.wdoc, shard.first
+    n, num = len(y), np.diff(w.gram_first)
 
     def score(rows: np.ndarray) -> np.ndarray:
         s = np.empty(len(rows))
@@ -290,46 +306,155 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 8, batch: int = 128, s
                 s[mine[a : a + 8192]] = np.sort(x[idx[mine[a : a + 8192]]], axis=1)[:, -3:].sum(axis=1)
         return s
 
+    s = hint() if epoch == 0 else score(np.arange(len(idx)))
+    top = np.lexsort((s, wdoc))[np.append(first[1:], len(wdoc)) - 1]  # each text's window of the highest score
+    other = first + (rng.random(n) * (np.append(first[1:], len(wdoc)) - first)).astype(np.int64)
+    rows = np.concatenate([top, other[y == 0]])
+    target = y[wdoc[rows]]
+    rows, target = rows[(o := rng.permutation(len(rows)))], target[o]
+    rate = 0.02 * (1 - epoch / epochs)
+    xs = [net.float32().inputs(w, *halves[f]) for f in (0, 1)]
+    for a in range(0, len(rows), batch):
+        r, t = rows[a : a + batch], target[a : a + batch]
+        for f in (0, 1):
+            mine = fold[wdoc[r]] == f
+            if not mine.any():
+                continue
+            used, small = np.unique(idx[r[mine]], return_inverse=True)
+            small = small.reshape(-1, WINDOW)
+            if used[0] == -1:  # keep -1 last
+                used, small = np.append(used[1:], -1), small - 1
+            else:
+                used = np.append(used, -1)
+            x = xs[f][used].astype(float)
+            words = used[:-1]
+            hw = (w.hashes[words] >> U64(40)).astype(np.int64) % BUCKETS
+            reps = num[words]
+            at = np.repeat(w.gram_first[words], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+            hg = (w.grams[at] >> U64(40)).astype(np.int64) % BUCKETS
+            cut = np.cumsum(reps) - reps
+            x[:-1, 3 : 3 + DIM] = net.p["Ew"][hw]
+            if len(words):
+                x[:-1, 3 + DIM :] = np.add.reduceat(net.p["Ec"][hg], cut) / reps[:, None]
+            _, g, dx = net.gradients(x, small, t[mine], np.ones(mine.sum()))
+            g["Ew"] = _scatter(hw, dx[:-1, 3 : 3 + DIM], BUCKETS)
+            g["Ec"] = _scatter(hg, np.repeat(dx[:-1, 3 + DIM :] / reps[:, None], reps, axis=0), BUCKETS)
+            step += 1
+            for k, v in net.p.items():
+                m1, m2 = adam[k]
+                m1 += 0.1 * (g[k] - m1)
+                m2 += 0.01 * (g[k] ** 2 - m2)
+                v -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6) + rate * 1e-4 * v
+    return step
+
+
+def _constant(net: Net, y: np.ndarray) -> Net:
+    net.p["o"][:] = 0
+    net.p["b"][0] = -6.0 if not len(y) or y[0] == 0 else 6.0
+    return net.float32()
+
+
+def fit(texts: list[str], toxic: list[int], epochs: int = 8, batch: int = 128, seed: int = 5) -> Net:
+    """The same texts and labels give the same network. Without both labels: a network that scores every text alike."""
+    net = Net(seed)
+    y = np.array(toxic, float)
+    if not len(y) or y.min() == y.max():
+        return _constant(net, y)
+    rng = np.random.default_rng(seed)
+    shard = Shard.of(Words.of_texts(list(texts)), y, rng.permutation(len(y)) % 2)
+    halves = _set_odds(net, shard.counts(), y.mean())
+    adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    step = 0
+    for epoch in range(epochs):
+        step = _epoch(net, adam, step, shard, halves, epoch, epochs, batch, rng)
+    return net.float32()
+
+
+_SHARD = "shard long, z binary"
+
+
+def _prepared(rows: pa.Table) -> pa.Table:
+    """One row of a shard: its distinct words, by hash, which of them each text holds, labels and halves."""
+    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    shard, y = rows.column("shard")[0].as_py(), rows.column("toxic").to_numpy().astype(float)
+    words, order, sizes = {}, [], []
+    for b in blocks(rows.to_batches()):
+        starts, ends, first = b.words()
+        order.append(b.word_hashes())
+        sizes.append(np.diff(first))
+        for h, i in zip(*(x.tolist() for x in np.unique(order[-1], return_index=True))):
+            if h not in words:
+                words[h] = b.data[starts[i] : ends[i]].tobytes()
+    h = np.array(sorted(words), np.uint64)
+    index = np.concatenate([np.searchsorted(h, x) for x in order]).astype(np.int32)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+    fold = np.random.default_rng((5, shard)).permutation(len(y)) % 2
+    z = zstandard.compress(pickle.dumps((shard, b" ".join(words[x] for x in h.tolist()), index, first, y, fold), 5), 1)
+    return pa.table({"shard": pa.array([shard], pa.int64()), "z": pa.array([z], pa.binary())})
+
+
+def _shards(batches):
+    for batch in batches:
+        for z in batch.column(0):
+            shard, words, index, first, y, fold = pickle.loads(zstandard.decompress(z.as_py()))
+            b = Block(np.frombuffer(words, np.uint8), np.array([0, len(words)]))
+            starts, ends, _ = b.words()
+            parts = [_grams(b, starts[i : i + 16384], ends[i : i + 16384]) for i in range(0, len(starts), 16384)]
+            grams = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.uint64)
+            num = np.concatenate([[0], *(np.diff(f) for _, f in parts)])
+            yield shard, Shard.of(Words(b.word_hashes(), grams, np.cumsum(num), index, first), y, fold)
+
+
+def _seen(batches):
+    seen = 0
+    for _, s in _shards(batches):
+        seen = seen + s.counts()
+    if np.ndim(seen):
+        yield _pieces(seen)
+
+
+def _flat(net: Net, adam: dict, step: float, weight: float = 1.0) -> np.ndarray:
+    """Parameters, their moments and the number of steps times ``weight``, and the weight, in a row."""
+    x = np.concatenate([np.ravel(a) for k in sorted(net.p) for a in (net.p[k], *adam[k])] + [[step, 1.0]]) * weight
+    return np.concatenate([x, np.zeros(-len(x) % _CHUNKS)])
+
+
+def _unflat(x: np.ndarray) -> tuple[Net, dict, int]:
+    net, adam, at = Net(), {}, 0
+    for k in sorted(net.p):
+        v = net.p[k]
+        a = [x[at + i * v.size : at + (i + 1) * v.size].reshape(v.shape).copy() for i in range(3)]
+        net.p[k], adam[k], at = a[0], (a[1], a[2]), at + 3 * v.size
+    return net, adam, round(x[at])
+
+
+def _pass(state, halves, epoch: int, epochs: int, batch: int = 128):
+    """Of each shard what a pass over it makes of the state, weighted by its texts."""
+
+    def run(batches):
+        for shard, s in _shards(batches):
+            net, adam, step = _unflat(state.value)
+            step = _epoch(net, adam, step, s, halves.value, epoch, epochs, batch, np.random.default_rng((5, shard, epoch)))
+            yield _pieces(_flat(net, adam, step, len(s.y)))
+
+    return run
+
+
+def fit_shards(shards: DataFrame, share: float, epochs: int = 8) -> Net:
+    """The same on shards as of :func:`_prepared`, of any number: statistics are those of all texts, and after each pass parameters and moments are averaged over shards."""
+    sc, z = shards.sparkSession.sparkContext, shards.select("z")
+    net = Net()
+    seen = _sum(z.mapInArrow(_seen, "part int, z binary"), (2, 2, 2, WIDE))
+    halves = sc.broadcast(_set_odds(net, seen, share))
+    state = _flat(net, {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}, 0)
+    weight = sum(3 * v.size for v in net.p.values()) + 1
     for epoch in range(epochs):
-        s = hint() if epoch == 0 else score(np.arange(len(idx)))
-        top = np.lexsort((s, wdoc))[np.append(first[1:], len(wdoc)) - 1]  # each text's window of the highest score
-        other = first + (rng.random(n) * (np.append(first[1:], len(wdoc)) - first)).astype(np.int64)
-        rows = np.concatenate([top, other[y == 0]])
-        target = y[wdoc[rows]]
-        rows, target = rows[(o := rng.permutation(len(rows)))], target[o]
-        rate = 0.02 * (1 - epoch / epochs)
-        xs = [net.float32().inputs(w, *halves[f]) for f in (0, 1)]
-        for a in range(0, len(rows), batch):
-            r, t = rows[a : a + batch], target[a : a + batch]
-            for f in (0, 1):
-                mine = fold[wdoc[r]] == f
-                if not mine.any():
-                    continue
-                used, small = np.unique(idx[r[mine]], return_inverse=True)
-                small = small.reshape(-1, WINDOW)
-                if used[0] == -1:  # keep -1 last
-                    used, small = np.append(used[1:], -1), small - 1
-                else:
-                    used = np.append(used, -1)
-                x = xs[f][used].astype(float)
-                words = used[:-1]
-                hw = (w.hashes[words] >> U64(40)).astype(np.int64) % BUCKETS
-                reps = num[words]
-                at = np.repeat(w.gram_first[words], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                hg = (w.grams[at] >> U64(40)).astype(np.int64) % BUCKETS
-                cut = np.cumsum(reps) - reps
-                x[:-1, 3 : 3 + DIM] = net.p["Ew"][hw]
-                if len(words):
-                    x[:-1, 3 + DIM :] = np.add.reduceat(net.p["Ec"][hg], cut) / reps[:, None]
-                _, g, dx = net.gradients(x, small, t[mine], np.ones(mine.sum()))
-                g["Ew"] = _scatter(hw, dx[:-1, 3 : 3 + DIM], BUCKETS)
-                g["Ec"] = _scatter(hg, np.repeat(dx[:-1, 3 + DIM :] / reps[:, None], reps, axis=0), BUCKETS)
-                step += 1
-                for k, v in net.p.items():
-                    m1, m2 = adam[k]
-                    m1 += 0.1 * (g[k] - m1)
-                    m2 += 0.01 * (g[k] ** 2 - m2)
-                    v -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6) + rate * 1e-4 * v
+        shared = sc.broadcast(state)
+        total = _sum(z.mapInArrow(_pass(shared, halves, epoch, epochs), "part int, z binary"), state.shape)
+        state = total / total[weight]
+        shared.destroy()
+    halves.destroy()
+    net.p = _unflat(state)[0].p
     return net.float32()
 
 
@@ -349,12 +474,20 @@ def held_out(doc_id, modulus: int, rest: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Net:
-    """Fits on the labelled documents outside the held-out quarter, at most ``fit_rows`` of them."""
+def train(docs: DataFrame, labels: DataFrame, shard_rows: int = SHARD_ROWS) -> Net:
+    """Fits on all labelled documents outside the held-out quarter: at the driver if they are one shard, in tasks if they are more."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"), 4, 2))
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])
-    return fit(rows["text"].tolist(), rows["toxic"].tolist())
+    chosen = stage.written(chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labelled")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(stage.if_small(chosen), "doc_id")
+    n, size, toxic = rows.agg(F.count("*"), F.sum(F.octet_length("text")), F.sum("toxic")).first()
+    shards = max(-(-n // shard_rows), (size or 0) // SHARD_BYTES + 1)
+    if not n or toxic in (0, n):
+        return _constant(Net(), np.array([1.0 if toxic else 0.0]))
+    if shards == 1:
+        rows = rows.toPandas().sort_values(["doc_id", "text"])
+        return fit(rows["text"].tolist(), rows["toxic"].tolist())
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    return fit_shards(stage.written(rows.groupBy("shard").applyInArrow(_prepared, _SHARD), "shards"), toxic / n)
 
 
 def score_toxicity(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:

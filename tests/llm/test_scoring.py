@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codeloom.llm import ctw, quality, toxicity, weak_quality
@@ -244,6 +245,20 @@ def test_toxicity_on_texts_it_never_saw(spark):
     assert [r["score"] for r in same] == [r["score"] for r in got]  # held-out labels change nothing
 
 
+def test_toxicity_is_fitted_on_every_labelled_text(spark):
+    """Shards of a third of the texts: statistics against plain counts of all texts, and texts it never saw."""
+    texts, labels = insults(3, 900)
+    d, lab = table(spark, texts), spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    net = toxicity.train(d, lab, 250)
+    mine = [i for i in range(900) if zlib.crc32(str(i).encode()) % 4 != 2]
+    seen = np.zeros((2, toxicity.WIDE))
+    for i in mine:
+        seen[labels[i], np.unique(block_of([texts[i]]).word_hashes() & np.uint64(toxicity.WIDE - 1)).astype(int)] += 1
+    assert np.abs(net.word_odds - toxicity._odds(seen[1], seen[0], np.mean([labels[i] for i in mine]))).max() < 1e-5
+    s = toxicity.score_block(net, block_of(texts))
+    assert np.mean([(s[i] >= 0.3) == labels[i] for i in set(range(900)) - set(mine)]) > 0.9
+
+
 def test_toxicity_without_labels(spark):
     d = table(spark, ["a b", None])
     none = spark.createDataFrame([], "doc_id long, toxic int")
