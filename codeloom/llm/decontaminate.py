@@ -34,6 +34,8 @@ ANSWER = 5
 #: Least shared subsequence: on its own, or together with the answer.
 VERBATIM, PARAPHRASE, ANSWER_SHARE = 0.75, 0.5, 0.8
 _CHUNKS = 16
+#: Words whose vectors are added up at once: few enough to stay in the cache.
+_STRETCH = 1 << 13
 
 
 def terms(h: np.ndarray) -> np.ndarray:
@@ -128,9 +130,11 @@ def _gram(idf):
             y /= np.maximum(square, 1e-9)[:, None]  # a passage counts by its direction: length out of both factors
             p = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(t))))
             order = np.argsort(t, kind="stable")
-            s = t[order]
-            cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            out[s[cut]] += np.add.reduceat(y[p[order]], cut) * w[s[cut]][:, None]
+            for i in range(0, len(order), _STRETCH):
+                o = order[i : i + _STRETCH]
+                s = t[o]
+                cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                out[s[cut]] += np.add.reduceat(y[p[o]], cut) * w[s[cut]][:, None]
         if any_:
             yield _pieces(out)
 
