@@ -37,6 +37,8 @@ SPLIT = 3
 CONTEXTS = None
 #: Text (about) that asks together; pairs (about) that a part of the tree is asked for, and parts at most: beyond that many, a part answers in several tasks.
 GROUP_BYTES, PART_PAIRS, MOST_PARTS = 8 << 20, 1 << 19, 4096
+#: Pairs (about) of a part of the tree that are worked out at once: the trees below contexts of SPLIT bytes do not depend on each other.
+SLICE_PAIRS = 1 << 16
 END = 0xFF  # ends a text, and stands before its start; not a byte of UTF-8
 _MASK = [U64((1 << 8 * d) - 1) for d in range(9)]
 END_TOKEN = 0x1E35A7BD3C6EF372  # fingerprint of the end token
@@ -533,25 +535,48 @@ def _deepest(key: np.ndarray) -> np.ndarray:
     return ((key >> U64(64 - 8 * DEPTH)) << U64(8)) | (key & U64(255))
 
 
+def _slices(k: np.ndarray, most: int):
+    """Stretches of about ``most`` sorted keys as of :func:`_turn`, each of whole trees below contexts of SPLIT bytes; none of none."""
+    first = _distinct(k >> U64(64 - 8 * SPLIT))
+    at = np.searchsorted(first, np.arange(most, len(k), most))
+    cuts = np.unique(np.concatenate([[0], first[at[at < len(first)]], [len(k)]]))
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+
+
+def _logs(u: np.ndarray, k: np.ndarray, n: np.ndarray, top: Model, least: int) -> np.ndarray:
+    """log10 probabilities of sorted keys by the part of the tree of the sorted pairs ``k``, a slice at a time."""
+    slices = _slices(k, SLICE_PAIRS) if len(top.levels) == SPLIT else []
+    if not slices:
+        return top.log10_turned(u)
+    shift = U64(64 - 8 * SPLIT)
+    ends = [*(int(np.searchsorted(u, k[i] >> shift << shift)) for i, _ in slices[1:]), len(u)]
+    out, at = np.empty(len(u)), 0
+    for (i, j), end in zip(slices, ends):
+        m = _build(_depths(_deepest(k[i:j]), n[i:j], SPLIT, DEPTH, least), top, whole=not least)
+        out[at:end] = m.log10_turned(u[at:end])
+        m, at = None, end
+    return out
+
+
 def _roots(least: int):
     """Of parts of the tree rows for the driver: ``kind`` 0: context of SPLIT - 1 bytes and byte, times; 1: such a context and node, with the counts and weights of its children added up."""
 
     def run(batches):
         for batch in batches:
             for zk, zn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key, n = unpack_sorted(zk), unpack(zn).view(np.int64)
-                if not len(key):
-                    continue
-                depths = _depths(_deepest(key), n, SPLIT, DEPTH, least)
-                k, c, _ = _collapse(((key >> U64(64 - 8 * (SPLIT - 1))) << U64(8)) | (key & U64(255)), n)
-                z = np.zeros(len(k))
-                yield pa.record_batch({"kind": pa.array(z.astype(np.int32)), "key": pa.array(k.view(np.int64)), "a": pa.array(c.astype(float)), "b": pa.array(z), "w": pa.array(z)})
-                first = _weigh(depths, whole=not least)[1]
-                if first is not None:
-                    ctx, node, n0, n1, w = first
-                    k, at = np.unique(((ctx >> U64(8))[node >> 8] << U64(8)) | (node & 255).astype(np.uint64), return_inverse=True)
-                    a, b, w = (np.bincount(at, x, len(k)) for x in (n0, n1, w))
-                    yield pa.record_batch({"kind": pa.array(np.ones(len(k), np.int32)), "key": pa.array(k.view(np.int64)), "a": pa.array(a), "b": pa.array(b), "w": pa.array(w)})
+                keys, times = unpack_sorted(zk), unpack(zn).view(np.int64)
+                for i, j in _slices(keys, SLICE_PAIRS):
+                    key, n = keys[i:j], times[i:j]
+                    depths = _depths(_deepest(key), n, SPLIT, DEPTH, least)
+                    k, c, _ = _collapse(((key >> U64(64 - 8 * (SPLIT - 1))) << U64(8)) | (key & U64(255)), n)
+                    z = np.zeros(len(k))
+                    yield pa.record_batch({"kind": pa.array(z.astype(np.int32)), "key": pa.array(k.view(np.int64)), "a": pa.array(c.astype(float)), "b": pa.array(z), "w": pa.array(z)})
+                    first = _weigh(depths, whole=not least)[1]
+                    if first is not None:
+                        ctx, node, n0, n1, w = first
+                        k, at = np.unique(((ctx >> U64(8))[node >> 8] << U64(8)) | (node & 255).astype(np.uint64), return_inverse=True)
+                        a, b, w = (np.bincount(at, x, len(k)) for x in (n0, n1, w))
+                        yield pa.record_batch({"kind": pa.array(np.ones(len(k), np.int32)), "key": pa.array(k.view(np.int64)), "a": pa.array(a), "b": pa.array(b), "w": pa.array(w)})
 
     return run
 
@@ -581,17 +606,14 @@ def _answer(top, parts: int, least: int):
                 k, n = unpack_sorted(k), unpack(n).view(np.int64)
                 wanted = [unpack_sorted(w) for w in wanted]
                 if p < parts:
-                    m = top.value
-                    if len(m.levels) == SPLIT and len(k):
-                        m = _build(_depths(_deepest(k), n, SPLIT, DEPTH, least), m, whole=not least)
                     u = np.sort(np.concatenate(wanted))
                     u = u[_distinct(u)]
-                    log = m.log10_turned(u)
+                    log = _logs(u, k, n, top.value, least)
                     out = [pack_logs(log[np.searchsorted(u, w)]) for w in wanted]
                 else:
                     at = [_rows(k, w) for w in wanted]
                     out = [pack(np.where(a >= 0, n[a], 0) if len(n) else np.zeros(len(a), np.int64)) for a in at]
-                u = log = m = wanted = at = None
+                u = log = wanted = at = None
                 _trim()
                 yield pa.record_batch({"block": pa.array(blocks_, pa.int64()), "part": pa.array([p] * len(out), pa.int32()), "values": pa.array(out, pa.binary())})
 

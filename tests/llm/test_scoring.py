@@ -444,6 +444,35 @@ def test_answers_do_not_depend_on_blocks_and_parts(spark, monkeypatch):
         assert r["n_known"] == w["n_known"]
 
 
+def test_memory_of_a_part_does_not_follow_its_pairs(monkeypatch):
+    """Answers of a part in slices are those of the whole tree, and take a fraction of its memory."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 9))) for _ in range(40_000))
+    keys, n = np.unique(next(ctw.turned(ctw.folded(block_of([text]))))[0], return_counts=True)
+    wanted = np.unique(np.concatenate([keys[::3], keys[::7] ^ np.uint64(1), keys[::11] ^ np.uint64(1 << 60)]))
+    packed = {"keys": [ctw.pack_sorted(keys)], "ns": [ctw.pack(n)]}
+
+    class Top:
+        value = None
+
+    def answers(pairs):
+        monkeypatch.setattr(ctw, "SLICE_PAIRS", pairs, raising=False)
+        roots = pa.Table.from_batches(ctw._roots(0)(iter([pa.record_batch(packed)]))).to_pandas()
+        Top.value = ctw._top(roots.groupby(["kind", "key"], as_index=False).sum(), 0)
+        asked = pa.record_batch({"part": [0], **packed, "blocks": [[1]], "asked": [[ctw.pack_sorted(wanted)]]})
+        tracemalloc.start()
+        out = next(ctw._answer(Top, 1, 0)(iter([asked])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return ctw.unpack_logs(out["values"][0].as_py()), peak
+
+    whole, most = answers(1 << 40)
+    sliced, least = answers(1 << 12)
+    assert len(keys) > 100_000 and np.abs(whole - sliced).max() < 1e-3 and least < most / 4
+
+
 def test_scoring_odd_rows(spark):
     rows = [(None, "a b", 1), (None, "a b", 2), (3, None, 3), (3, None, 3), (5, "b " * 40_000, 4), (6, "", 5)]
     d = spark.createDataFrame(rows, "doc_id long, text string, score long").withColumnsRenamed({}).selectExpr("*", "score as part", "score as block")
