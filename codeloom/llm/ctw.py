@@ -17,7 +17,6 @@ which it was asked.  Words of the base score are asked for and counted alike.
 
 from __future__ import annotations
 
-import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import stage
-from codeloom.llm.textbuf import BLOCK_BYTES, LOWER, NONSPACE, U64, Block, blocks, mix, sums
+from codeloom.llm.textbuf import BLOCK_BYTES, LOWER, NONSPACE, U64, Block, blocks, mix, sums, trim
 from codeloom.llm.toxicity import held_out
 
 DEPTH = 7
@@ -44,14 +43,6 @@ _MASK = [U64((1 << 8 * d) - 1) for d in range(9)]
 END_TOKEN = 0x1E35A7BD3C6EF372  # fingerprint of the end token
 
 
-def _trim() -> None:
-    """Gives freed memory back to the system: workers are kept for other tasks and would hold on to what their largest block took."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def folded(b: Block) -> Block:
     """The texts as they are coded: A-Z lower-cased, white space between words as one space, none around them."""
     starts, _, first = b.words()
@@ -250,7 +241,7 @@ def _ask(parts: int):
             rows += [(p, pack_sorted(k[i:j]), pack(n[i:j])) for p, i, j in stretches]
         block = texts.column("block")[0].as_py()
         del k, n, part, order
-        _trim()
+        trim()
         return pa.table([pa.array([block] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary())))], names=["block", "part", "keys", "ns"])
 
     return run
@@ -270,7 +261,7 @@ def _gather(rows: pa.Table) -> pa.Table:
             held = [_merge(held)]
     k, n = _merge(held)
     del held
-    _trim()
+    trim()
     asked = "block" in rows.schema.names
     cols = [[part], [pack_sorted(k)], [pack(n)], [len(k)], [int(n.sum())], [rows.column("block").to_pylist() if asked else []], [keys if asked else []]]
     types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary())]
@@ -614,7 +605,7 @@ def _answer(top, parts: int, least: int):
                     at = [_rows(k, w) for w in wanted]
                     out = [pack(np.where(a >= 0, n[a], 0) if len(n) else np.zeros(len(a), np.int64)) for a in at]
                 u = log = wanted = at = None
-                _trim()
+                trim()
                 yield pa.record_batch({"block": pa.array(blocks_, pa.int64()), "part": pa.array([p] * len(out), pa.int32()), "values": pa.array(out, pa.binary())})
 
     return run
@@ -658,7 +649,7 @@ def _score(parts: int, total: int, distinct: int):
             out.append(pa.record_batch(cols | {"n_tokens": pa.array(tokens), "n_known": pa.array(sums(n > 0, wf) + int(end > 0)), "base_score": pa.array(base), "score": pa.array(score), "n_bytes": pa.array(size)}))
         held.clear()
         del pairs, logs, words, times, own, u, place
-        _trim()
+        trim()
         return pa.Table.from_batches(out)
 
     return run

@@ -9,6 +9,7 @@ its own (texts are never cut).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -184,6 +185,14 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return acc[first[1:]] - acc[first[:-1]]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers are kept for other tasks and would hold on to what their largest block took."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 class Lookup:
     """Numbers to positions by open addressing, for whole arrays at once."""
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import stage
 from codeloom.llm.decontaminate import _CHUNKS, _pieces, _sum
-from codeloom.llm.textbuf import FOLDED, U64, Block, blocks, map_texts, mix
+from codeloom.llm.textbuf import FOLDED, U64, Block, blocks, map_texts, mix, trim
 
 WINDOW, STRIDE = 32, 16
 HIDDEN = 8
@@ -36,29 +36,54 @@ _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(max(GRAMS
 def _grams(b: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the byte n-grams of each word and where each word's begin (len + 1). A gram at a word's start or end is its own."""
     size = ends - starts
-    hs, owners = [], []
-    for g in GRAMS:
-        k = np.minimum(size, g)
-        count = size - k + 1
-        owner = np.repeat(np.arange(len(starts)), count)
-        at = starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        stop = at + k[owner]
-        h = np.full(len(at), U64(g * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        for j in range(g):
-            inside = np.flatnonzero(at + j < stop) if j else slice(None)
-            h[inside] += FOLDED[b.data[at[inside] + j]] * _POWERS[j]
-        h += (at == starts[owner]).astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F)
-        h += (stop == ends[owner]).astype(np.uint64) * U64(0x165667B19E3779F9)
-        hs.append(mix(h))
-        owners.append(owner)
-    h, owner = np.concatenate(hs), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return h[order], np.searchsorted(owner[order], np.arange(len(starts) + 1))
+    counts = [np.maximum(size - g, 0) + 1 for g in GRAMS]
+    first = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(sum(counts), out=first[1:])
+    # bytes of the words side by side: which word's, where in it, and how many are left of it
+    begin = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(starts)), size)
+    n = len(owner)
+    within = np.arange(n) - begin[owner]
+    left = size[owner] - within
+    folded = np.zeros(n + max(GRAMS), np.uint64)
+    folded[:n] = FOLDED[b.data[starts[owner] + within]]
+    out, place = np.empty(first[-1], np.uint64), first[owner] + within
+    acc, whole = np.zeros(n, np.uint64), np.zeros(len(starts), np.uint64)
+    for j in range(max(GRAMS)):
+        acc += folded[j : j + n] * _POWERS[j]
+        done = np.flatnonzero(size == j + 1)
+        whole[done] = acc[begin[done]]
+        if (g := j + 1) in GRAMS:
+            at = np.flatnonzero((left >= g) | (within == 0))
+            rest = left[at]
+            h = np.where(rest < g, whole[owner[at]], acc[at]) + U64(g * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            h += (within[at] == 0).astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F)
+            h += (rest <= g).astype(np.uint64) * U64(0x165667B19E3779F9)
+            out[place[at]] = mix(h)
+            place += counts[GRAMS.index(g)][owner]
+    return out, first
+
+
+def _gram_places(b: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and of each hash only where its statistics (low bits) and its embedding (high bits) are."""
+    h, first = _grams(b, starts, ends)
+    return ((h & U64(WIDE - 1)) + ((h >> U64(40)) % U64(BUCKETS) * U64(WIDE))).astype(np.uint32), first
+
+
+def _as_they_come(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values by their first places, those places, and the index of each value."""
+    u, at, index = np.unique(h, return_index=True, return_inverse=True)
+    order, rank = np.argsort(at), np.empty(len(u), np.int32)
+    rank[order] = np.arange(len(u))
+    return u[order], at[order], rank[index]
 
 
 @dataclass
 class Words:
-    """The distinct words of a block: their hashes, n-grams, and the index of each word of the text."""
+    """The distinct words of a block: their hashes, places of their n-grams, and the index of each word of the text.
+
+    Words of a block or a shard are in the order in which they first come, so that what is looked up for one window lies together.
+    """
 
     hashes: np.ndarray
     grams: np.ndarray
@@ -69,8 +94,8 @@ class Words:
     @classmethod
     def of(cls, b: Block) -> Words:
         starts, ends, first = b.words()
-        h, at, index = np.unique(b.word_hashes(), return_index=True, return_inverse=True)
-        grams, gf = _grams(b, starts[at], ends[at]) if len(at) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        h, at, index = _as_they_come(b.word_hashes())
+        grams, gf = _gram_places(b, starts[at], ends[at]) if len(at) else (np.zeros(0, np.uint32), np.zeros(1, np.int64))
         return cls(h, grams, gf, index, first)
 
     @classmethod
@@ -86,14 +111,14 @@ class Words:
             u, at = np.unique(h, return_index=True)
             new = ~np.isin(u, seen, assume_unique=True)
             if new.any():
-                g, gf = _grams(b, starts[at[new]], ends[at[new]])
+                g, gf = _gram_places(b, starts[at[new]], ends[at[new]])
                 hashes.append(u[new])
                 grams.append(g)
                 counts.append(np.diff(gf))
                 seen = np.union1d(seen, u[new])
         first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
         if not hashes:
-            return cls(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int64), first)
+            return cls(np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64), first)
         h, g, c = np.concatenate(hashes), np.concatenate(grams), np.concatenate(counts)
         by = np.argsort(h)
         begin = np.cumsum(c) - c
@@ -101,16 +126,24 @@ class Words:
         g = g[np.repeat(begin[by], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)]
         return cls(h[by], g, np.concatenate([[0], np.cumsum(reps)]), np.concatenate([np.searchsorted(h[by], x) for x in order]), first)
 
+    def stretch(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words ``i`` to ``j`` where each one's n-grams begin, how many there are, and the n-grams."""
+        first = self.gram_first[i : j + 1]
+        return first[:-1] - first[0], np.diff(first), self.grams[first[0] : first[-1]]
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Word indices of every window (-1: none) and the text each belongs to; a text has at least one."""
         count = np.diff(self.first)
         per = np.maximum(1, -(-(count - (WINDOW - STRIDE)) // STRIDE))
         doc = np.repeat(np.arange(len(count)), per)
         k = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-        at = (self.first[:-1][doc] + k * STRIDE)[:, None] + np.arange(WINDOW)
-        inside = at < self.first[1:][doc][:, None]
-        idx = np.full(at.shape, -1, np.int32)
-        idx[inside] = self.index[at[inside]]
+        begin, end = self.first[:-1][doc] + k * STRIDE, self.first[1:][doc]
+        idx = np.full((len(doc), WINDOW), -1, np.int32)
+        for i in range(0, len(doc) if len(self.index) else 0, 4096):
+            at = begin[i : i + 4096, None] + np.arange(WINDOW)
+            part = self.index.take(at, mode="clip")
+            part[at >= end[i : i + 4096, None]] = -1
+            idx[i : i + 4096] = part
         return idx, doc
 
 
@@ -119,6 +152,26 @@ def _odds(pos: np.ndarray, neg: np.ndarray, share: float, prior: float = 3.0) ->
     return (np.log(p / (1 - p)) - np.log(share / (1 - share))).astype(np.float32)
 
 
+def _word_odds(w: Words, word_odds: np.ndarray, gram_odds: np.ndarray) -> np.ndarray:
+    """Of each distinct word the label statistics: its own, mean and maximum of its n-grams."""
+    n = len(w.hashes)
+    x = np.zeros((n, 3), np.float32)
+    x[:, 0] = word_odds[(w.hashes & U64(WIDE - 1)).astype(np.int64)]
+    for i in range(0, n, 16384):
+        cut, num, grams = w.stretch(i, i + 16384)
+        g = gram_odds.take(grams & np.uint32(WIDE - 1))
+        x[i : i + 16384, 1] = np.add.reduceat(g, cut) / num
+        x[i : i + 16384, 2] = np.maximum.reduceat(g, cut)
+    return x
+
+
+def _rows(*parts: np.ndarray) -> np.ndarray:
+    """Columns side by side and a last row of zeros."""
+    x = np.zeros((len(parts[0]) + 1, sum(p.shape[1] for p in parts)), parts[-1].dtype)
+    np.concatenate(parts, axis=1, out=x[:-1])
+    return x
+
+
 def _scatter(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Rows of ``values`` summed by ``at`` into ``n`` rows."""
     k = values.shape[1]
@@ -144,98 +197,140 @@ class Net:
         out.word_odds, out.gram_odds = self.word_odds, self.gram_odds
         return out
 
-    def inputs(self, w: Words, word_odds: np.ndarray | None = None, gram_odds: np.ndarray | None = None) -> np.ndarray:
-        """A row for each distinct word and a last one, of zeros, for no word."""
+    def embedded(self, w: Words) -> np.ndarray:
+        """Of each distinct word the learned inputs."""
         p, n = self.p, len(w.hashes)
-        x = np.zeros((n + 1, 3 + 2 * DIM), p["Ew"].dtype)
-        if n:
-            wo = self.word_odds if word_odds is None else word_odds
-            go = self.gram_odds if gram_odds is None else gram_odds
-            x[:n, 0] = wo[(w.hashes & U64(WIDE - 1)).astype(np.int64)]
-            x[:n, 3 : 3 + DIM] = p["Ew"][(w.hashes >> U64(40)).astype(np.int64) % BUCKETS]
-            for i in range(0, n, 16384):
-                j = min(n, i + 16384)
-                grams = w.grams[w.gram_first[i] : w.gram_first[j]]
-                g = go[(grams & U64(WIDE - 1)).astype(np.int64)]
-                cut, num = w.gram_first[i:j] - w.gram_first[i], np.diff(w.gram_first[i : j + 1])
-                x[i:j, 1] = np.add.reduceat(g, cut) / num
-                x[i:j, 2] = np.maximum.reduceat(g, cut)
-                x[i:j, 3 + DIM :] = np.add.reduceat(p["Ec"][(grams >> U64(40)).astype(np.int64) % BUCKETS], cut) / num[:, None]
+        x = np.zeros((n, 2 * DIM), p["Ew"].dtype)
+        x[:, :DIM] = p["Ew"][(w.hashes >> U64(40)).astype(np.int64) % BUCKETS]
+        for i in range(0, n, 16384):
+            cut, num, grams = w.stretch(i, i + 16384)
+            x[i : i + 16384, DIM:] = np.add.reduceat(p["Ec"].take(grams // np.uint32(WIDE), 0), cut) / num[:, None]
         return x
 
-    def _gru(self, side: str, proj: np.ndarray, idx: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        u, v = self.p[f"U{side}"], self.p[f"V{side}"]
-        n, t = idx.shape
-        h = np.zeros((n, HIDDEN), proj.dtype)
-        out = np.zeros((t, n, HIDDEN), proj.dtype)
-        for s in range(t) if side == "f" else range(t - 1, -1, -1):
-            i = idx[:, s]
-            x = proj[i]
-            zr = 0.5 + 0.5 * np.tanh(0.5 * (x[:, : 2 * HIDDEN] + h @ u))
-            z, r = zr[:, :HIDDEN] * (i >= 0)[:, None], zr[:, HIDDEN:]
-            rh = r * h
-            c = np.tanh(x[:, 2 * HIDDEN :] + rh @ v)
-            if keep is not None:
-                keep[s] = (h, z, r, c)
-            h = h + z * (c - h)
-            out[s] = h
-        return out
+    def inputs(self, w: Words) -> np.ndarray:
+        """A row for each distinct word and a last one, of zeros, for no word."""
+        return _rows(_word_odds(w, self.word_odds, self.gram_odds), self.embedded(w))
 
     def project(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x @ self.p["Wf"] + self.p["cf"], x @ self.p["Wb"] + self.p["cb"]
 
-    def logits(self, proj: tuple[np.ndarray, np.ndarray], idx: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def scores(self, x: np.ndarray, idx: np.ndarray, at_once: int = 2048) -> np.ndarray:
+        """Logits of windows in single precision: a state's share of the attention and of the logit is all that is kept of it.
+
+        Units are rows and windows columns, so that every operation runs over adjacent numbers; few windows at once, so that they stay in the cache.
+        """
+        p, none, half = self.p, len(x) - 1, np.float32(0.5)
+        sides = []
+        scale = np.repeat(np.float32([0.5, 1]), [2 * HIDDEN, HIDDEN])  # a logistic function is a tanh of half its argument
+        for k, side in enumerate("fb"):
+            u, v, mine = p[f"U{side}"], p[f"V{side}"], slice(k * HIDDEN, (k + 1) * HIDDEN)
+            proj = x.astype(np.float32, copy=False) @ (p[f"W{side}"] * scale).astype(np.float32)
+            proj += (p[f"c{side}"] * scale).astype(np.float32)
+            proj[none, :HIDDEN] = -1e4  # no word: the state stays
+            sides.append((proj, np.concatenate([u.T * 0.5, [p["v"][mine], p["o"][mine]]]).astype(np.float32), np.ascontiguousarray(v.T * 0.5, np.float32)))
+        out = np.empty(len(idx), np.float32)
+        for a in range(0, len(idx), at_once):
+            steps = np.ascontiguousarray(idx[a : a + at_once].T).astype(np.int64)
+            steps[steps < 0] = none
+            t, n = steps.shape
+            kept = np.zeros((2, t, n), np.float32)
+            x, xt, g, c, d = (np.empty(shape, np.float32) for shape in ((n, 3 * HIDDEN), (3 * HIDDEN, n), (2 * HIDDEN + 2, n), (HIDDEN, n), (HIDDEN, n)))
+            zr = g[: 2 * HIDDEN]
+            for k, (proj, m, v) in enumerate(sides):
+                h = np.zeros((HIDDEN, n), np.float32)
+                for s in range(t) if k == 0 else range(t - 1, -1, -1):
+                    np.take(proj, steps[s], axis=0, out=x, mode="clip")
+                    np.copyto(xt, x.T)
+                    np.matmul(m, h, out=g)
+                    if s != (0, t - 1)[k]:
+                        kept[:, s + (-1, 1)[k]] += g[2 * HIDDEN :]
+                    zr += xt[: 2 * HIDDEN]
+                    np.tanh(zr, out=zr)
+                    zr += 1
+                    np.multiply(zr[HIDDEN:], h, out=d)
+                    np.matmul(v, d, out=c)
+                    c += xt[2 * HIDDEN :]
+                    np.tanh(c, out=c)
+                    c -= h
+                    c *= zr[:HIDDEN]
+                    c *= half
+                    h += c
+                kept[:, (t - 1, 0)[k]] += m[2 * HIDDEN :] @ h
+            att = kept[0]
+            att[steps == none] = -1e9
+            att -= att.max(axis=0)
+            np.exp(att, out=att)
+            out[a : a + n] = (att * kept[1]).sum(axis=0) / att.sum(axis=0) + p["b"][0]
+        return out
+
+    def gradients(self, x: np.ndarray, idx: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Mean weighted logistic loss of windows, its gradients, and the gradient by ``x``."""
         p = self.p
-        kf, kb = ({}, {}) if keep is not None else (None, None)
-        h = np.concatenate([self._gru("f", proj[0], idx, kf), self._gru("b", proj[1], idx, kb)], axis=2)
-        a = h @ p["v"]
+        n, t = idx.shape
+        u, v = (np.stack([p[f"{name}{side}"] for side in "fb"]) for name in "UV")
+        ut, vt = u.transpose(0, 2, 1), v.transpose(0, 2, 1)
+        # both directions go through the same steps: steps, directions, units, windows
+        there = [idx.T, idx.T[::-1]]
+        xs = np.ascontiguousarray(np.stack([proj[i] for proj, i in zip(self.project(x), there)], 1).transpose(0, 1, 3, 2))
+        xs[:, :, : 2 * HIDDEN] *= 0.5  # a logistic function is a tanh of half its argument
+        half, some, rh = ut * 0.5, (np.stack(there, 1)[:, :, None] >= 0).astype(float), np.empty((2, HIDDEN, n))
+        hs, zrs, cs = np.zeros((t + 1, 2, HIDDEN, n)), np.empty((t, 2, 2 * HIDDEN, n)), np.empty((t, 2, HIDDEN, n))
+        for s in range(t):
+            h, zr, c = hs[s], zrs[s], cs[s]
+            np.matmul(half, h, out=zr)
+            zr += xs[s, :, : 2 * HIDDEN]
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
+            z *= some[s]
+            np.matmul(vt, np.multiply(r, h, out=rh), out=c)
+            c += xs[s, :, 2 * HIDDEN :]
+            np.tanh(c, out=c)
+            np.subtract(c, h, out=hs[s + 1])
+            hs[s + 1] *= z
+            hs[s + 1] += h
+        h = np.concatenate([hs[1:, 0], hs[:0:-1, 1]], 1)  # steps, units, windows
+        a = np.matmul(p["v"], h)
         a[(idx < 0).T] = -1e9
         a = np.exp(a - a.max(axis=0))
         a /= a.sum(axis=0)
-        pooled = np.einsum("tn,tnh->nh", a, h)
-        if keep is not None:
-            keep |= {"f": kf, "b": kb, "h": h, "a": a, "pooled": pooled}
-        return pooled @ p["o"] + p["b"][0]
-
-    def gradients(self, x: np.ndarray, idx: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
-        """Mean weighted logistic loss of windows, its gradients, and the gradient by ``x``."""
-        p, keep = self.p, {}
-        logit = self.logits(self.project(x), idx, keep)
+        pooled = (a[:, None] * h).sum(axis=0)
+        logit = p["o"] @ pooled + p["b"][0]
         prob = 1 / (1 + np.exp(-logit))
         total = weight.sum()
         loss = float((weight * (np.logaddexp(0, logit) - y * logit)).sum() / total)
         d = weight * (prob - y) / total
-        h, a, pooled = keep["h"], keep["a"], keep["pooled"]
-        g = {"o": pooled.T @ d, "b": np.array([d.sum()])}
-        dpool = d[:, None] * p["o"]
-        dh = a[:, :, None] * dpool
-        da = np.einsum("tnh,nh->tn", h, dpool)
+        g = {"o": pooled @ d, "b": np.array([d.sum()])}
+        dpool = p["o"][:, None] * d
+        da = (h * dpool).sum(axis=1)
         da = a * (da - (a * da).sum(axis=0))
-        g["v"] = np.einsum("tn,tnh->h", da, h)
-        dh += da[:, :, None] * p["v"]
+        g["v"] = np.einsum("tn,thn->h", da, h)
+        dh = a[:, None] * dpool + da[:, None] * p["v"][:, None]
+        dh = np.stack([dh[:, :HIDDEN], dh[::-1, HIDDEN:]], 1)
+        h, z, r = hs[:-1], zrs[:, :, :HIDDEN], zrs[:, :, HIDDEN:]
+        by_c, by_z, by_r, stay = z * (1 - cs * cs), (cs - h) * z * (1 - z), h * r * (1 - r), 1 - z
+        steps, carry, drh = np.empty((t, 2, 3 * HIDDEN, n)), np.zeros((2, HIDDEN, n)), np.empty((2, HIDDEN, n))
+        for s in range(t - 1, -1, -1):
+            dzr, dc = steps[s, :, : 2 * HIDDEN], steps[s, :, 2 * HIDDEN :]
+            carry += dh[s]
+            np.multiply(carry, by_c[s], out=dc)
+            np.matmul(v, dc, out=drh)
+            np.multiply(carry, by_z[s], out=dzr[:, :HIDDEN])
+            np.multiply(drh, by_r[s], out=dzr[:, HIDDEN:])
+            carry *= stay[s]
+            drh *= r[s]
+            carry += drh
+            carry += np.matmul(u, dzr, out=rh)
+        flat = steps.transpose(1, 0, 3, 2).reshape(2, t * n, 3 * HIDDEN)
+        before, reset = (m.transpose(1, 2, 0, 3).reshape(2, HIDDEN, t * n) for m in (h, r * h))
+        du, dv = before @ flat[:, :, : 2 * HIDDEN], reset @ flat[:, :, 2 * HIDDEN :]
         dx = np.zeros_like(x)
-        n, t = idx.shape
         for k, side in enumerate("fb"):
-            u, v, w = p[f"U{side}"], p[f"V{side}"], p[f"W{side}"]
-            du, dv, steps = np.zeros_like(u), np.zeros_like(v), np.zeros((t, n, 3 * HIDDEN))
-            carry = np.zeros((n, HIDDEN))
-            for s in range(t - 1, -1, -1) if side == "f" else range(t):
-                h0, z, r, c = keep[side][s]
-                i = idx[:, s]
-                out = carry + dh[s, :, k * HIDDEN : (k + 1) * HIDDEN]
-                dc = out * z * (1 - c * c)
-                drh = dc @ v.T
-                dz = out * (c - h0) * z * (1 - z) * (i >= 0)[:, None]
-                dr = drh * h0 * r * (1 - r)
-                dzr = np.concatenate([dz, dr], axis=1)
-                dv += (r * h0).T @ dc
-                du += h0.T @ dzr
-                carry = out * (1 - z) + drh * r + dzr @ u.T
-                steps[s] = np.concatenate([dzr, dc], axis=1)
-            dproj = _scatter(idx.T.ravel() % len(x), steps.reshape(-1, 3 * HIDDEN), len(x))
+            dproj = _scatter(there[k].ravel() % len(x), flat[k], len(x))
             dproj[-1] = 0
-            g |= {f"U{side}": du, f"V{side}": dv, f"W{side}": x.T @ dproj, f"c{side}": dproj.sum(axis=0)}
-            dx += dproj @ w.T
+            g |= {f"U{side}": du[k], f"V{side}": dv[k], f"W{side}": x.T @ dproj, f"c{side}": dproj.sum(axis=0)}
+            dx += dproj @ p[f"W{side}"].T
         return loss, g, dx
 
 
@@ -259,15 +354,15 @@ class Shard:
         """Texts that hold each word and each n-gram, by half and label; a text counts once."""
         w = self.w
         wb = (w.hashes & U64(WIDE - 1)).astype(np.int64)
-        gb = (w.grams & U64(WIDE - 1)).astype(np.int32)
+        gb = (w.grams & np.uint32(WIDE - 1)).astype(np.int32)
         num = np.diff(w.gram_first)
         seen = np.zeros((2, 2, 2, WIDE), np.float32)
         for i in range(len(self.y)):
             q = np.unique(w.index[w.first[i] : w.first[i + 1]])
             reps = num[q]
             at = np.repeat(w.gram_first[q], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            seen[0, self.fold[i], int(self.y[i]), np.unique(wb[q])] += 1
-            seen[1, self.fold[i], int(self.y[i]), np.unique(gb[at])] += 1
+            seen[0, self.fold[i], int(self.y[i]), wb[q]] += 1  # once, however often a place is named
+            seen[1, self.fold[i], int(self.y[i]), gb[at]] += 1
         return seen
 
 
@@ -286,34 +381,34 @@ def _epoch(net: Net, adam: dict, step: int, shard: Shard, halves, epoch: int, ep
     w, y, fold, idx, wdoc, first = shard.w, shard.y, shard.fold, shard.idx, shard.wdoc, shard.first
     n, num = len(y), np.diff(w.gram_first)
 
-    def score(rows: np.ndarray) -> np.ndarray:
-        s = np.empty(len(rows))
-        fast = net.float32()
-        for f in (0, 1):
-            x = fast.project(fast.inputs(w, *halves[f]))
-            mine = np.flatnonzero(fold[wdoc[rows]] == f)
-            for a in range(0, len(mine), 4096):
-                s[mine[a : a + 4096]] = fast.logits(x, idx[rows[mine[a : a + 4096]]])
-        return s
-
-    def hint() -> np.ndarray:
-        s = np.empty(len(idx))
-        for f in (0, 1):
-            x = net.float32().inputs(w, *halves[f])
-            x = x[:, 0] + x[:, 2]
-            mine = np.flatnonzero(fold[wdoc] == f)
-            for a in range(0, len(mine), 8192):
-                s[mine[a : a + 8192]] = np.sort(x[idx[mine[a : a + 8192]]], axis=1)[:, -3:].sum(axis=1)
-        return s
-
-    s = hint() if epoch == 0 else score(np.arange(len(idx)))
+    odds = [_rows(_word_odds(w, *half)) for half in halves]
+    s = np.empty(len(idx))
+    fast = net.float32()
+    learned = fast.embedded(w) if epoch else None
+    for f in (0, 1):
+        mine = np.flatnonzero(fold[wdoc] == f)
+        if epoch:
+            s[mine] = fast.scores(_rows(odds[f][:-1], learned), idx[mine])
+            continue
+        x = odds[f][:, 0] + odds[f][:, 2]
+        for a in range(0, len(mine), 8192):
+            s[mine[a : a + 8192]] = np.sort(x[idx[mine[a : a + 8192]]], axis=1)[:, -3:].sum(axis=1)
     top = np.lexsort((s, wdoc))[np.append(first[1:], len(wdoc)) - 1]  # each text's window of the highest score
     other = first + (rng.random(n) * (np.append(first[1:], len(wdoc)) - first)).astype(np.int64)
     rows = np.concatenate([top, other[y == 0]])
     target = y[wdoc[rows]]
     rows, target = rows[(o := rng.permutation(len(rows)))], target[o]
     rate = 0.02 * (1 - epoch / epochs)
-    xs = [net.float32().inputs(w, *halves[f]) for f in (0, 1)]
+    # parameters and moments become parts of three rows of numbers, each worked on as a whole
+    keys = sorted(net.p)
+    values, m1, m2 = (np.concatenate([np.ravel(x[k]) for k in keys]) for x in (net.p, {k: adam[k][0] for k in keys}, {k: adam[k][1] for k in keys}))
+    grad, square, change = (np.empty_like(values) for _ in range(3))
+    gradient, at = {}, 0
+    for k in keys:
+        to, shape = at + net.p[k].size, net.p[k].shape
+        net.p[k], gradient[k] = values[at:to].reshape(shape), grad[at:to].reshape(shape)
+        adam[k] = m1[at:to].reshape(shape), m2[at:to].reshape(shape)
+        at = to
     for a in range(0, len(rows), batch):
         r, t = rows[a : a + batch], target[a : a + batch]
         for f in (0, 1):
@@ -326,12 +421,13 @@ def _epoch(net: Net, adam: dict, step: int, shard: Shard, halves, epoch: int, ep
                 used, small = np.append(used[1:], -1), small - 1
             else:
                 used = np.append(used, -1)
-            x = xs[f][used].astype(float)
+            x = np.zeros((len(used), 3 + 2 * DIM))
+            x[:, :3] = odds[f][used]
             words = used[:-1]
             hw = (w.hashes[words] >> U64(40)).astype(np.int64) % BUCKETS
             reps = num[words]
-            at = np.repeat(w.gram_first[words], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            hg = (w.grams[at] >> U64(40)).astype(np.int64) % BUCKETS
+            places = np.repeat(w.gram_first[words], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+            hg = (w.grams[places] // np.uint32(WIDE)).astype(np.int64)
             cut = np.cumsum(reps) - reps
             x[:-1, 3 : 3 + DIM] = net.p["Ew"][hw]
             if len(words):
@@ -340,11 +436,21 @@ def _epoch(net: Net, adam: dict, step: int, shard: Shard, halves, epoch: int, ep
             g["Ew"] = _scatter(hw, dx[:-1, 3 : 3 + DIM], BUCKETS)
             g["Ec"] = _scatter(hg, np.repeat(dx[:-1, 3 + DIM :] / reps[:, None], reps, axis=0), BUCKETS)
             step += 1
-            for k, v in net.p.items():
-                m1, m2 = adam[k]
-                m1 += 0.1 * (g[k] - m1)
-                m2 += 0.01 * (g[k] ** 2 - m2)
-                v -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6) + rate * 1e-4 * v
+            for k, v in g.items():
+                gradient[k][...] = v
+            for m, share, by in ((m1, 0.1, grad), (m2, 0.01, np.square(grad, out=square))):
+                np.subtract(by, m, out=change)
+                change *= share
+                m += change
+            np.divide(m2, 1 - 0.99**step, out=square)
+            np.sqrt(square, out=square)
+            square += 1e-6
+            np.divide(m1, 1 - 0.9**step, out=change)
+            change *= rate
+            change /= square
+            np.multiply(values, rate * 1e-4, out=square)
+            change += square
+            values -= change
     return step
 
 
@@ -374,41 +480,54 @@ _SHARD = "shard long, z binary"
 
 
 def _prepared(rows: pa.Table) -> pa.Table:
-    """One row of a shard: its distinct words, by hash, which of them each text holds, labels and halves."""
+    """One row of a shard: its distinct words, as they first come, which of them each text holds, labels and halves."""
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     shard, y = rows.column("shard")[0].as_py(), rows.column("toxic").to_numpy().astype(float)
-    words, order, sizes = {}, [], []
+    known, words, order, sizes = np.zeros(0, np.uint64), [], [], []
     for b in blocks(rows.to_batches()):
         starts, ends, first = b.words()
         order.append(b.word_hashes())
         sizes.append(np.diff(first))
-        for h, i in zip(*(x.tolist() for x in np.unique(order[-1], return_index=True))):
-            if h not in words:
-                words[h] = b.data[starts[i] : ends[i]].tobytes()
-    h = np.array(sorted(words), np.uint64)
-    index = np.concatenate([np.searchsorted(h, x) for x in order]).astype(np.int32)
+        h, at = np.unique(order[-1], return_index=True)
+        new = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] != h if len(known) else np.ones(len(h), bool)
+        at = np.sort(at[new])
+        known = np.sort(np.concatenate([known, h[new]]))
+        size = ends[at] - starts[at] + 1  # and a space
+        data = b.data[np.minimum(np.repeat(starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum()), len(b.data) - 1)]
+        data[np.cumsum(size) - 1] = 32
+        words.append(data.tobytes())
+    _, _, index = _as_they_come(np.concatenate(order))
     first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
     fold = np.random.default_rng((5, shard)).permutation(len(y)) % 2
-    z = zstandard.compress(pickle.dumps((shard, b" ".join(words[x] for x in h.tolist()), index, first, y, fold), 5), 1)
+    z = zstandard.compress(pickle.dumps((shard, b"".join(words), index, first, y, fold), 5), 1)
+    del order, words, known, index
+    trim()
     return pa.table({"shard": pa.array([shard], pa.int64()), "z": pa.array([z], pa.binary())})
 
 
+def _unpacked(z: bytes) -> tuple[int, Shard]:
+    shard, words, index, first, y, fold = pickle.loads(zstandard.decompress(z))
+    b = Block(np.frombuffer(words, np.uint8), np.array([0, len(words)]))
+    starts, ends, _ = b.words()
+    parts = [_gram_places(b, starts[i : i + 16384], ends[i : i + 16384]) for i in range(0, len(starts), 16384)]
+    grams = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.uint32)
+    num = np.concatenate([[0], *(np.diff(f) for _, f in parts)])
+    return shard, Shard.of(Words(b.word_hashes(), grams, np.cumsum(num), index, first), y, fold)
+
+
 def _shards(batches):
+    """Shards one after the other; who takes one lets go of it before the next."""
     for batch in batches:
         for z in batch.column(0):
-            shard, words, index, first, y, fold = pickle.loads(zstandard.decompress(z.as_py()))
-            b = Block(np.frombuffer(words, np.uint8), np.array([0, len(words)]))
-            starts, ends, _ = b.words()
-            parts = [_grams(b, starts[i : i + 16384], ends[i : i + 16384]) for i in range(0, len(starts), 16384)]
-            grams = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.uint64)
-            num = np.concatenate([[0], *(np.diff(f) for _, f in parts)])
-            yield shard, Shard.of(Words(b.word_hashes(), grams, np.cumsum(num), index, first), y, fold)
+            yield _unpacked(z.as_py())
 
 
 def _seen(batches):
     seen = 0
     for _, s in _shards(batches):
         seen = seen + s.counts()
+        del s
+        trim()
     if np.ndim(seen):
         yield _pieces(seen)
 
@@ -435,7 +554,10 @@ def _pass(state, halves, epoch: int, epochs: int, batch: int = 128):
         for shard, s in _shards(batches):
             net, adam, step = _unflat(state.value)
             step = _epoch(net, adam, step, s, halves.value, epoch, epochs, batch, np.random.default_rng((5, shard, epoch)))
-            yield _pieces(_flat(net, adam, step, len(s.y)))
+            x = _flat(net, adam, step, len(s.y))
+            del s, net, adam
+            trim()
+            yield _pieces(x)
 
     return run
 
@@ -462,10 +584,7 @@ def score_block(net: Net, b: Block) -> np.ndarray:
     """Per text the probability of its most toxic window; without a word, that of an empty window."""
     w = Words.of(b)
     idx, doc = w.windows()
-    x = net.project(net.inputs(w))
-    s = np.empty(len(idx), np.float32)
-    for a in range(0, len(idx), 4096):
-        s[a : a + 4096] = net.logits(x, idx[a : a + 4096])
+    s = net.scores(net.inputs(w), idx)
     top = np.maximum.reduceat(s, np.searchsorted(doc, np.arange(b.n)))
     return 1 / (1 + np.exp(-top.astype(float)))
 

@@ -5,13 +5,14 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from codeloom.llm import ctw, quality, toxicity, weak_quality
+from codeloom.llm import ctw, quality, textbuf, toxicity, weak_quality
 from codeloom.llm.textbuf import block_of, lines
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
@@ -259,6 +260,70 @@ def test_toxicity_is_fitted_on_every_labelled_text(spark):
     assert np.mean([(s[i] >= 0.3) == labels[i] for i in set(range(900)) - set(mine)]) > 0.9
 
 
+def scores_in_rows(net, x, idx):
+    """Logits of windows as they were worked out first: a window a row, all states kept."""
+    p, h = net.p, toxicity.HIDDEN
+    states = []
+    for side, order in (("f", range(idx.shape[1])), ("b", range(idx.shape[1] - 1, -1, -1))):
+        proj, state = x @ p[f"W{side}"] + p[f"c{side}"], np.zeros((len(idx), h), np.float32)
+        out = np.zeros((idx.shape[1], len(idx), h), np.float32)
+        for s in order:
+            a = proj[idx[:, s]]
+            zr = 0.5 + 0.5 * np.tanh(0.5 * (a[:, : 2 * h] + state @ p[f"U{side}"]))
+            z, r = zr[:, :h] * (idx[:, s] >= 0)[:, None], zr[:, h:]
+            state = state + z * (np.tanh(a[:, 2 * h :] + (r * state) @ p[f"V{side}"]) - state)
+            out[s] = state
+        states.append(out)
+    both = np.concatenate(states, axis=2)
+    a = both @ p["v"]
+    a[(idx < 0).T] = -1e9
+    a = np.exp(a - a.max(axis=0))
+    return np.einsum("tn,tnh->nh", a / a.sum(axis=0), both) @ p["o"] + p["b"][0]
+
+
+def test_windows_cost_less_than_in_rows():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, n) % 9000) for n in [0, 1, 31, 33, *rng.integers(1, 900, 400).tolist()]]
+    w, net = toxicity.Words.of(block_of(texts)), toxicity.Net(2).float32()
+    x, (idx, _) = net.inputs(w), w.windows()
+    seconds = collections.defaultdict(list)
+    for _ in range(5):
+        for name, f in (("rows", lambda: scores_in_rows(net, x, idx)), ("now", lambda: net.scores(x, idx))):
+            t = time.thread_time()
+            seconds[name].append((f(), time.thread_time() - t))
+    assert np.abs(seconds["rows"][0][0] - seconds["now"][0][0]).max() < 1e-5
+    assert min(t for _, t in seconds["now"]) < 0.8 * min(t for _, t in seconds["rows"])
+
+
+def test_shards_hold_every_word_of_every_text():
+    """A shard as it is sent and unpacked, over several blocks, against the texts; words lie in the order in which they first come."""
+    texts = ["", "é x ABC abc", None, "word " * 3, "long-" * 40 + " " + "y" * 9] + [" ".join(f"v{k * i % 977}" for k in range(20_000)) for i in range(1, 40)]
+    n = len(texts)
+    rows = pa.table({"doc_id": pa.array(range(n)), "text": pa.array([t or "" for t in texts]), "toxic": pa.array([i % 2 for i in range(n)]), "shard": pa.array([3] * n)})
+    ((shard, s),) = toxicity._shards(toxicity._prepared(rows).select(["z"]).to_batches())
+    b = block_of(texts)
+    w = toxicity.Words.of(b)
+    assert shard == 3 and s.y.tolist() == [i % 2 for i in range(n)] and (np.diff(np.unique(s.w.index, return_index=True)[1]) > 0).all()
+    assert (s.w.hashes[s.w.index] == b.word_hashes()).all()
+    for name in ("hashes", "grams", "gram_first", "index", "first"):
+        assert (getattr(s.w, name) == getattr(w, name)).all(), name
+
+
+def test_grams_of_short_and_long_words():
+    b = block_of(["a bb ccc dddd eeeee ffffff ggggggg abcdefgh é ABCDEFGH"])
+    starts, ends, _ = b.words()
+    got, first = toxicity._grams(b, starts, ends)
+    mask, fold = (1 << 64) - 1, [int(v) for v in textbuf.FOLDED]
+    for i, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist())):
+        want = []
+        for g in toxicity.GRAMS:
+            k = min(g, hi - lo)
+            for at in range(lo, hi - k + 1):
+                h = g * 0x9E3779B97F4A7C15 + sum(fold[b.data[at + j]] * int(toxicity._POWERS[j]) for j in range(k))
+                want.append((h + (at == lo) * 0xC2B2AE3D27D4EB4F + (at + k == hi) * 0x165667B19E3779F9) & mask)
+        assert got[first[i] : first[i + 1]].tolist() == textbuf.mix(np.array(want, np.uint64)).tolist()
+
+
 def test_toxicity_without_labels(spark):
     d = table(spark, ["a b", None])
     none = spark.createDataFrame([], "doc_id long, toxic int")
