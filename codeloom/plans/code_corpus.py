@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.registry import LANGUAGES, with_language
 
+#: Files that a task parses, about half a second's work; fewer where that leaves cores idle.
+TASK_FILES = 2048
 KEYS = [lang.key for lang in LANGUAGES]
 EXTENSIONS = [lang.extensions[0] for lang in LANGUAGES]
 PREFIX = {"python": "#", "ada": "--", "lua": "--", "fortran": "!"}
@@ -40,11 +42,14 @@ def code_corpus(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataF
     """``file_id, path, lang_ix, fn_ix, mod_ix, body_ix, source, language, grammar, sloc_mode`` for every row of ``documents``.
 
     ``spread``: for a parse, which costs far more than the scan, ids are spread
-    over the cores first; the sources made of them don't move.
+    over the cores first; the sources made of them don't move.  The number of
+    tasks is given: ids take so few bytes that adaptive execution would leave
+    millions of files to one task.
     """
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("file_id"))
     if spread:
-        d = d.repartition("file_id")
+        n = d.count()  # from the footers
+        d = d.repartition(max(-(-n // TASK_FILES), min(n, spark.sparkContext.defaultParallelism), 1), "file_id")
     d = d.select("file_id", (F.col("file_id") % 16).alias("lang_ix"), (F.col("file_id") % 97).alias("fn_ix"), (F.col("file_id") % 13).alias("mod_ix"), (F.col("file_id") % 5).alias("body_ix"))
 
     def choose(values, ix):
