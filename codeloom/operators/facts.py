@@ -227,17 +227,45 @@ _NODE = "key string, grammar string, node_id long, parent_id long, last_desc lon
 _NODE_TYPES = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[x.split()[1]] for x in _NODE.split(", ")]
 
 
-def nodes(files: DataFrame, key: str = "file_id", source: str = "source", grammar: str = "grammar", strict: bool = False) -> DataFrame:
-    """The syntax-node table: ``node_id`` in pre-order, ``last_desc`` the last node of the subtree."""
+def nodes(files: DataFrame, key: str = "file_id", source: str = "source", grammar: str = "grammar", strict: bool = False, kinds=None, columns=None) -> DataFrame:
+    """The syntax-node table: ``node_id`` in pre-order, ``last_desc`` the last node of the subtree.
+
+    What a query has no use for need not leave the parser: with ``kinds`` only
+    nodes of these kinds and each file's root come out, numbered as in the whole
+    tree, with ``columns`` only those besides the key.
+    """
+    wanted = [n for n in FIELDS if columns is None or n in columns]
+    extra = ["grammar"] if columns is None or "grammar" in columns else []
+    if columns is not None and (unknown := set(columns) - {"grammar", *FIELDS}):
+        raise ValueError(f"unknown columns: {sorted(unknown)}")
+    keep = None if kinds is None else frozenset(kinds)
+    at = [(FIELDS.index(n), _NODE_TYPES[FIELDS.index(n) + 2]) for n in wanted]
+    kind = FIELDS.index("kind")
+
+    def table(keys: list, grammars: list, rows: list[tuple]) -> pa.RecordBatch:
+        arrays = [pa.array(keys, pa.string()), *([pa.array(grammars, pa.string())] if extra else [])]
+        return pa.record_batch(arrays + [pa.array([r[i] for r in rows], t) for i, t in at], names=["key", *extra, *wanted])
 
     def run(batches):
         for batch in batches:
+            keys, grammars, rows = [], [], []
             for k, s, g in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                rows = [(k, g, *r) for r in flatten(parse(g, s), s)]
-                for i in range(0, len(rows), 20_000):
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 20_000]), _NODE_TYPES)], names=["key", "grammar", *FIELDS])
+                found = flatten(parse(g, s), s)
+                if keep is not None:
+                    found = [r for r in found if r[kind] in keep or not r[0]]
+                for i in range(0, len(found), 20_000):
+                    part = found[i : i + 20_000]
+                    keys += [k] * len(part)
+                    grammars += [g] * len(part)
+                    rows += part
+                    if len(rows) >= 20_000:
+                        yield table(keys, grammars, rows)
+                        keys, grammars, rows = [], [], []
+            if rows:
+                yield table(keys, grammars, rows)
 
-    return _parseable(files, key, source, grammar, strict).mapInArrow(run, _NODE).withColumnRenamed("key", key).withColumn(key, F.col(key).cast(files.schema[key].dataType))
+    layout = ", ".join(x for x in _NODE.split(", ") if x.split()[0] in ("key", *extra, *wanted))
+    return _parseable(files, key, source, grammar, strict).mapInArrow(run, layout).withColumnRenamed("key", key).withColumn(key, F.col(key).cast(files.schema[key].dataType))
 
 
 def _kinds(pred: Column | None, kinds) -> Column:

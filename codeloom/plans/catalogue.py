@@ -283,9 +283,9 @@ _MAIN = case("language", {k: str(v[1]) for k, v in _ROWS.items()}, "0")
 _STATIC = "language = 'c' AND r % 4 = 2"
 
 
-def _nodes(spark, sf_dir):
-    """Nodes of the whole corpus, parsed once and written."""
-    return written(facts.nodes(code_corpus(spark, sf_dir, spread=True)), "nodes")
+def _nodes(spark, sf_dir, columns, kinds=None):
+    """Nodes of the whole corpus, as far as a query needs them, parsed once and written."""
+    return written(facts.nodes(code_corpus(spark, sf_dir, spread=True), kinds=kinds, columns=columns), "nodes")
 
 
 def _functions(n: DataFrame) -> DataFrame:
@@ -307,7 +307,8 @@ _IF, _WHILE, _FOR = "b IN (1, 2, 3)", "b = 3", "b = 4"
 def node_kind_counts(spark, sf_dir):
     files = code_corpus(spark, sf_dir)
     branches = {"if": ("if_statement", "if_expression"), "while": ("while_statement", "while_expression"), "for": ("for_statement", "loop_expression")}
-    n = facts.nodes(code_corpus(spark, sf_dir, spread=True))
+    looked_for = {*CALLS, *facts.FUNCTION_KINDS, *(k for kinds in branches.values() for k in kinds)}
+    n = facts.nodes(code_corpus(spark, sf_dir, spread=True), kinds=looked_for, columns=("kind", "is_named"))
     kind, named = F.col("kind"), F.col("is_named")
     what = F.when(kind.isin(*CALLS), "call").when(facts.is_function_kind(kind) & (kind != "program"), "function")
     for name, kinds in branches.items():
@@ -318,7 +319,7 @@ def node_kind_counts(spark, sf_dir):
 
 @_query(_with(f"SELECT file_id, {_HEAD} + {_MAIN} AS function_row, 2 AS calls FROM c"))
 def nearest_function(spark, sf_dir):
-    n = _nodes(spark, sf_dir)
+    n = _nodes(spark, sf_dir, ("node_id", "last_desc", "kind", "is_named", "start_row"), {*CALLS, *facts.FUNCTION_KINDS})
     roots = _functions(n)
     near = facts.find_ancestor(n, n.where(F.col("kind").isin(*CALLS)), pred=facts.is_function_kind(F.col("kind")) & F.col("is_named") & (F.col("kind") != "program"))
     rows = roots.select("file_id", F.col("node_id").alias("ancestor_id"), F.col("start_row").alias("function_row"))
@@ -328,7 +329,7 @@ def nearest_function(spark, sf_dir):
 @_query(_with(f"""SELECT file_id, CASE WHEN {_STATIC} THEN '_Static_assert(1, "x")' WHEN language = 'lua' THEN 'require("mod' || m || '")' WHEN language = 'ada' THEN 'helper' || f || ';' WHEN language = 'php' THEN 'helper' || f || '($x)' ELSE 'helper' || f || '(x)' END AS first_call,
   {_HEAD} + CASE WHEN {_STATIC} THEN 1 ELSE {_FIRST} END AS call_row FROM c"""))
 def first_descendant(spark, sf_dir):
-    n = _nodes(spark, sf_dir)
+    n = _nodes(spark, sf_dir, ("node_id", "last_desc", "kind", "start_byte", "end_byte", "start_row"), CALLS)
     roots = n.where("node_id = 0").select("file_id", "node_id", "last_desc")
     first = facts.find_first_descendant(n, kinds=CALLS, roots=roots)
     return facts.node_text(first, code_corpus(spark, sf_dir)).select("file_id", F.col("node_text").alias("first_call"), F.col("start_row").alias("call_row"))
@@ -337,7 +338,7 @@ def first_descendant(spark, sf_dir):
 @_query(_with("SELECT file_id, 2 AS functions, 2 AS agreeing FROM c"))
 def structural_hash_in_sql(spark, sf_dir):
     files = code_corpus(spark, sf_dir, spread=True)
-    n = _nodes(spark, sf_dir)
+    n = _nodes(spark, sf_dir, ("node_id", "parent_id", "last_desc", "child_count", "kind", "is_named", "field", "start_byte", "text"))
     roots = _functions(n).select("file_id", "node_id", "last_desc", "start_byte")
     h = facts.structural_hashes(n, roots).join(roots.select("file_id", F.col("node_id").alias("root_id"), "start_byte"), ["file_id", "root_id"])
     fp = facts.function_fingerprints(facts.facts(files, ("fingerprints",)), 0).select("file_id", "start_byte", F.col("hash").alias("own"))
